@@ -1,4 +1,26 @@
 """Registered queries of the subpackage and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from yakinma.llm import pii
+from yakinma.session import table
+
+#: The key of the registered redaction query; a deployment passes its own secret.
+DEMO_KEY = b"yakinma-demo-key"
+TEXT_FIELDS = ("complaint_text", "company_response_text")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "complaints"), TEXT_FIELDS)
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "complaints").select("id", "company", *TEXT_FIELDS)
+    return pii.redact(df, TEXT_FIELDS, DEMO_KEY)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted)}
+
+SQL: dict[str, str] = {}
