@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from yakinma.llm import pii
+from yakinma.llm import pii, terms
 from yakinma.session import table
 
 #: The key of the registered redaction query; a deployment passes its own secret.
@@ -21,6 +22,25 @@ def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(df, TEXT_FIELDS, DEMO_KEY)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted)}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.marked_terms(table(spark, sf_dir, "complaints"), "complaint_text", "id").where("mark IS NOT NULL").select("term", "n_total", "n_records", "mark")
 
-SQL: dict[str, str] = {}
+
+def p4_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many terms and occurrences each mark covers, the unmarked ones included."""
+    marked = terms.marked_terms(table(spark, sf_dir, "complaints"), "complaint_text", "id")
+    by = marked.groupBy(F.coalesce("mark", F.lit("kept")).alias("mark"))
+    return by.agg(F.count(F.lit(1)).alias("n_terms"), F.sum("n_total").alias("n_total"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_marks)}
+
+_TERMS = """WITH words AS (SELECT id, unnest(regexp_extract_all(nfc_normalize(lower(replace(replace(nfc_normalize(complaint_text), 'I', 'ı'), 'İ', 'i'))), '[a-zçğıöşü]{2,}')) AS term FROM complaints),
+counts AS (SELECT term, count(*) AS n_total, count(DISTINCT id) AS n_records FROM words GROUP BY term),
+marked AS (SELECT *, CASE WHEN n_records <= 2 THEN 'rare' WHEN n_records * 5 >= (SELECT count(complaint_text) FROM complaints) THEN 'common' END AS mark FROM counts)
+"""
+
+SQL: dict[str, str] = {
+    "p4_found": _TERMS + "SELECT term, n_total, n_records, mark FROM marked WHERE mark IS NOT NULL",
+    "p4_marks": _TERMS + "SELECT coalesce(mark, 'kept') AS mark, count(*) AS n_terms, CAST(sum(n_total) AS BIGINT) AS n_total FROM marked GROUP BY 1",
+}
