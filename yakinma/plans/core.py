@@ -16,9 +16,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_company_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = hotkeys.key_figures(table(spark, sf_dir, "complaints"), "company", ("resolved", "company_responded"), ("response_hours", "resolution_hours"))
-    ints = {"n_rows", "n_resolved", "n_company_responded"}
-    return df.select("company", *[c if c in ints or c.endswith("_n") else F.round(c, 4).alias(c) for c in df.columns if c != "company"])
+    return hotkeys.key_figures(table(spark, sf_dir, "complaints"), "company", ("resolved", "company_responded"), ("response_hours", "resolution_hours"))
 
 
 def p2_company_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,14 +40,16 @@ def p3_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_company_figures, p2_company_titles, p3_found, p3_resolution)}
 
-_V = "CASE WHEN NOT isnan({0}) AND {0} >= 0 AND {0} < 'infinity'::DOUBLE THEN {0} END"
+_V = "CAST(CASE WHEN NOT isnan({0}) AND {0} >= 0 AND {0} < 1e14 THEN {0} END AS DECIMAL(18,4))"
 
 
 def _measure(m: str) -> str:
     v = _V.format(m)
+    n, total, squares = f"count({v})::DOUBLE", f"sum({v})::DOUBLE", f"sum(CAST({v} * {v} AS DECIMAL(28,8)))::DOUBLE"
     return (
-        f"count({v}) AS {m}_n, round(sum({v}), 4) AS {m}_sum, round(avg({v}), 4) AS {m}_mean, "
-        f"round(stddev_samp({v}), 4) AS {m}_sd, round(min({v}), 4) AS {m}_min, round(max({v}), 4) AS {m}_max"
+        f"count({v}) AS {m}_n, {total} AS {m}_sum, CASE WHEN {n} > 0 THEN {total} / {n} END AS {m}_mean, "
+        f"CASE WHEN {n} > 1 THEN sqrt(greatest(0e0, {squares} - {total} * {total} / {n}) / ({n} - 1e0)) END AS {m}_sd, "
+        f"min({v})::DOUBLE AS {m}_min, max({v})::DOUBLE AS {m}_max"
     )
 
 
