@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yakinma.llm import pii, terms
+from yakinma.llm import chunking, packing, pii, terms, tokens
 from yakinma.session import table
 
 #: The key of the registered redaction query; a deployment passes its own secret.
@@ -33,7 +33,27 @@ def p4_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.agg(F.count(F.lit(1)).alias("n_terms"), F.sum("n_total").alias("n_total"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_marks)}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode(table(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+def p9_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = tokens.count_tokens(table(spark, sf_dir, "documents"), "text", "doc_id")
+    return packing.pack(sizes, "doc_id", "n_tokens", 512).withColumnRenamed("id", "doc_id")
+
+
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and the unused share of the packing."""
+    used = p9_batches(spark, sf_dir).groupBy("container").agg(F.sum("size").alias("used"))
+    total = used.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"))
+    return total.withColumn("unused_share", F.round(1 - F.col("n_tokens") / (F.col("n_containers") * 512), 6))
+
+
+def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.split(table(spark, sf_dir, "documents"), "text", "doc_id", limit=512, overlap=32)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_marks, p8_ids, p9_batches, p9_fill, p10_pieces)}
 
 _TERMS = """WITH words AS (SELECT id, unnest(regexp_extract_all(nfc_normalize(lower(replace(replace(nfc_normalize(complaint_text), 'I', 'ı'), 'İ', 'i'))), '[a-zçğıöşü]{2,}')) AS term FROM complaints),
 counts AS (SELECT term, count(*) AS n_total, count(DISTINCT id) AS n_records FROM words GROUP BY term),
