@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yakinma.llm import chunking, neardup, packing, pii, terms, tokens
+from yakinma.llm import chunking, neardup, packing, pii, quantiles, terms, tokens
 from yakinma.session import table
 
 #: The key of the registered redaction query; a deployment passes its own secret.
@@ -33,6 +33,22 @@ def p4_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.agg(F.count(F.lit(1)).alias("n_terms"), F.sum("n_total").alias("n_total"))
 
 
+HOURS = ("response_hours", "resolution_hours")
+PROBABILITIES = (0.1, 0.5, 0.9, 0.95, 0.99)
+
+
+def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = quantiles.sketch(table(spark, sf_dir, "complaints"), ["company"], HOURS)
+    return quantiles.percentiles(cells, ["company"], PROBABILITIES)
+
+
+def p6_from_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same percentiles from sketches of separate months of scraping, merged by addition."""
+    df = table(spark, sf_dir, "complaints").withColumn("month", F.substring("scraped_at", 1, 7))
+    cells = quantiles.merge([quantiles.sketch(df, ["company", "month"], HOURS)], ["company"])
+    return quantiles.percentiles(cells, ["company"], PROBABILITIES)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.all_pairs(*neardup.similar(table(spark, sf_dir, "complaints"), "id", ("title", "complaint_text")))
 
@@ -61,7 +77,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.split(table(spark, sf_dir, "documents"), "text", "doc_id", limit=512, overlap=32)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_marks, p7_found, p7_groups, p8_ids, p9_batches, p9_fill, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_marks, p6_percentiles, p6_from_months, p7_found, p7_groups, p8_ids, p9_batches, p9_fill, p10_pieces)}
 
 _TERMS = """WITH words AS (SELECT id, unnest(regexp_extract_all(nfc_normalize(lower(replace(replace(nfc_normalize(complaint_text), 'I', 'ı'), 'İ', 'i'))), '[a-zçğıöşü]{2,}')) AS term FROM complaints),
 counts AS (SELECT term, count(*) AS n_total, count(DISTINCT id) AS n_records FROM words GROUP BY term),
