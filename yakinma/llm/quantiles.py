@@ -75,41 +75,37 @@ def counters(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(cell, 1), np.stack(sign, 1)
 
 
-class Sketch:
-    """Counters of one group, to be asked for ranks."""
-
-    def __init__(self, cells: np.ndarray, values: np.ndarray):
-        self.table = np.zeros(CELLS, dtype=np.int64)
-        np.add.at(self.table, cells, values)
-        self.exact = np.cumsum(self.table[:EXACT])
-        self.n = int(self.exact[-1])
-
-    def _count(self, node: int, level: int) -> int:
-        got = []
+def invert(group: np.ndarray, cell: np.ndarray, value: np.ndarray, n_groups: int, probabilities: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
+    """(n, quantiles[groups, probabilities]) of sketches whose counters are sorted by (group, cell). Quantiles are
+    linear between the two closest ranks. All ranks of all groups descend the resolutions together."""
+    key = group.astype(np.int64) * CELLS + cell
+    top = cell < EXACT
+    t_group, t_cell, t_value = group[top], cell[top].astype(np.int64), value[top]
+    upto = np.cumsum(t_value)
+    n = np.bincount(t_group, weights=t_value, minlength=n_groups).astype(np.int64)
+    base = np.cumsum(n) - n
+    at = np.asarray(probabilities)[None, :] * np.maximum(n - 1, 0)[:, None]
+    low = np.floor(at).astype(np.int64)
+    rank = np.stack([low, np.minimum(low + 1, np.maximum(n - 1, 0)[:, None])], 2).reshape(n_groups, -1)
+    who = np.repeat(np.arange(n_groups), rank.shape[1])
+    k = np.minimum(np.searchsorted(upto, base[who] + rank.ravel(), side="right"), max(0, len(upto) - 1))
+    node, here = t_cell[k], t_value[k]
+    left_over = base[who] + rank.ravel() - (upto[k] - here)
+    for level in reversed(range(LEVELS)):
+        seen = []
         for row in range(DEPTH):
-            c, s = _place(np.array([node]), level, row)
-            got.append(int(self.table[c[0]] * s[0]))
-        return sorted(got)[DEPTH // 2]
-
-    def code_at(self, rank: int) -> int:
-        """The code of the value of 0-based ``rank``."""
-        node = int(np.searchsorted(self.exact, rank, side="right"))
-        here = int(self.table[node])
-        rank -= int(self.exact[node]) - here
-        for level in reversed(range(LEVELS)):
-            left = min(max(0, self._count(2 * node, level)), here)
-            if rank < left:
-                node, here = 2 * node, left
-            else:
-                node, rank, here = 2 * node + 1, rank - left, here - left
-        return node
-
-    def quantile(self, p: float) -> float:
-        """Linear between the two closest ranks."""
-        at = p * (self.n - 1)
-        k = int(at)
-        lo, hi = decode(np.array([self.code_at(k), self.code_at(min(k + 1, self.n - 1))]))
-        return float(lo + (max(lo, hi) - lo) * (at - k))
+            c, sign = _place(2 * node, level, row)
+            want = who * CELLS + c
+            i = np.minimum(np.searchsorted(key, want), len(key) - 1)
+            seen.append(np.where(key[i] == want, value[i] * sign, 0))
+        left = np.clip(np.median(np.stack(seen), axis=0).astype(np.int64), 0, here)
+        right = left_over >= left
+        node = 2 * node + right
+        left_over = np.where(right, left_over - left, left_over)
+        here = np.where(right, here - left, left)
+    found = decode(node).reshape(n_groups, len(probabilities), 2)
+    lo, hi = found[..., 0], np.maximum(found[..., 0], found[..., 1])
+    return n, lo + (hi - lo) * (at - low)
 
 
 def sketch(df: DataFrame, keys: Sequence[str], measures: Sequence[str], weight: str | None = None) -> DataFrame:
@@ -184,11 +180,41 @@ def percentiles(cells: DataFrame, keys: Sequence[str], probabilities: Sequence[f
     schema = T.StructType([*[cells.schema[k] for k in keys], T.StructField("measure", T.StringType()), T.StructField("n", T.LongType()), *[T.StructField(x, T.DoubleType()) for x in names]])
     order = [*keys, "measure", "n", *names]
 
-    def ask(group: pa.Table) -> pa.Table:
-        s = Sketch(group.column("cell").to_numpy(), group.column("value").to_numpy())
-        head = {k: group.column(k).slice(0, 1) for k in [*keys, "measure"]}
-        if s.n <= 0:
-            return pa.table({**{k: v.slice(0, 0) for k, v in head.items()}, "n": pa.array([], pa.int64()), **{x: pa.array([], pa.float64()) for x in names}}).select(order)
-        return pa.table({**head, "n": pa.array([s.n], pa.int64()), **{x: pa.array([s.quantile(p)], pa.float64()) for x, p in zip(names, probabilities, strict=True)}}).select(order)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def block(last: bool) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            if not t.num_rows:
+                return
+            new = np.zeros(t.num_rows, dtype=bool)
+            new[0] = True
+            for i in range(len(keys) + 1):
+                code = t.column(i).combine_chunks().dictionary_encode()
+                code = (code.chunk(0) if isinstance(code, pa.ChunkedArray) else code).indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                new[1:] |= code[1:] != code[:-1]
+            starts = np.flatnonzero(new)
+            end = t.num_rows if last else int(starts[-1])
+            if end < t.num_rows:  # the last group may go on in the next batch
+                held.extend(t.slice(end).to_batches())
+                starts = starts[:-1]
+            if not end:
+                return
+            group = np.cumsum(new[:end]) - 1
+            n, q = invert(group, t.column(-2).to_numpy()[:end], t.column(-1).to_numpy()[:end], len(starts), probabilities)
+            ok = pa.array(np.flatnonzero(n > 0))
+            heads = [t.column(i).take(pa.array(starts)).take(ok).combine_chunks() for i in range(len(keys) + 1)]
+            heads = [h.chunk(0) if isinstance(h, pa.ChunkedArray) else h for h in heads]
+            yield pa.RecordBatch.from_arrays([*heads, pa.array(n[n > 0]), *[pa.array(q[n > 0, j]) for j in range(len(probabilities))]], order)
+
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) > 300_000:
+                yield from block(False)
+        if held:
+            yield from block(True)
 
-    return cells.groupBy(*keys, "measure").applyInArrow(ask, schema)
+    # at most CELLS rows of a group meet in a partition
+    ordered = cells.select(*keys, "measure", "cell", "value").repartition(*keys, "measure").sortWithinPartitions(*keys, "measure", "cell")
+    return ordered.mapInArrow(ask, schema)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yakinma.llm import chunking, neardup, packing, pii, quantiles, terms, tokens
-from yakinma.session import table
+from yakinma.llm import chunking, neardup, packing, pii, quantiles, residue, terms, tokens
+from yakinma.session import materialise, table
 
 #: The key of the registered redaction query; a deployment passes its own secret.
 DEMO_KEY = b"yakinma-demo-key"
@@ -33,19 +33,36 @@ def p4_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.agg(F.count(F.lit(1)).alias("n_terms"), F.sum("n_total").alias("n_total"))
 
 
+def _residue_model(df: DataFrame) -> residue.Model:
+    return residue.train(df, TEXT_FIELDS, "title", "company", "company_responded")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "complaints")
+    return residue.find(df, TEXT_FIELDS, "title", _residue_model(df))
+
+
+def p5_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of the classifier on the weak labels of companies it was not trained on."""
+    report = _residue_model(table(spark, sf_dir, "complaints")).report
+    return spark.createDataFrame(sorted(report.items()), "figure string, value double")
+
+
 HOURS = ("response_hours", "resolution_hours")
 PROBABILITIES = (0.1, 0.5, 0.9, 0.95, 0.99)
 
 
 def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = quantiles.sketch(table(spark, sf_dir, "complaints"), ["company"], HOURS)
-    return quantiles.percentiles(cells, ["company"], PROBABILITIES)
+    """Of each company and day of scraping, and of each company over all days (day null): the days' sketches
+    are stored, and those of all days are their sum."""
+    df = table(spark, sf_dir, "complaints").withColumn("day", F.substring("scraped_at", 1, 10))
+    days = materialise(quantiles.sketch(df, ["company", "day"], HOURS), "day-sketches")
+    whole = quantiles.merge([days], ["company"]).withColumn("day", F.lit(None).cast("string"))
+    return quantiles.percentiles(days.unionByName(whole), ["company", "day"], PROBABILITIES)
 
 
-def p6_from_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same percentiles from sketches of separate months of scraping, merged by addition."""
-    df = table(spark, sf_dir, "complaints").withColumn("month", F.substring("scraped_at", 1, 7))
-    cells = quantiles.merge([quantiles.sketch(df, ["company", "month"], HOURS)], ["company"])
+def p6_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = quantiles.sketch(table(spark, sf_dir, "complaints"), ["company"], HOURS)
     return quantiles.percentiles(cells, ["company"], PROBABILITIES)
 
 
@@ -77,7 +94,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.split(table(spark, sf_dir, "documents"), "text", "doc_id", limit=512, overlap=32)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_marks, p6_percentiles, p6_from_months, p7_found, p7_groups, p8_ids, p9_batches, p9_fill, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_marks, p5_found, p5_validation, p6_percentiles, p6_companies, p7_found, p7_groups, p8_ids, p9_batches, p9_fill, p10_pieces)}
 
 _TERMS = """WITH words AS (SELECT id, unnest(regexp_extract_all(nfc_normalize(lower(replace(replace(nfc_normalize(complaint_text), 'I', 'ı'), 'İ', 'i'))), '[a-zçğıöşü]{2,}')) AS term FROM complaints),
 counts AS (SELECT term, count(*) AS n_total, count(DISTINCT id) AS n_records FROM words GROUP BY term),
