@@ -117,7 +117,7 @@ def fold_month(c: Column) -> Column:
 def parse_parts(df: DataFrame, text: str, scraped_at: str) -> DataFrame:
     """Add ``local_us`` (wall time in microseconds), ``off_us`` (offset, if written), ``zone`` (name, if
     written), ``unix_us`` (bare integers) and ``ok``; a row denotes a moment only where ``ok``."""
-    s = F.trim(F.regexp_replace(F.col(text), r"[    　\s]+", " "))
+    s = F.trim(F.regexp_replace(F.col(text), r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " "))
     df = df.withColumn("_s", s)
     parts = F.when(F.col("_s").rlike(r"^-?\d+$"), F.lit(None).cast("string"))
     for test, pattern, order in _FAMILIES:
