@@ -11,7 +11,7 @@ import unicodedata
 from urllib.parse import urlparse
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,6 +62,12 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def pin(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that later steps can't inline: a generator of one row stands between. Keeps a Python call from
+    being repeated in filters or moved into a lambda, where Spark can't run it."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def normalize_space(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), BLANKS, " "))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from yakinma.functions.text import analysis_text, let, normalize_python, normalize_text, raw_tokens
+from yakinma.functions.text import analysis_text, let, normalize_python, normalize_text, pin, raw_tokens
 from yakinma.operators.terms import document_order
 
 
@@ -67,8 +67,9 @@ def _occurrences(df: DataFrame, anchor: str, direction: str, window: int) -> Dat
     if not patterns:
         return None
     text = analysis_text(F.col("title"), F.col("complaint_text"), F.col("company_response_text"))
-    docs = df.select("id", document_order().alias("doc"), raw_tokens(normalize_text(text), 1).alias("tokens"))
-    docs = docs.withColumn("places", positions(F.col("tokens"), patterns))
+    docs = pin(df.select("id", document_order().alias("doc"), "title", "complaint_text", "company_response_text"), "text", text).select("id", "doc", "text")
+    docs = pin(docs, "tokens", raw_tokens(normalize_text(F.col("text")), 1))
+    docs = pin(docs, "places", positions(F.col("tokens"), patterns))
     return docs.select("id", "doc", F.size("places").alias("mentions"), contexts(F.col("tokens"), F.col("places"), patterns, direction, window).alias("contexts"))
 
 

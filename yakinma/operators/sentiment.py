@@ -151,6 +151,15 @@ def aspect_means(rows: DataFrame, keys: list[str]) -> DataFrame:
     return each.groupBy(*keys, "category").agg(F.count(F.lit(1)).alias("sentence_count"), *[F.avg(c).alias(c) for c in ORDER])
 
 
+def clean_results(results: DataFrame) -> DataFrame:
+    """One row for each complaint, model and version, the last analysed, with a canonical label."""
+    keys = ["complaint_id", *KEYS]
+    rest = [c for c in results.columns if c not in keys and c != "analyzed_at"]
+    last = results.groupBy(*keys).agg(F.max(F.struct("analyzed_at", *rest)).alias("_r"))
+    out = last.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in results.columns if c not in keys]).select(*results.columns)
+    return out.withColumn("label", canonical_label(F.col("label")))
+
+
 def results_of(complaints: DataFrame, results: DataFrame, model_id: str, version: str) -> DataFrame:
     """Results of a model and version with their records, newest first."""
     mine = results.where((F.col("model_id") == model_id) & (F.col("analyzer_version") == version))

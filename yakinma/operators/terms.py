@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from yakinma.functions.text import analysis_text, ngrams, normalize_text, tokenize
+from yakinma.functions.text import analysis_text, ngrams, normalize_text, pin, tokenize
 from yakinma.operators.classify import classified
 from yakinma.operators.rules import ALL, Rules
 
@@ -20,8 +20,9 @@ def document_order() -> Column:
 
 
 def with_tokens(df: DataFrame, text: Column) -> DataFrame:
-    """Add ``tokens``; the text crosses to Python once. Rows are spread first, as reading packs small files together."""
-    return df.withColumn("_norm", normalize_text(text)).withColumn("tokens", tokenize(F.col("_norm"))).drop("_norm")
+    """Add ``tokens``; the text crosses to Python once."""
+    df = pin(df, "_text", text)
+    return pin(df, "tokens", tokenize(normalize_text(F.col("_text")))).drop("_text")
 
 
 def raw_document(df: DataFrame) -> Column:

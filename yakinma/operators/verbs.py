@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from yakinma.functions.text import analysis_text, normalize_python, normalize_text, raw_tokens, split_sentences
+from yakinma.functions.text import analysis_text, normalize_python, normalize_text, pin, raw_tokens, split_sentences
 from yakinma.operators.terms import document_order, raw_document
 
 #: Progressive suffixes, a preset of passive ones, and the person endings allowed behind a suffix (fixed values).
@@ -74,7 +74,7 @@ def suffix_match(token: Column, suffixes: Iterable[str] | str | None = None) ->
 
 def suffix_stats(df: DataFrame, suffixes: Iterable[str] | str | None = None, k: int = 100) -> DataFrame:
     """(stem, count, document_count, examples): the most frequent stems with up to five forms each."""
-    docs = df.select(document_order().alias("doc"), raw_tokens(normalize_text(raw_document(df)), 3).alias("tokens"))
+    docs = pin(df.select(document_order().alias("doc"), raw_document(df).alias("text")), "tokens", raw_tokens(normalize_text(F.col("text")), 3))
     words = docs.select("doc", F.posexplode("tokens").alias("pos", "token"))
     at = F.struct("doc", (-F.col("pos")).alias("p"))
     forms = words.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max(at).alias("first")).withColumn("m", suffix_match(F.col("token"), suffixes)).where("m IS NOT NULL")
@@ -113,7 +113,7 @@ def verb_sentences(df: DataFrame, roots: Iterable[str] | str | None = None, root
     text = analysis_text(F.col("title"), F.col("complaint_text"), F.col("company_response_text"))
     docs = df.select("id", "company", F.col("complaint_date").alias("date"), "title", document_order().alias("doc"), split_sentences(text).alias("s"))
     sentences = docs.select("id", "company", "date", "title", "doc", F.posexplode("s").alias("sent", "sentence"))
-    sentences = sentences.withColumn("norm", normalize_text(F.col("sentence")))
+    sentences = pin(sentences, "norm", normalize_text(F.col("sentence")))
     if query:
         sentences = sentences.where(F.contains("norm", F.lit(normalize_python(query))))
     words = sentences.select("id", "doc", "sent", "sentence", raw_tokens(F.col("norm"), 1).alias("t"))
