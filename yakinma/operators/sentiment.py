@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from yakinma.functions.text import analysis_text, let, split_sentences
+from yakinma.functions.text import analysis_text, let, pin, split_sentences
 from yakinma.operators.classify import categories_of, classify_text
 from yakinma.operators.rules import Rules
 
@@ -86,9 +86,11 @@ def infer(df: DataFrame, text: str, make_scorer: Callable[[], Scorer], batch_siz
 
     @F.pandas_udf("array<struct<label:string,score:double>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        score = make_scorer()
+        score = None
         for s in batches:
             texts, out = s.tolist(), []
+            if texts and score is None:  # a run with nothing pending never loads the model
+                score = make_scorer()
             for a in range(0, len(texts), batch_size):
                 part = texts[a : a + batch_size]
                 try:
@@ -101,7 +103,7 @@ def infer(df: DataFrame, text: str, make_scorer: Callable[[], Scorer], batch_siz
                             out.append(None)
             yield pd.Series(out)
 
-    return df.withColumn(as_name, run(F.col(text)))
+    return pin(pin(df, "_in", F.col(text)), as_name, run(F.col("_in"))).drop("_in")
 
 
 def pending(df: DataFrame, results: DataFrame, aspects: DataFrame, model_id: str, version: str, rules: Rules | None = None) -> DataFrame:
@@ -121,13 +123,13 @@ def pending(df: DataFrame, results: DataFrame, aspects: DataFrame, model_id: str
 def upsert_results(results: DataFrame, new: DataFrame) -> DataFrame:
     """New rows replace those of the same complaint, model and version."""
     key = ["complaint_id", *KEYS]
-    return results.join(new.select(*key).distinct(), key, "left_anti").unionByName(new)
+    return results.join(new.select(*key).distinct(), key, "left_anti").unionByName(new).select(*results.columns)
 
 
 def replace_aspects(aspects: DataFrame, new: DataFrame, done: DataFrame) -> DataFrame:
     """All aspects of the complaints, model and version in ``done`` are replaced by ``new``."""
     key = ["complaint_id", *KEYS]
-    return aspects.join(done.select(*key).distinct(), key, "left_anti").unionByName(new)
+    return aspects.join(done.select(*key).distinct(), key, "left_anti").unionByName(new).select(*aspects.columns)
 
 
 def run_job(df: DataFrame, results: DataFrame, aspects: DataFrame, model_id: str, version: str, make_scorer: Callable[[], Scorer], rules: Rules | None = None) -> tuple[DataFrame, DataFrame]:

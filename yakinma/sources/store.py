@@ -107,7 +107,7 @@ class Store:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def _pointer(self, table: str) -> str:
-        return f"{self.path}/{table}/_current"
+        return f"{self.path}/{table}/CURRENT"
 
     def exists(self, table: str) -> bool:
         fs, p = self._fs(self._pointer(table))
