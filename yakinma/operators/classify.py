@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from yakinma.functions.rounding import py_round
-from yakinma.functions.text import analysis_text, let, padded, phrase_python, phrase_text
+from yakinma.functions.text import analysis_text, let, padded, phrase_python, phrase_text, pin
 from yakinma.operators.rules import ALL, OTHER, Rules
 
 
@@ -54,8 +54,8 @@ def explanation(result: Column) -> Column:
 
 def classified(df: DataFrame, rules: Rules | None = None, threshold: float = 2.0) -> DataFrame:
     """Add ``classification`` and ``categories`` of title and own body (the answer is not looked at)."""
-    df = df.withColumn("classification", classify_text(analysis_text(F.col("title"), F.col("complaint_text")), rules, threshold))
-    return df.withColumn("categories", categories_of(F.col("classification")))
+    df = pin(df, "classification", classify_text(analysis_text(F.col("title"), F.col("complaint_text")), rules, threshold))
+    return pin(df, "categories", categories_of(F.col("classification")))
 
 
 def in_category(category: str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from yakinma.functions.text import analysis_text, let, normalize_python, normalize_text, pin, raw_tokens
 from yakinma.operators.terms import document_order
+from yakinma.session import materialise
 
 
 def anchor_patterns(anchor: str) -> tuple[str, ...]:
@@ -70,7 +71,8 @@ def _occurrences(df: DataFrame, anchor: str, direction: str, window: int) -> Dat
     docs = pin(df.select("id", document_order().alias("doc"), "title", "complaint_text", "company_response_text"), "text", text).select("id", "doc", "text")
     docs = pin(docs, "tokens", raw_tokens(normalize_text(F.col("text")), 1))
     docs = pin(docs, "places", positions(F.col("tokens"), patterns))
-    return docs.select("id", "doc", F.size("places").alias("mentions"), contexts(F.col("tokens"), F.col("places"), patterns, direction, window).alias("contexts"))
+    docs = docs.select("id", "doc", F.size("places").alias("mentions"), contexts(F.col("tokens"), F.col("places"), patterns, direction, window).alias("contexts"))
+    return materialise(docs, "contexts")  # small, and read for the hits and for each total
 
 
 def analyze(df: DataFrame, anchor: str, direction: str = "left", window: int = 1, min_count: int = 1, top_k: int = 50) -> DataFrame:

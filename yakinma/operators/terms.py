@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from yakinma.functions.text import analysis_text, ngrams, normalize_text, pin, tokenize
 from yakinma.operators.classify import classified
 from yakinma.operators.rules import ALL, Rules
+from yakinma.session import materialise
 
 
 def document_order() -> Column:
@@ -30,7 +31,8 @@ def raw_document(df: DataFrame) -> Column:
 
 
 def _occurrences(df: DataFrame, n: int, keep: list[str]) -> DataFrame:
-    return df.select(*keep, document_order().alias("doc"), F.posexplode(ngrams(F.col("tokens"), n)).alias("pos", "term"))
+    docs = df.select(*keep, document_order().alias("doc"), "tokens") if n == 1 else pin(df.select(*keep, document_order().alias("doc"), "tokens"), "tokens", ngrams(F.col("tokens"), n))
+    return docs.select(*keep, "doc", F.posexplode("tokens").alias("pos", "term"))
 
 
 def _first() -> Column:
@@ -43,9 +45,10 @@ def _per_document(df: DataFrame, n: int, keep: list[str]) -> DataFrame:
     return _occurrences(df, n, keep).groupBy(*keep, "term", "doc").agg(F.count(F.lit(1)).alias("c"), F.min("pos").alias("pos"))
 
 
-def term_statistics(df: DataFrame, n: int = 1, min_df: int = 1) -> DataFrame:
-    """(term, count, df, score, first) of every n-gram of ``tokens``; the number of documents counts empty ones."""
-    total = df.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
+def term_statistics(df: DataFrame, n: int = 1, min_df: int = 1, docs: DataFrame | None = None) -> DataFrame:
+    """(term, count, df, score, first) of every n-gram of ``tokens``; the number of documents counts empty ones. It
+    is counted in ``docs``, the same rows before tokenising, so that they are not tokenised again for it."""
+    total = (df if docs is None else docs).agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
     by = _per_document(df, n, []).groupBy("term").agg(F.sum("c").alias("count"), F.count(F.lit(1)).alias("df"), _first())
     idf = F.log((1 + total) / (1 + F.col("df"))) + 1.0
     return by.where(F.col("df") >= min_df).withColumn("score", F.col("count") * idf)
@@ -60,25 +63,26 @@ def document_frequency(df: DataFrame, n: int = 1) -> DataFrame:
     return _per_document(df, n, []).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def tfidf(df: DataFrame, n: int = 1, k: int = 30, min_df: int = 2) -> DataFrame:
-    return term_statistics(df, n, min_df).orderBy(F.desc("score"), F.desc("first")).limit(k).select("term", "score", "count")
+def tfidf(df: DataFrame, n: int = 1, k: int = 30, min_df: int = 2, docs: DataFrame | None = None) -> DataFrame:
+    return term_statistics(df, n, min_df, docs).orderBy(F.desc("score"), F.desc("first")).limit(k).select("term", "score", "count")
 
 
-def word_table(df: DataFrame, n: int = 1, k: int = 50) -> DataFrame:
+def word_table(df: DataFrame, n: int = 1, k: int = 50, docs: DataFrame | None = None) -> DataFrame:
     """The k most frequent terms with their document frequency, and their score where it is among the k highest."""
-    stats = term_statistics(df, n)
+    stats = materialise(term_statistics(df, n, docs=docs), "terms")
     # two top-k reads of one aggregate; ranking it with a window would gather all terms in one task
     common = stats.orderBy(F.desc("count"), F.desc("first")).limit(k)
     best = stats.orderBy(F.desc("score"), F.desc("first")).limit(k).select("term", F.col("score").alias("best"))
     return common.join(F.broadcast(best), "term", "left").select("term", "count", "df", F.coalesce("best", F.lit(0.0)).alias("score"))  # k rows
 
 
-def distinctive(df: DataFrame, group: str, n: int = 1, k: int = 15) -> DataFrame:
+def distinctive(df: DataFrame, group: str, n: int = 1, k: int = 15, docs: DataFrame | None = None) -> DataFrame:
     """The k terms of each group with the highest count x (ln((1 + groups) / (1 + groups with the term)) + 1)."""
-    groups = df.agg(F.greatest(F.countDistinct(group), F.lit(1))).scalar()
+    groups = (df if docs is None else docs).agg(F.greatest(F.countDistinct(group), F.lit(1))).scalar()
     by = _per_document(df, n, [group]).groupBy(group, "term").agg(F.sum("c").alias("count"), _first())
-    presence = by.groupBy("term").agg(F.count(F.lit(1)).alias("presence"))
-    scored = by.join(presence, "term").withColumn("score", F.col("count") * (F.log((1 + groups) / (1 + F.col("presence"))) + 1.0))
+    # a term has at most one row for each group here, so this window holds no more than the groups
+    scored = by.withColumn("presence", F.count(F.lit(1)).over(Window.partitionBy("term")))
+    scored = scored.withColumn("score", F.col("count") * (F.log((1 + groups) / (1 + F.col("presence"))) + 1.0))
     order = Window.partitionBy(group).orderBy(F.desc("score"), F.desc("first"))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(group, "rank", "term", "score", "count")
 
@@ -86,6 +90,7 @@ def distinctive(df: DataFrame, group: str, n: int = 1, k: int = 15) -> DataFrame
 def category_terms(df: DataFrame, rules: Rules | None = None, n: int = 1, k: int = 15) -> DataFrame:
     """Distinctive terms of each category, and the plain TF-IDF terms of all records as the category of all."""
     docs = with_tokens(classified(df, rules), analysis_text(F.col("title"), F.col("complaint_text"), F.col("company_response_text")))
+    docs = materialise(docs.select("id", "complaint_date", "scraped_at", "categories", "tokens"), "tokens")  # read four times
     each = distinctive(docs.withColumn("category", F.explode("categories")), "category", n, k)
     whole = term_statistics(docs, n).orderBy(F.desc("score"), F.desc("first")).limit(k)
     rank = F.row_number().over(Window.orderBy(F.desc("score"), F.desc("first")))  # k rows

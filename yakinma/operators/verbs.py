@@ -77,7 +77,8 @@ def suffix_stats(df: DataFrame, suffixes: Iterable[str] | str | None = None, k:
     docs = pin(df.select(document_order().alias("doc"), raw_document(df).alias("text")), "tokens", raw_tokens(normalize_text(F.col("text")), 3))
     words = docs.select("doc", F.posexplode("tokens").alias("pos", "token"))
     at = F.struct("doc", (-F.col("pos")).alias("p"))
-    forms = words.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max(at).alias("first")).withColumn("m", suffix_match(F.col("token"), suffixes)).where("m IS NOT NULL")
+    forms = words.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max(at).alias("first"))
+    forms = pin(forms, "m", suffix_match(F.col("token"), suffixes)).where("m IS NOT NULL")
     forms = forms.select(F.col("m.stem").alias("stem"), "token", "n", "first")
     examples = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("n", "first", "token")))), 1, 5)
     stems = forms.groupBy("stem").agg(F.sum("n").alias("count"), F.max("first").alias("first"), F.transform(examples, lambda e: e["token"]).alias("examples"))
@@ -111,14 +112,16 @@ def verb_sentences(df: DataFrame, roots: Iterable[str] | str | None = None, root
     """(sentence, root, expression, token, id, company, date, title): the first record of each (sentence, root,
     expression); an expression is the form with the word before it, unless that is a function word."""
     text = analysis_text(F.col("title"), F.col("complaint_text"), F.col("company_response_text"))
-    docs = df.select("id", "company", F.col("complaint_date").alias("date"), "title", document_order().alias("doc"), split_sentences(text).alias("s"))
+    docs = df.select("id", "company", F.col("complaint_date").alias("date"), "title", document_order().alias("doc"), "complaint_text", "company_response_text")
+    docs = pin(docs, "s", split_sentences(text)).drop("complaint_text", "company_response_text")
     sentences = docs.select("id", "company", "date", "title", "doc", F.posexplode("s").alias("sent", "sentence"))
     sentences = pin(sentences, "norm", normalize_text(F.col("sentence")))
     if query:
         sentences = sentences.where(F.contains("norm", F.lit(normalize_python(query))))
-    words = sentences.select("id", "doc", "sent", "sentence", raw_tokens(F.col("norm"), 1).alias("t"))
+    words = pin(sentences.select("id", "doc", "sent", "sentence", "norm"), "t", raw_tokens(F.col("norm"), 1)).drop("norm")
     words = words.select("id", "doc", "sent", "sentence", F.col("t"), F.posexplode("t").alias("pos", "token"))
-    forms = words.select("token").distinct().withColumn("root", match_root(F.col("token"), roots)).where("root IS NOT NULL")
+    # pinned, else the condition on the root is inferred for every word of the other side of the join
+    forms = pin(words.select("token").distinct(), "root", match_root(F.col("token"), roots)).where("root IS NOT NULL")
     if root and root != "Tümü":
         forms = forms.where(F.col("root") == normalize_python(root))
     before = F.get("t", F.col("pos") - 1)

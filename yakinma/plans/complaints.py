@@ -10,7 +10,7 @@ from yakinma.functions.dates import elapsed_hours, parse_datetime
 from yakinma.operators import classify, context, kpi, terms, verbs
 from yakinma.operators.rules import ALL, Rules
 from yakinma.plans import fragments as Q
-from yakinma.session import table
+from yakinma.session import spread, table
 
 #: Parameters of the registered queries.
 COMPANY, OTHER_COMPANY, START, END = "varvanya-home", "revrena-mobilya", "2024-01-01", "2025-12-31"
@@ -19,10 +19,18 @@ OWN_RULES = Rules.of({"Gecikme": {"bekliyor": 2.0, "gün bekletilmiş": 3.0, "te
 ROUND = 6
 
 
+#: Columns that the text operators read.
+TEXT_COLUMNS = ("id", "company", "complaint_date", "scraped_at", "title", "complaint_text", "company_response_text", "resolved", "company_responded", "response_hours", "resolution_hours")
+
+
 def _c(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "complaints")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(_c(spark, sf_dir).select(*TEXT_COLUMNS))
+
+
 def _rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, ROUND) for c in cols})
 
@@ -49,15 +57,15 @@ def kpi_metrics(spark, sf_dir):
 
 
 def category_summary(spark, sf_dir):
-    return kpi.category_summary(_c(spark, sf_dir))
+    return kpi.category_summary(_texts(spark, sf_dir))
 
 
 def own_category_summary(spark, sf_dir):
-    return kpi.category_summary(_c(spark, sf_dir), OWN_RULES)
+    return kpi.category_summary(_texts(spark, sf_dir), OWN_RULES)
 
 
 def category_shares(spark, sf_dir):
-    return kpi.category_shares(_c(spark, sf_dir))
+    return kpi.category_shares(_texts(spark, sf_dir))
 
 
 def company_statistics(spark, sf_dir):
@@ -65,7 +73,7 @@ def company_statistics(spark, sf_dir):
 
 
 def dashboard(spark, sf_dir):
-    return _rounded(kpi.dashboard(_c(spark, sf_dir)), "per_day")
+    return _rounded(kpi.dashboard(_texts(spark, sf_dir)), "per_day")
 
 
 def trend_months(spark, sf_dir):
@@ -81,30 +89,30 @@ def company_comparison(spark, sf_dir):
 
 
 def classified_rows(spark, sf_dir):
-    df = classify.classified(_c(spark, sf_dir), OWN_RULES)
+    df = classify.classified(_texts(spark, sf_dir), OWN_RULES)
     score = F.coalesce(F.get("classification.scores", F.lit(0))["score"], F.lit(0.0))
     return df.select("id", "classification.primary", score.alias("score"), F.array_join("categories", "|").alias("categories"), classify.explanation(F.col("classification")).alias("why"))
 
 
 def category_rows(spark, sf_dir):
-    return classify.classified(_c(spark, sf_dir)).where(classify.in_category("Montaj / Servis")).select("id", "company")
+    return classify.classified(_texts(spark, sf_dir)).where(classify.in_category("Montaj / Servis")).select("id", "company")
 
 
 def analysis_texts(spark, sf_dir):
-    return _c(spark, sf_dir).select("id", X.analysis_text(F.col("title"), F.col("complaint_text"), F.col("company_response_text")).alias("text"))
+    return _texts(spark, sf_dir).select("id", X.analysis_text(F.col("title"), F.col("complaint_text"), F.col("company_response_text")).alias("text"))
 
 
 def sentences(spark, sf_dir):
-    return _c(spark, sf_dir).select("id", F.posexplode(X.split_sentences(F.col("complaint_text"))).alias("nth", "sentence"))
+    return _texts(spark, sf_dir).select("id", F.posexplode(X.split_sentences(F.col("complaint_text"))).alias("nth", "sentence"))
 
 
 def best_texts(spark, sf_dir):
     text = X.best_text(F.col("complaint_text"), F.col("title"))
-    return _c(spark, sf_dir).select("id", X.preview(text, 300).alias("text"), X.highlight(X.preview(text, 300), ["iade", "koltuk"]).alias("html"))
+    return _texts(spark, sf_dir).select("id", X.preview(text, 300).alias("text"), X.highlight(X.preview(text, 300), ["iade", "koltuk"]).alias("html"))
 
 
 def _tokens(spark, sf_dir):
-    df = _c(spark, sf_dir)
+    df = _texts(spark, sf_dir)
     return terms.with_tokens(df, terms.raw_document(df))
 
 
@@ -117,51 +125,51 @@ def document_frequencies(spark, sf_dir):
 
 
 def tfidf_bigrams(spark, sf_dir):
-    return _rounded(terms.tfidf(_tokens(spark, sf_dir), 2, 30, 2), "score")
+    return _rounded(terms.tfidf(_tokens(spark, sf_dir), 2, 30, 2, _c(spark, sf_dir)), "score")
 
 
 def word_table(spark, sf_dir):
-    return _rounded(terms.word_table(_tokens(spark, sf_dir), 1, 50), "score")
+    return _rounded(terms.word_table(_tokens(spark, sf_dir), 1, 50, _c(spark, sf_dir)), "score")
 
 
 def category_terms(spark, sf_dir):
-    return _rounded(terms.category_terms(_c(spark, sf_dir), OWN_RULES, 1, 15), "score")
+    return _rounded(terms.category_terms(_texts(spark, sf_dir), OWN_RULES, 1, 15), "score")
 
 
 def company_terms(spark, sf_dir):
-    return _rounded(terms.distinctive(_tokens(spark, sf_dir), "company", 1, 5), "score")
+    return _rounded(terms.distinctive(_tokens(spark, sf_dir), "company", 1, 5, _c(spark, sf_dir)), "score")
 
 
 def suffix_verbs(spark, sf_dir):
-    return verbs.suffix_stats(_c(spark, sf_dir), "-dım; -dık; yor, ildi", 100).withColumn("examples", F.array_join("examples", "|"))
+    return verbs.suffix_stats(_texts(spark, sf_dir), "-dım; -dık; yor, ildi", 100).withColumn("examples", F.array_join("examples", "|"))
 
 
 def progressive_verbs(spark, sf_dir):
-    return verbs.suffix_stats(_c(spark, sf_dir)).withColumn("examples", F.array_join("examples", "|"))
+    return verbs.suffix_stats(_texts(spark, sf_dir)).withColumn("examples", F.array_join("examples", "|"))
 
 
 def verb_sentences(spark, sf_dir):
-    return verbs.verb_sentences(_c(spark, sf_dir)).select("sentence", "root", "expression", "token", "id")
+    return verbs.verb_sentences(_texts(spark, sf_dir)).select("sentence", "root", "expression", "token", "id")
 
 
 def verb_sentence_counts(spark, sf_dir):
-    return verbs.verb_sentence_counts(verbs.verb_sentences(_c(spark, sf_dir), root="gel"))
+    return verbs.verb_sentence_counts(verbs.verb_sentences(_texts(spark, sf_dir), root="gel"))
 
 
 def context_left(spark, sf_dir):
-    return _rounded(context.analyze(_c(spark, sf_dir), "bayi*", "left", 2, 2, 50), "anchor_share", "period_share")
+    return _rounded(context.analyze(_texts(spark, sf_dir), "bayi*", "left", 2, 2, 50), "anchor_share", "period_share")
 
 
 def context_both(spark, sf_dir):
-    return _rounded(context.analyze(_c(spark, sf_dir), "iş günü", "both", 1, 1, 50), "anchor_share", "period_share")
+    return _rounded(context.analyze(_texts(spark, sf_dir), "iş günü", "both", 1, 1, 50), "anchor_share", "period_share")
 
 
 def context_bridge(spark, sf_dir):
-    return context.bridge(_c(spark, sf_dir), "bayi*", "right", 1)
+    return context.bridge(_texts(spark, sf_dir), "bayi*", "right", 1)
 
 
 def context_totals(spark, sf_dir):
-    return context.meta(_c(spark, sf_dir), "bayi*", "left", 2)
+    return context.meta(_texts(spark, sf_dir), "bayi*", "left", 2)
 
 
 def site_dates(spark, sf_dir):

@@ -12,7 +12,7 @@ from yakinma import schema as S
 from yakinma.operators import sentiment
 from yakinma.plans import fragments as Q
 from yakinma.plans.complaints import COMPANY, OWN_RULES
-from yakinma.session import shared_dir, table
+from yakinma.session import shared_dir, spread, table
 from yakinma.sources import pages, store
 from yakinma.streaming.upserts import crawl_stream, run_upserts
 
@@ -25,6 +25,10 @@ def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     return table(spark, sf_dir, "complaints"), results, table(spark, sf_dir, "aspect_sentiment")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "complaints").select("id", "title", "complaint_text"))
+
+
 def _round(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" and c not in keep else c for c, t in df.dtypes])
 
@@ -58,7 +62,7 @@ def priority_table(spark, sf_dir):
 
 
 def text_hashes(spark, sf_dir):
-    df = table(spark, sf_dir, "complaints").select("id", sentiment.text_fingerprint(F.col("title"), F.col("complaint_text")).alias("text_hash"))
+    df = _texts(spark, sf_dir).select("id", sentiment.text_fingerprint(F.col("title"), F.col("complaint_text")).alias("text_hash"))
     return df.withColumn("aspect_hash", sentiment.aspect_fingerprint(F.col("text_hash"), OWN_RULES))
 
 
@@ -67,12 +71,12 @@ def pending_rows(spark, sf_dir):
 
 
 def aspect_sentences(spark, sf_dir):
-    df = sentiment.aspect_sentences(table(spark, sf_dir, "complaints"), OWN_RULES)
+    df = sentiment.aspect_sentences(_texts(spark, sf_dir), OWN_RULES)
     return df.withColumn("categories", F.array_join("categories", "|"))
 
 
 def sentence_explanations(spark, sf_dir):
-    df = sentiment.explain_sentences(table(spark, sf_dir, "complaints"), OWN_RULES)
+    df = sentiment.explain_sentences(_texts(spark, sf_dir), OWN_RULES)
     return df.withColumns({"categories": F.array_join("categories", "|"), "terms": F.array_join("terms", "|")})
 
 
