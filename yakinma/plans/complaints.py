@@ -256,6 +256,14 @@ stems AS (SELECT stem, count(*) AS count, count(DISTINCT rk) AS document_count,
 SELECT stem, count, document_count, examples FROM stems JOIN ex USING (stem) ORDER BY count DESC, f LIMIT 100"""
 
 
+_VARIANTS = "(VALUES " + ", ".join(f"({k}, {Q.lit(b)}, {Q.lit(r)})" for k, (b, r) in enumerate(verbs.root_variants(verbs.ROOTS))) + ") AS v(ord, b, r)"
+_VERBS = f"""WITH docs AS (SELECT id, {_DOCS}, {Q.analysis('title', 'complaint_text', 'company_response_text')} AS body FROM complaints),
+sent AS ({Q.numbered('docs', 'id, rk', Q.sentence_list('body'), 'sentence')}),
+w AS (SELECT id, rk, nth AS sent, sentence, xs[i] AS token, CASE WHEN i > 1 THEN xs[i - 1] END AS before, i FROM (SELECT *, unnest(range(1, length(xs) + 1)) AS i FROM (SELECT *, {Q.raw_tokens(Q.norm('sentence'), 1)} AS xs FROM sent))),
+forms AS (SELECT token, arg_min(r, ord) AS root FROM (SELECT DISTINCT token FROM w) t, {_VARIANTS} WHERE length(token) >= 2 AND starts_with(token, b) AND regexp_matches(substr(token, length(b) + 1), '{verbs.TAIL}') GROUP BY token),
+found AS (SELECT *, CASE WHEN before IS NOT NULL AND before NOT IN ({', '.join(Q.lit(x) for x in verbs.FUNCTION_WORDS)}) THEN before || ' ' || token ELSE token END AS expression FROM w JOIN forms USING (token)),
+firsts AS (SELECT DISTINCT ON (sentence, root, expression) * FROM found ORDER BY sentence, root, expression, rk, sent, i)
+"""
 _ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 _BEST = "coalesce(nullif(trim(complaint_text), ''), nullif(trim(title), ''), '—')"
 _PREVIEW = f"CASE WHEN length({_BEST}) > 300 THEN substr({_BEST}, 1, 300) || '…' ELSE {_BEST} END"
@@ -304,6 +312,9 @@ sc AS (SELECT company, term, n, first, n * (ln((1 + (SELECT count(DISTINCT compa
 SELECT company, rank, term, round(score, 6) AS score, n AS count FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY score DESC, first) AS rank FROM sc) WHERE rank <= 5""",
     "suffix_verbs": _suffix_sql(verbs.parse_suffixes("-dım; -dık; yor, ildi")),
     "progressive_verbs": _suffix_sql(verbs.PROGRESSIVE),
+    "sentences": Q.numbered("complaints", "id", Q.sentence_list("complaint_text"), "sentence"),
+    "verb_sentences": _VERBS + "SELECT sentence, root, expression, token, id FROM firsts",
+    "verb_sentence_counts": _VERBS + "SELECT count(DISTINCT sentence) AS sentences, count(DISTINCT root) AS roots, count(DISTINCT id) AS records FROM firsts WHERE root = 'gel'",
     "context_left": _context(["bayi"], True, _LEFT2) + _hits(2),
     "context_both": _context(["iş", "günü"], False, _BOTH) + _hits(1),
     "context_bridge": _context(["bayi"], True, _RIGHT1) + "SELECT DISTINCT context, id FROM ctx",

@@ -94,3 +94,14 @@ ISO_DAY = r"""CASE WHEN regexp_full_match({0}, '\d{{4}}-\d{{2}}-\d{{2}}([ T]\d{{
 
 def iso_day(x: str) -> str:
     return ISO_DAY.format(x)
+
+
+def sentence_list(x: str) -> str:
+    """The sentences of a text as a list: cut behind . ! ? with a blank, and at line ends."""
+    marked = f"regexp_replace(regexp_replace(trim(coalesce({x}, '')), '([.!?]){BLANKS}', '\\1' || chr(1), 'g'), '\\s*[\\r\\n]+\\s*', chr(1), 'g')"
+    return f"list_filter(list_transform(string_split({marked}, chr(1)), lambda s: {space('s')}), lambda s: s <> '')"
+
+
+def numbered(source: str, columns: str, values: str, name: str) -> str:
+    """SELECT of ``columns`` with each element of a list as ``name`` and its place from 0 as ``nth``."""
+    return f"SELECT {columns}, nth - 1 AS nth, xs[nth] AS {name} FROM (SELECT *, unnest(range(1, length(xs) + 1)) AS nth FROM (SELECT *, {values} AS xs FROM {source}))"

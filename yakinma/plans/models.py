@@ -186,7 +186,31 @@ last AS (SELECT DISTINCT ON (complaint_url) * FROM {source} ORDER BY complaint_u
 _CLEAN = f"nullif({Q.sanitize('complaint_text', 'company_response_text')}, '')"
 _MERGED = f"nullif({Q.sanitize('body', 'company_response_text')}, '')"
 
+_NAMES = "coalesce(nullif(array_to_string(list(c.category ORDER BY c.score DESC, c.k), '|'), ''), {0})"
+
+
+def _sentences(text: str, rest: str = "") -> str:
+    """CTEs ``s`` (id, nth, sentence, key), and the classification of the sentences by key."""
+    return f"""base AS (SELECT id, {text} AS body{rest} FROM complaints), s AS (SELECT *, id * 100000 + nth AS key FROM ({Q.numbered('base', 'id', Q.sentence_list('body'), 'sentence')})),
+texts AS (SELECT key AS id, sentence AS text FROM s), {Q.classification('texts', OWN_RULES)}"""
+
+
+_BODY = "coalesce(nullif(trim(complaint_text), ''), nullif(trim(title), ''), '')"
+_BAD = " OR ".join(f"contains(sentence, {Q.lit(w)})" for w in ("gecikti", "hatası", "gelmiyor", "kusurlu"))
+_SCORES = f"""CASE WHEN {_BAD} THEN 0.9e0 ELSE 0.2e0 END AS a, CASE WHEN {_BAD} THEN 0.08e0 ELSE 0.6e0 END AS b"""
+_ANSWER = f"nullif({Q.space('company_response_text')}, '')"
+
 SQL = {
+    "aspect_sentences": f"WITH {_sentences(Q.analysis('title', 'complaint_text'))} SELECT s.id, s.nth AS sent, s.sentence, array_to_string(l.categories, '|') AS categories FROM s JOIN labels l ON l.id = s.key",
+    "sentence_explanations": f"""WITH {_sentences(_BODY)}, terms AS (SELECT id, array_to_string(list_distinct_first(flatten(list(phrases ORDER BY score DESC, k))), '|') AS terms FROM cats GROUP BY id)
+SELECT s.id, s.nth AS sent, s.sentence, CASE WHEN l.classified THEN array_to_string(l.categories, '|') ELSE 'Genel' END AS categories, coalesce(t.terms, '') AS terms FROM s JOIN labels l ON l.id = s.key LEFT JOIN terms t ON t.id = s.key""".replace(
+        "list_distinct_first(flatten(list(phrases ORDER BY score DESC, k)))", "list_reduce(flatten(list(phrases ORDER BY score DESC, k)), lambda a, p: CASE WHEN list_contains(a, p) THEN a ELSE a || [p] END, []::VARCHAR[])"
+    ),
+    "sentiment_job": f"""WITH {_sentences(Q.analysis('title', 'complaint_text'))}, scored AS (SELECT s.*, {_SCORES} FROM s),
+each AS (SELECT x.id, a / (a + b + (1 - a - b)) AS negative, b / (a + b + (1 - a - b)) AS neutral, (1 - a - b) / (a + b + (1 - a - b)) AS positive, unnest(l.categories) AS category FROM scored x JOIN labels l ON l.id = x.key)
+SELECT id AS complaint_id, category, '{MODEL}' AS model_id, '3' AS analyzer_version, CAST(count(*) AS INT) AS sentence_count, round(avg(negative), 6) AS negative, round(avg(neutral), 6) AS neutral, round(avg(positive), 6) AS positive FROM each GROUP BY ALL""",
+    "extracted_pages": f"SELECT company, complaint_url, nullif({Q.space('title')}, '') AS title, nullif({Q.sanitize(Q.space('complaint_text'), Q.space('company_response_text'))}, '') AS complaint_text, resolved <> 0 AS resolved, "
+    f"{_ANSWER} IS NOT NULL AS company_responded, listing_page FROM complaints",
     "sentiment_rows": _JOINED + "SELECT id, company, complaint_date, resolved, company_responded, label, confidence, negative, neutral, positive, "
     "CASE label WHEN 'negative' THEN 'Negatif' WHEN 'neutral' THEN 'Nötr' WHEN 'positive' THEN 'Pozitif' END AS label_tr FROM j",
     "label_counts": f"WITH {_RESULTS} SELECT count(*) AS total, count_if(label = 'negative') AS negative, count_if(label = 'neutral') AS neutral, count_if(label = 'positive') AS positive, round(coalesce(avg(negative), 0), 6) AS mean_negative "
