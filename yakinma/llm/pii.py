@@ -67,10 +67,10 @@ EMAIL = re.compile(
 )
 _S = r"[\s .\-/()]{0,3}"
 PHONE_TR = re.compile(rf"(?<![\w+])(?:\(?(?:\+|00)\s?90\)?|\(?0){_S}[2-5]\d\d{_S}\d{{3}}{_S}\d\d{_S}\d\d(?!\d)")
-PHONE_ABROAD = re.compile(r"(?<![\w+])\(?(?:\+|(?<!\d[\s.\-/])00)(?!\s?90)[1-9](?:[ \-./()]{0,2}\d){7,14}")
-PHONE_BARE = re.compile(r"(?<![\w+/.\-])\(?5\d\d\)?[ .\-]?\d{3}[ .\-]?\d\d[ .\-]?\d\d(?![\d])")
+PHONE_ABROAD = re.compile(r"(?<![\w+])\(?(?:\+|(?<!\d[\s.\-/])00)(?!\s?90)[1-9](?:[\s\-./()]{0,2}\d){7,14}")
+PHONE_BARE = re.compile(r"(?<![\w+/.\-])\(?5\d\d\)?[\s.\-]?\d{3}[\s.\-]?\d\d[\s.\-]?\d\d(?!\d)")
 _LABEL = re.compile(r"(?:siparis|fatura|takip|barkod|ref|referans|dekont|seri|parca|dosya|sozlesme|police)\w*\s*(?:no|numara\w*|kodu?)?\s*[:.#]?\s*$")
-IDENTITY = re.compile(r"(?=(?<![\w+])([1-9](?:[  .\-]?\d){10})(?!\d))")
+IDENTITY = re.compile(r"(?=(?<![\w+])([1-9](?:[\s.\-]?\d){10})(?!\d))")
 #: Digits behind a country code, at least and at most (fixed values).
 NATIONAL = {"1": (10, 10), "7": (10, 10), "20": (9, 10), "30": (10, 10), "31": (9, 9), "32": (8, 9), "33": (9, 9), "34": (9, 9), "36": (8, 9), "39": (9, 10), "40": (9, 9), "41": (9, 9), "43": (8, 12), "44": (10, 10), "45": (8, 8), "46": (7, 9), "47": (8, 8), "48": (9, 9), "49": (9, 11), "61": (9, 9), "91": (10, 10), "357": (8, 8), "359": (8, 9), "380": (9, 9), "420": (9, 9), "971": (8, 9), "994": (9, 9), "995": (9, 9)}
 

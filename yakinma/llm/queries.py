@@ -6,45 +6,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yakinma.llm import chunking, neardup, packing, pii, quantiles, residue, terms, tokens
-from yakinma.session import materialise, table
+from yakinma.session import materialise, spread, table
 
 #: The key of the registered redaction query; a deployment passes its own secret.
 DEMO_KEY = b"yakinma-demo-key"
 TEXT_FIELDS = ("complaint_text", "company_response_text")
 
 
+def _rows(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(table(spark, sf_dir, "complaints"), TEXT_FIELDS)
+    return pii.find(_rows(spark, sf_dir, "complaints", "id", *TEXT_FIELDS), TEXT_FIELDS)
 
 
 def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "complaints").select("id", "company", *TEXT_FIELDS)
+    df = _rows(spark, sf_dir, "complaints", "id", "company", *TEXT_FIELDS)
     return pii.redact(df, TEXT_FIELDS, DEMO_KEY)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.marked_terms(table(spark, sf_dir, "complaints"), "complaint_text", "id").where("mark IS NOT NULL").select("term", "n_total", "n_records", "mark")
+    return terms.marked_terms(_rows(spark, sf_dir, "complaints", "id", "complaint_text"), "complaint_text", "id").where("mark IS NOT NULL").select("term", "n_total", "n_records", "mark")
 
 
 def p4_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many terms and occurrences each mark covers, the unmarked ones included."""
-    marked = terms.marked_terms(table(spark, sf_dir, "complaints"), "complaint_text", "id")
+    marked = terms.marked_terms(_rows(spark, sf_dir, "complaints", "id", "complaint_text"), "complaint_text", "id")
     by = marked.groupBy(F.coalesce("mark", F.lit("kept")).alias("mark"))
     return by.agg(F.count(F.lit(1)).alias("n_terms"), F.sum("n_total").alias("n_total"))
 
 
+RESIDUE_COLUMNS = ("id", "company", "title", *TEXT_FIELDS, "company_responded")
+
+
 def _residue_model(df: DataFrame) -> residue.Model:
     return residue.train(df, TEXT_FIELDS, "title", "company", "company_responded")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "complaints")
+    df = _rows(spark, sf_dir, "complaints", *RESIDUE_COLUMNS)
     return residue.find(df, TEXT_FIELDS, "title", _residue_model(df))
 
 
 def p5_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures of the classifier on the weak labels of companies it was not trained on."""
-    report = _residue_model(table(spark, sf_dir, "complaints")).report
+    report = _residue_model(table(spark, sf_dir, "complaints").select(*RESIDUE_COLUMNS)).report
     return spark.createDataFrame(sorted(report.items()), "figure string, value double")
 
 
@@ -67,19 +74,19 @@ def p6_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.all_pairs(*neardup.similar(table(spark, sf_dir, "complaints"), "id", ("title", "complaint_text")))
+    return neardup.all_pairs(*neardup.similar(_rows(spark, sf_dir, "complaints", "id", "title", "complaint_text"), "id", ("title", "complaint_text")))
 
 
 def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.groups(*neardup.similar(table(spark, sf_dir, "complaints"), "id", ("title", "complaint_text")))
+    return neardup.groups(*neardup.similar(_rows(spark, sf_dir, "complaints", "id", "title", "complaint_text"), "id", ("title", "complaint_text")))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.encode(table(spark, sf_dir, "documents"), "text", "doc_id")
+    return tokens.encode(_rows(spark, sf_dir, "documents", "doc_id", "text"), "text", "doc_id")
 
 
 def p9_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = tokens.count_tokens(table(spark, sf_dir, "documents"), "text", "doc_id")
+    sizes = tokens.count_tokens(_rows(spark, sf_dir, "documents", "doc_id", "text"), "text", "doc_id")
     return packing.pack(sizes, "doc_id", "n_tokens", 512).withColumnRenamed("id", "doc_id")
 
 
@@ -91,7 +98,7 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.split(table(spark, sf_dir, "documents"), "text", "doc_id", limit=512, overlap=32)
+    return chunking.split(_rows(spark, sf_dir, "documents", "doc_id", "text"), "text", "doc_id", limit=512, overlap=32)
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_marks, p5_found, p5_validation, p6_percentiles, p6_companies, p7_found, p7_groups, p8_ids, p9_batches, p9_fill, p10_pieces)}
