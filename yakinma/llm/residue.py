@@ -66,6 +66,9 @@ BITS = 18
 #: How far below the decision border a segment is still proposed to the exact check.
 MARGIN = 2.0
 DIM = (1 << BITS) + 16
+#: Features behind the hashed ones: length 0-5, field 6-7, segments 8-11, title overlap 12-13, a weak label's phrase 14.
+PHRASE = (1 << BITS) + 14
+_KEYS = frozenset(p[:4] for p in MACHINE_PHRASES)
 
 
 def fold(text: str) -> str:
@@ -119,7 +122,8 @@ def segment_features(texts: Sequence[str], titles: Sequence[str | None], sides:
             words = _WORD.findall(part)
             h = np.fromiter(map(_hash, words), np.int64, len(words))
             n = len(words)
-            extra = [(1 << BITS) + min(5, n // 4), (1 << BITS) + 6 + side, (1 << BITS) + 8 + min(3, len(parts) - 1), (1 << BITS) + 12 + int(any(w[:5] in head for w in words))]
+            extra = [PHRASE] if machine_words(words) and not telling(words) else []
+            extra += [(1 << BITS) + min(5, n // 4), (1 << BITS) + 6 + side, (1 << BITS) + 8 + min(3, len(parts) - 1), (1 << BITS) + 12 + int(any(w[:5] in head for w in words))]
             own = np.concatenate([h & ((1 << BITS) - 1), ((h[:-1] * 31 + h[1:] * 17) ^ 0x9E37) & ((1 << BITS) - 1), np.array(extra)])
             ids.append(own)
             starts.append(at)
@@ -135,6 +139,15 @@ def segment_scores(s: Segments, weights: np.ndarray, bias: float) -> np.ndarray:
     return np.add.reduceat(weights[s.ids], s.starts) / np.sqrt(lens) + bias
 
 
+def machine_words(words: Sequence[str]) -> bool:
+    """A machine phrase, or mostly words of the Latin filler."""
+    if not _KEYS.isdisjoint(w[:4] for w in words):
+        flat = " ".join(words)
+        if any(p in flat for p in MACHINE_PHRASES):
+            return True
+    return len(words) > 2 and sum(w in FILLER for w in words) > len(words) / 2
+
+
 def weak_labels(parts: Sequence[str], answered: bool) -> list[int | None]:
     """Of the shaped segments of one field: 1 machine text or slot, 0 ordinary, None undecided. Short segments and
     polite phrases are ordinary where they stand among several without a machine phrase, in an answered record;
@@ -142,12 +155,11 @@ def weak_labels(parts: Sequence[str], answered: bool) -> list[int | None]:
     out: list[int | None] = []
     for part in parts:
         words = _WORD.findall(part)
-        flat = " ".join(words)
-        if "<slot>" in words or "<hole>" in words or (len(words) > 2 and sum(w in FILLER for w in words) > len(words) / 2):
+        if "<slot>" in words or "<hole>" in words:
             out.append(1)
-        elif any(p in flat for p in MACHINE_PHRASES):
+        elif machine_words(words):
             # a person who tells of a message tells it with a verb in the first person or of speech
-            out.append(0 if any(TELLING.search(w) for w in words) else 1)
+            out.append(0 if telling(words) else 1)
         else:
             out.append(0 if len(words) >= 5 else None)
     if answered and len(parts) >= 3 and 1 not in out:
@@ -158,6 +170,14 @@ def weak_labels(parts: Sequence[str], answered: bool) -> list[int | None]:
 TELLING = re.compile(r"..(?:[dt][iu]m|[dt][iu]k|yorum|yoruz|diyor|dedi|yazdi|diler)$|^diyor$|^dedi$")
 
 
+#: Nouns that only look like such verbs (fixed values).
+NO_VERBS = frozenset("betik etik optik butik plastik otomatik pratik estetik kritik akustik lastik mistik statik turistik adim kadim".split())
+
+
+def telling(words: Sequence[str]) -> bool:
+    return any(TELLING.search(w) and w not in NO_VERBS for w in words)
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -167,7 +187,8 @@ class Model:
 
 
 def _fit(s: Segments, y: np.ndarray, l2: float, epochs: int, seed: int) -> tuple[np.ndarray, float]:
-    """Logistic regression by AdaGrad over mini-batches; a tenth of each segment's features is hidden each time."""
+    """Logistic regression by AdaGrad over mini-batches. Each time a tenth of a segment's features is hidden, and the
+    mark of a labelling phrase in every other segment, so that the words around it are learned as well."""
     rng = np.random.default_rng(seed)
     w, g2, b, gb = np.zeros(DIM), np.full(DIM, 1e-6), 0.0, 1e-6
     lens = np.diff(np.append(s.starts, len(s.ids)))
@@ -180,7 +201,7 @@ def _fit(s: Segments, y: np.ndarray, l2: float, epochs: int, seed: int) -> tuple
             ends = np.cumsum(n)
             pos = np.arange(ends[-1]) + np.repeat(s.starts[use] - (ends - n), n)
             f, row = s.ids[pos], np.repeat(np.arange(len(use)), n)
-            keep = (rng.random(len(f)) > 0.1) / np.sqrt(n)[row]
+            keep = (rng.random(len(f)) > np.where(f == PHRASE, 0.5, 0.1)) / np.sqrt(n)[row]
             z = np.bincount(row, weights=w[f] * keep, minlength=len(use)) + b
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[use]) * balance[use]
             known, where = np.unique(f, return_inverse=True)
@@ -196,7 +217,7 @@ def held_out(host: str | None) -> bool:
     return zlib.crc32((host or "").encode()) % 5 == 0
 
 
-def train(df: DataFrame, fields: Sequence[str], title: str, host: str, status: str, sample_rows: int = 12_000, l2: float = 1e-6, epochs: int = 10, seed: int = 11) -> Model:
+def train(df: DataFrame, fields: Sequence[str], title: str, host: str, status: str, sample_rows: int = 20_000, l2: float = 1e-6, epochs: int = 10, seed: int = 11) -> Model:
     """Fit on about ``sample_rows`` rows, drawn by hash over the whole table, hosts held out by hash."""
     n = df.count()
     rows = df.select(*fields, title, host, status).sample(min(1.0, sample_rows / max(1, n)), seed).limit(2 * sample_rows).toArrow().to_pylist()
