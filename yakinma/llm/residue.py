@@ -68,7 +68,8 @@ MARGIN = 2.0
 DIM = (1 << BITS) + 16
 #: Features behind the hashed ones: length 0-5, field 6-7, segments 8-11, title overlap 12-13, a weak label's phrase 14.
 PHRASE = (1 << BITS) + 14
-_KEYS = frozenset(p[:4] for p in MACHINE_PHRASES)
+#: The longest word of each phrase: a text without any of them, and without a run of x, has no phrase.
+_KEYS = frozenset(max(p.split(), key=len) for p in MACHINE_PHRASES)
 
 
 def fold(text: str) -> str:
@@ -113,23 +114,44 @@ class Segments:
 
 
 def segment_features(texts: Sequence[str], titles: Sequence[str | None], sides: Sequence[int]) -> Segments:
-    ids: list[np.ndarray] = []
-    starts, owner, at = [], [], 0
-    for k, (text, title, side) in enumerate(zip(texts, titles, sides, strict=True)):
-        head = {w[:5] for w in _WORD.findall(fold(title or "")) if len(w) > 3}
-        parts = [p for p in _SEGMENT.split(shaped(text)) if p.strip()]
-        for part in parts:
-            words = _WORD.findall(part)
-            h = np.fromiter(map(_hash, words), np.int64, len(words))
-            n = len(words)
-            extra = [PHRASE] if machine_words(words) and not telling(words) else []
-            extra += [(1 << BITS) + min(5, n // 4), (1 << BITS) + 6 + side, (1 << BITS) + 8 + min(3, len(parts) - 1), (1 << BITS) + 12 + int(any(w[:5] in head for w in words))]
-            own = np.concatenate([h & ((1 << BITS) - 1), ((h[:-1] * 31 + h[1:] * 17) ^ 0x9E37) & ((1 << BITS) - 1), np.array(extra)])
-            ids.append(own)
-            starts.append(at)
+    words: list[str] = []
+    size, owner, parts_of, overlap, phrase = [], [], [], [], []
+    for k, (text, title) in enumerate(zip(texts, titles, strict=True)):
+        head = {w[:5] for w in _WORD.findall(fold(title)) if len(w) > 3} if title else ()
+        plain = shaped(text)
+        parts = [_WORD.findall(p) for p in _SEGMENT.split(plain) if p.strip()]
+        first = len(words)
+        for w in parts:
+            words += w
+        # most fields have no machine phrase at all; only the others are looked at segment by segment
+        suspect = not _KEYS.isdisjoint(words[first:]) or "xxxx" in plain or len(FILLER.intersection(words[first:])) > 1
+        for w in parts:
+            size.append(len(w))
             owner.append(k)
-            at += len(own)
-    return Segments(np.concatenate(ids) if ids else np.zeros(0, np.int64), np.array(starts, dtype=np.int64), np.array(owner, dtype=np.int64))
+            parts_of.append(len(parts))
+            overlap.append(bool(head) and not head.isdisjoint([x[:5] for x in w]))
+            phrase.append(suspect and machine_words(w) and not telling(w))
+    n, who = np.array(size, dtype=np.int64), np.array(owner, dtype=np.int64)
+    h = np.fromiter(map(_hash, words), np.int64, len(words))
+    seg = np.repeat(np.arange(len(n)), n)
+    pair = np.flatnonzero(seg[:-1] == seg[1:]) if len(seg) else seg
+    every = np.arange(len(n))
+    marked = np.flatnonzero(np.array(phrase, dtype=bool))
+    base = 1 << BITS
+    ids = np.concatenate(
+        [
+            h & (base - 1),
+            ((h[pair] * 31 + h[pair + 1] * 17) ^ 0x9E37) & (base - 1),
+            base + np.minimum(5, n // 4),
+            base + 6 + np.array(sides, dtype=np.int64)[who] if len(who) else who,
+            base + 8 + np.minimum(3, np.array(parts_of, dtype=np.int64) - 1),
+            base + 12 + np.array(overlap, dtype=np.int64),
+            np.full(len(marked), PHRASE),
+        ]
+    )
+    of = np.concatenate([seg, seg[pair], every, every, every, every, marked])
+    order = np.argsort(of, kind="stable")
+    return Segments(ids[order], np.searchsorted(of[order], every), who)
 
 
 def segment_scores(s: Segments, weights: np.ndarray, bias: float) -> np.ndarray:
@@ -141,10 +163,9 @@ def segment_scores(s: Segments, weights: np.ndarray, bias: float) -> np.ndarray:
 
 def machine_words(words: Sequence[str]) -> bool:
     """A machine phrase, or mostly words of the Latin filler."""
-    if not _KEYS.isdisjoint(w[:4] for w in words):
-        flat = " ".join(words)
-        if any(p in flat for p in MACHINE_PHRASES):
-            return True
+    flat = " ".join(words)
+    if (not _KEYS.isdisjoint(words) or "xxxx" in flat) and any(p in flat for p in MACHINE_PHRASES):
+        return True
     return len(words) > 2 and sum(w in FILLER for w in words) > len(words) / 2
 
 
