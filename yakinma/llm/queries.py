@@ -108,7 +108,13 @@ counts AS (SELECT term, count(*) AS n_total, count(DISTINCT id) AS n_records FRO
 marked AS (SELECT *, CASE WHEN n_records <= 2 THEN 'rare' WHEN n_records * 5 >= (SELECT count(complaint_text) FROM complaints) THEN 'common' END AS mark FROM counts)
 """
 
+_PAIRS = """WITH words AS (SELECT DISTINCT id, unnest(regexp_extract_all(nfc_normalize(lower(replace(replace(nfc_normalize(coalesce(title, '') || ' ' || coalesce(complaint_text, '')), 'I', 'ı'), 'İ', 'i'))), '[a-zçğıöşü]{2,}')) AS term FROM complaints),
+sizes AS (SELECT id, count(*) AS n FROM words GROUP BY id HAVING count(*) >= 25), kept AS (SELECT id, n, term FROM words JOIN sizes USING (id)),
+shared AS (SELECT a.id AS id_a, b.id AS id_b, a.n AS na, b.n AS nb, count(*) AS c FROM kept a JOIN kept b USING (term) WHERE a.id < b.id AND least(a.n, b.n) * 10 >= greatest(a.n, b.n) * 7 GROUP BY ALL)
+SELECT id_a, id_b FROM shared WHERE c * 10 >= 7 * (na + nb - c)"""
+
 SQL: dict[str, str] = {
+    "p7_found": _PAIRS,
     "p4_found": _TERMS + "SELECT term, n_total, n_records, mark FROM marked WHERE mark IS NOT NULL",
     "p4_marks": _TERMS + "SELECT coalesce(mark, 'kept') AS mark, count(*) AS n_terms, CAST(sum(n_total) AS BIGINT) AS n_total FROM marked GROUP BY 1",
 }
