@@ -20,20 +20,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from yakinma.llm.tokens import VOCABULARIES, encode_tree, encoding, token_bytes
+from yakinma.llm.tokens import VOCABULARIES, encode_tree, encoding, token_sizes
 
 _BLANK_LINE = re.compile(r"\n[^\S\n]*\n+")
 _LINE = re.compile(r"\n+")
 _SENTENCE = re.compile(r"[.!?…]+[\"'”’)\]]*(?=\s)")
-_WORD = re.compile(r"(?<=\S)(?=\s)")
 #: Radius, as a part of the largest size, in which a better kind of boundary is preferred.
 RADIUS = 6
 _ROLL = 8
 
 
-def boundaries(text: str, ids: list[int], sizes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(character position, kind) at each token border; kind 4 blank line, 3 line, 2 sentence, 1 word, 0 none, -1 inside a character."""
-    ends = np.concatenate([[0], np.cumsum(np.fromiter((len(sizes[i]) for i in ids), np.int64, len(ids)))])
+def _blanks(text: str) -> np.ndarray:
+    """Which characters are blanks, as in str.isspace."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    out = ((c >= 9) & (c <= 13)) | ((c >= 28) & (c <= 32)) | (c == 0x85) | (c == 0xA0)
+    if c.size and c.max() >= 0x1680:
+        out |= (c == 0x1680) | ((c >= 0x2000) & (c <= 0x200A)) | (c == 0x2028) | (c == 0x2029) | (c == 0x202F) | (c == 0x205F) | (c == 0x3000)
+    return out
+
+
+def boundaries(text: str, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(character position, kind) at each token border; kind 4 blank line, 3 line, 2 sentence, 1 word, 0 none, -1 inside a
+    character. ``sizes`` has the bytes of each token id."""
+    ends = np.concatenate([[0], np.cumsum(sizes[ids])])
     if text.isascii():
         at, kind = ends, np.zeros(len(ends), dtype=np.int8)
     else:
@@ -42,20 +51,21 @@ def boundaries(text: str, ids: list[int], sizes: list[bytes]) -> tuple[np.ndarra
         at = np.concatenate([[0], np.cumsum(first)])[ends]
         kind = np.where(np.concatenate([first, [True]])[ends], 0, -1).astype(np.int8)
     level = np.zeros(len(text) + 1, dtype=np.int8)
-    level[[m.start() for m in _WORD.finditer(text)]] = 1
+    blank = _blanks(text)
+    level[1 + np.flatnonzero(~blank[:-1] & blank[1:])] = 1
     level[[m.end() for m in _SENTENCE.finditer(text)]] = 2
     level[[m.end() for m in _LINE.finditer(text)]] = 3
     level[[m.end() for m in _BLANK_LINE.finditer(text)]] = 4
     return at, np.where(kind < 0, kind, level[at])
 
 
-def landmarks(ids: list[int], spacing: int) -> np.ndarray:
+def landmarks(ids: np.ndarray, spacing: int) -> np.ndarray:
     """Token borders where the rolling hash of the ids before them marks a landmark, about one in ``spacing``."""
-    x = np.asarray(ids, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
     h = np.zeros(len(x) + 1, dtype=np.uint64)
     for k in range(_ROLL):
-        h[k + 1 :] += np.roll(x, 0)[: len(x) - k] * np.uint64(pow(0x100000001B3, k + 1, 2**64))
+        h[k + 1 :] += x[: len(x) - k] * np.uint64(pow(0x100000001B3, k + 1, 2**64))
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return (h >> np.uint64(33)) % np.uint64(spacing) == 0
@@ -90,7 +100,7 @@ def pieces(text: str, limit: int = 512, overlap: int = 32, least: int | None = N
     ids = encode_tree(text, name, folder)
     if len(ids) <= limit:
         return [(0, 0, len(text), len(ids))]
-    enc, sizes = encoding(name, folder), token_bytes(name, folder)
+    enc, sizes, ids = encoding(name, folder), token_sizes(name, folder), np.asarray(ids, dtype=np.int64)
     slack = max(4, overlap // 2)
     most = limit - overlap - slack
     least = min(least or most // 4, most - 1)

@@ -47,6 +47,11 @@ def token_bytes(name: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> list[
     return [enc.decode_single_token_bytes(i) if i in _known(name, folder) else b"" for i in range(enc.max_token_value + 1)]
 
 
+@lru_cache(maxsize=4)
+def token_sizes(name: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> np.ndarray:
+    return np.array([len(b) for b in token_bytes(name, folder)], dtype=np.int64)
+
+
 @lru_cache(maxsize=4)
 def _known(name: str, folder: str) -> frozenset[int]:
     return frozenset(encoding(name, folder)._mergeable_ranks.values())
