@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yakinma.operators import hotkeys, timestamps
+from yakinma.plans import timestamp_sql
 from yakinma.session import table
 
 DATE_FIELDS = ("complaint_date", "company_response_date", "resolution_date")
@@ -57,5 +58,6 @@ SQL = {
     "p2_found": "SELECT company FROM complaints WHERE company IS NOT NULL GROUP BY company HAVING count(*) * 20 > (SELECT count(*) FROM complaints)",
     "p2_company_figures": "SELECT company, count(*) AS n_rows, CAST(sum(coalesce(resolved, 0)) AS BIGINT) AS n_resolved, "
     f"CAST(sum(coalesce(company_responded, 0)) AS BIGINT) AS n_company_responded, {_measure('response_hours')}, {_measure('resolution_hours')} FROM complaints GROUP BY company",
+    "p3_found": timestamp_sql.instants(DATE_FIELDS),
     "p2_company_titles": "SELECT company, count(DISTINCT title) AS n_distinct FROM complaints WHERE title IS NOT NULL GROUP BY company",
 }
