@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from yakinma.functions import text as X
-from yakinma.functions.dates import elapsed_hours, parse_datetime
+from yakinma.functions.dates import MONTHS, elapsed_hours, parse_datetime
 from yakinma.operators import classify, context, kpi, terms, verbs
 from yakinma.operators.rules import ALL, Rules
 from yakinma.plans import fragments as Q
@@ -268,7 +268,29 @@ _ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;')
 _BEST = "coalesce(nullif(trim(complaint_text), ''), nullif(trim(title), ''), '—')"
 _PREVIEW = f"CASE WHEN length({_BEST}) > 300 THEN substr({_BEST}, 1, 300) || '…' ELSE {_BEST} END"
 
+_ISO = r"(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)(Z|[+-]\d{2}:?\d{2})?)?"
+_TEXT = r"(?i)(\d{1,2})\s+(" + "|".join(MONTHS) + r")(?:\s+(\d{4}))?\s+(\d{1,2}):(\d{2})"
+_NUMERIC = r"(\d{1,2})[./-](\d{1,2})[./-](\d{4})(?:\s+(\d{1,2}):(\d{2}))?"
+
+
+def _site_date(c: str) -> str:
+    """A site-style date relative to ``day``."""
+    e = lambda p, names: f"regexp_extract(v, '{p}', {Q.strings(names)})"
+    off = "regexp_replace(e.o, '[+:-]', '', 'g')"
+    shift = f"CASE e.o WHEN '' THEN 0 WHEN 'Z' THEN 180 ELSE 180 - (CASE WHEN starts_with(e.o, '-') THEN -1 ELSE 1 END) * (substr({off}, 1, 2)::INT * 60 + substr({off}, 3, 2)::INT) END"
+    iso = Q.let(e("^" + _ISO + "$", ["d", "t", "o"]), "e", f"try_cast(e.d || ' ' || (CASE WHEN e.t = '' THEN '00:00:00' WHEN length(e.t) = 5 THEN e.t || ':00' ELSE e.t END) AS TIMESTAMP) + to_minutes({shift})")
+    month = f"nullif(list_position({Q.strings(m.lower() for m in MONTHS)}, lower(e.m)), 0)"
+    stamp = lambda y, m, d, h, i: f"try_cast(lpad({y}::VARCHAR, 4, '0') || '-' || lpad({m}::VARCHAR, 2, '0') || '-' || lpad({d}, 2, '0') || ' ' || lpad({h}, 2, '0') || ':' || {i} || ':00' AS TIMESTAMP)"
+    named = lambda y: stamp(y, month, "e.d", "e.h", "e.i")
+    text = Q.let(e(_TEXT, ["d", "m", "y", "h", "i"]), "e", f"CASE WHEN e.y <> '' THEN {named('e.y')} WHEN CAST({named('year(day)')} AS DATE) > day + 31 THEN {named('(year(day) - 1)')} ELSE {named('year(day)')} END")
+    number = Q.let(e(_NUMERIC, ["d", "m", "y", "h", "i"]), "e", stamp("e.y", "e.m", "e.d", "(CASE WHEN e.h = '' THEN '00' ELSE e.h END)", "(CASE WHEN e.i = '' THEN '00' ELSE e.i END)"))
+    body = f"CASE WHEN regexp_full_match(v, '{_ISO}') AND {iso} IS NOT NULL THEN {iso} WHEN regexp_matches(v, '{_TEXT}') THEN {text} WHEN regexp_matches(v, '{_NUMERIC}') THEN {number} END"
+    return Q.let(Q.space(c), "v", body)
+
+
 SQL = {
+    "site_dates": f"""WITH x AS (SELECT *, try_cast(substr(scraped_at, 1, 10) AS DATE) AS day FROM complaints), y AS (SELECT id, {_site_date('complaint_date')} AS written, {_site_date('company_response_date')} AS answered FROM x)
+SELECT *, CASE WHEN answered >= written THEN {Q.py_round('(epoch_us(answered) - epoch_us(written)) / 3.6e9')} END AS hours FROM y""",
     "filtered_rows": f"SELECT id, company, complaint_date, day, title FROM (SELECT *, {Q.iso_day('complaint_date')} AS day FROM complaints) WHERE company = '{COMPANY}' AND day BETWEEN DATE '{START}' AND DATE '{END}'",
     "recent_rows": "SELECT id, company, complaint_date, scraped_at FROM complaints ORDER BY coalesce(complaint_date, scraped_at) DESC, id DESC LIMIT 500",
     "search_rows": "SELECT id, title FROM complaints WHERE contains(lower(replace(coalesce(title, ''), 'İ', 'i̇')), 'iade') OR contains(lower(replace(coalesce(complaint_text, ''), 'İ', 'i̇')), 'iade')",
