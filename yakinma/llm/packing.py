@@ -159,20 +159,16 @@ def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int, window: in
     items = items.withColumn("_b", F.pmod(F.xxhash64("id", "piece"), F.lit(buckets)).cast("int"))
     items = materialise(items, "items")  # read twice, and counting tokens twice would cost more
     counts = items.groupBy("size", "_b").agg(F.count(F.lit(1)).alias("n"))
-    # bounded: at most (capacity + 1) x buckets rows
-    per = counts.toPandas()
-    histogram = {int(k): int(n) for k, n in per.groupby("size")["n"].sum().items()} if len(per) else {}
+    # at most capacity + 1 rows reach the driver
+    histogram = {int(r["size"]): int(r["n"]) for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}
     made = plan(histogram, capacity, window)
     slots, containers = made.slots(), max(1, made.containers)
-    before: dict[tuple[int, int], int] = {}
-    for length, group in per.sort_values(["size", "_b"]).groupby("size") if len(per) else ():
-        starts = np.cumsum(group["n"].to_numpy()) - group["n"].to_numpy()
-        before |= {(int(length), int(b)): int(s) for b, s in zip(group["_b"], starts, strict=True)}
+    # a length has at most ``buckets`` rows here
+    before = counts.withColumn("_before", F.sum("n").over(Window.partitionBy("size").orderBy("_b")) - F.col("n")).drop("n")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            length, bucket, nth = (b.column(i).to_numpy() for i in (2, 3, 4))
-            rank = nth - 1 + np.fromiter((before[x] for x in zip(length.tolist(), bucket.tolist(), strict=True)), np.int64, len(length))
+            length, rank = b.column(2).to_numpy(), b.column(3).to_numpy()
             out = rank % containers
             for v in np.unique(length):
                 if v:
@@ -183,4 +179,5 @@ def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int, window: in
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.int64())], ["id", "piece", "size", "container"])
 
     ranked = items.withColumn("_r", F.row_number().over(Window.partitionBy("size", "_b").orderBy("id", "piece")))
-    return ranked.select("id", "piece", "size", "_b", "_r").mapInArrow(place, "id bigint, piece int, size bigint, container bigint")
+    ranked = ranked.join(before, ["size", "_b"])  # both sides lie by (size, bucket) already
+    return ranked.select("id", "piece", "size", (F.col("_before") + F.col("_r") - 1).alias("_rank")).mapInArrow(place, "id bigint, piece int, size bigint, container bigint")
