@@ -69,3 +69,20 @@ def test_exports(spark, tmp_path):
 
     sheet = zipfile.ZipFile(tmp_path / "x.xlsx").read("xl/worksheets/sheet1.xml").decode()
     assert sheet.count("<row ") == 3 and 'autoFilter ref="A1:P3"' in sheet
+
+
+def test_job_runs_once(spark, tmp_path, capsys):
+    from yakinma.job import arguments, main
+
+    path = f"file://{tmp_path}/db"
+    s = Store(spark, path).create()
+    s.upsert(items(spark, item("a", "1", complaint_text="Teslimat gecikti"), item("b", "1", company="diger", complaint_text="x")))
+    args = ["--store", path, "--model", "m", "--scorer", "yakinma.plans.models:marker_scorer", "--company", "marka"]
+    main(args)
+    main(args)
+    assert capsys.readouterr().out.split("\n")[:2] == ["analysed 1 of 1 records", "analysed 0 of 1 records"]
+    assert s.read("sentiment_results").count() == 1 and s.read("aspect_sentiment").first().category == "Teslimat / Lojistik"
+    import pytest
+
+    with pytest.raises(SystemExit):
+        arguments([*args, "--start-date", "2026-02-01", "--end-date", "2026-01-01"])

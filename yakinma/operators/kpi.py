@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from yakinma.functions.rounding import py_round
+from yakinma.functions.text import normalize_python, normalize_text, padded, pin
 from yakinma.operators.classify import classified
 from yakinma.operators.rules import ALL, Rules
 
@@ -175,3 +176,27 @@ def search(df: DataFrame, query: str) -> DataFrame:
     return df.where(F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lit(q)) | F.contains(F.lower(F.coalesce("complaint_text", F.lit(""))), F.lit(q)))
 
 
+def rows_with_phrase(df: DataFrame, phrase: str) -> DataFrame:
+    """Rows whose title and body hold the phrase between blanks, in normal form; punctuation stays part of a word."""
+    raw = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("complaint_text", F.lit("")))
+    docs = pin(pin(df, "_raw", raw), "_norm", normalize_text(F.col("_raw")))
+    return docs.where(F.contains(padded(F.col("_norm")), F.lit(f" {normalize_python(phrase)} "))).drop("_raw", "_norm")
+
+
+def chart_top(df: DataFrame, label: str, value: str, k: int = 12) -> DataFrame:
+    """The k highest bars of a chart; values below zero are not drawn."""
+    return df.where(F.col(value) >= 0).orderBy(F.desc(value), label).limit(k).select(label, value)
+
+
+def thousands(n: Column) -> Column:
+    """1.234.567"""
+    return F.translate(F.format_number(n.cast("long"), 0), ",", ".")
+
+
+def file_size(n: Column) -> Column:
+    kb = n / 1024.0
+    return (
+        F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
+        .when(kb < 1024, F.concat(F.format_string("%.1f", py_round(kb, 1)), F.lit(" KB")))
+        .otherwise(F.concat(F.format_string("%.1f", py_round(kb / 1024.0, 1)), F.lit(" MB")))
+    )

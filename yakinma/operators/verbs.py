@@ -145,3 +145,17 @@ def rows_with_any(df: DataFrame, terms: Iterable[str]) -> DataFrame:
     return df.where(F.exists(look, lambda t: F.contains(text, t)))
 
 
+def filter_stems(stats: DataFrame, query: str) -> DataFrame:
+    """Rows of ``suffix_stats`` whose stem or examples hold the query in normal form."""
+    q = normalize_python(query)
+    return stats.where(F.contains(F.concat_ws(" ", "stem", F.array_join("examples", " ")), F.lit(q))) if q else stats
+
+
+def filter_sentences(found: DataFrame, root: str | None = None, query: str | None = None) -> DataFrame:
+    """Rows of ``verb_sentences`` of one root and with the lower-cased query in sentence, expression, root or title."""
+    if root and root != "Tümü":
+        found = found.where(F.col("root") == root)
+    if query and query.strip():
+        look = F.lower(F.concat_ws(" ", "sentence", "expression", "root", F.coalesce("title", F.lit(""))))
+        found = found.where(F.contains(look, F.lit(query.strip().lower())))
+    return found

@@ -172,6 +172,24 @@ def context_totals(spark, sf_dir):
     return context.meta(_texts(spark, sf_dir), "bayi*", "left", 2)
 
 
+def phrase_rows(spark, sf_dir):
+    return kpi.rows_with_phrase(_texts(spark, sf_dir), "iş günü").select("id")
+
+
+def chart_companies(spark, sf_dir):
+    counts = _c(spark, sf_dir).groupBy("company").agg(F.count(F.lit(1)).alias("complaints"))
+    return kpi.chart_top(counts, "company", "complaints", 12).withColumn("shown", kpi.thousands(F.col("complaints")))
+
+
+def filtered_stems(spark, sf_dir):
+    return verbs.filter_stems(verbs.suffix_stats(_texts(spark, sf_dir)), "BEKL").withColumn("examples", F.array_join("examples", "|"))
+
+
+def filtered_sentences(spark, sf_dir):
+    found = verbs.verb_sentences(_texts(spark, sf_dir), ("gel", "bekle", "ver"))
+    return verbs.filter_sentences(found, "bekle", "sabırla").select("sentence", "root", "expression", "token", "id")
+
+
 def site_dates(spark, sf_dir):
     """Dates as the site writes them, relative to the day of scraping, with the hours to the answer."""
     ref = F.substring("scraped_at", 1, 10).try_cast("date")
@@ -182,7 +200,7 @@ def site_dates(spark, sf_dir):
 _ALL = (
     filtered_rows, recent_rows, search_rows, display_rows, kpi_metrics, category_summary, own_category_summary, category_shares, company_statistics, dashboard, trend_months, trend_days, company_comparison, classified_rows,
     category_rows, analysis_texts, sentences, best_texts, top_bigrams, document_frequencies, tfidf_bigrams, word_table, category_terms, company_terms, suffix_verbs, progressive_verbs, verb_sentences,
-    verb_sentence_counts, context_left, context_both, context_bridge, context_totals, site_dates,
+    verb_sentence_counts, context_left, context_both, context_bridge, context_totals, site_dates, phrase_rows, chart_companies, filtered_stems, filtered_sentences,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -256,14 +274,21 @@ stems AS (SELECT stem, count(*) AS count, count(DISTINCT rk) AS document_count,
 SELECT stem, count, document_count, examples FROM stems JOIN ex USING (stem) ORDER BY count DESC, f LIMIT 100"""
 
 
-_VARIANTS = "(VALUES " + ", ".join(f"({k}, {Q.lit(b)}, {Q.lit(r)})" for k, (b, r) in enumerate(verbs.root_variants(verbs.ROOTS))) + ") AS v(ord, b, r)"
-_VERBS = f"""WITH docs AS (SELECT id, {_DOCS}, {Q.analysis('title', 'complaint_text', 'company_response_text')} AS body FROM complaints),
+def _variants(roots: tuple[str, ...]) -> str:
+    return "(VALUES " + ", ".join(f"({k}, {Q.lit(b)}, {Q.lit(r)})" for k, (b, r) in enumerate(verbs.root_variants(roots))) + ") AS v(ord, b, r)"
+
+
+def _verbs(roots: tuple[str, ...]) -> str:
+    return f"""WITH docs AS (SELECT id, {_DOCS}, {Q.analysis('title', 'complaint_text', 'company_response_text')} AS body FROM complaints),
 sent AS ({Q.numbered('docs', 'id, rk', Q.sentence_list('body'), 'sentence')}),
 w AS (SELECT id, rk, nth AS sent, sentence, xs[i] AS token, CASE WHEN i > 1 THEN xs[i - 1] END AS before, i FROM (SELECT *, unnest(range(1, length(xs) + 1)) AS i FROM (SELECT *, {Q.raw_tokens(Q.norm('sentence'), 1)} AS xs FROM sent))),
-forms AS (SELECT token, arg_min(r, ord) AS root FROM (SELECT DISTINCT token FROM w) t, {_VARIANTS} WHERE length(token) >= 2 AND starts_with(token, b) AND regexp_matches(substr(token, length(b) + 1), '{verbs.TAIL}') GROUP BY token),
+forms AS (SELECT token, arg_min(r, ord) AS root FROM (SELECT DISTINCT token FROM w) t, {_variants(roots)} WHERE length(token) >= 2 AND starts_with(token, b) AND regexp_matches(substr(token, length(b) + 1), '{verbs.TAIL}') GROUP BY token),
 found AS (SELECT *, CASE WHEN before IS NOT NULL AND before NOT IN ({', '.join(Q.lit(x) for x in verbs.FUNCTION_WORDS)}) THEN before || ' ' || token ELSE token END AS expression FROM w JOIN forms USING (token)),
 firsts AS (SELECT DISTINCT ON (sentence, root, expression) * FROM found ORDER BY sentence, root, expression, rk, sent, i)
 """
+
+
+_VERBS = _verbs(verbs.ROOTS)
 _ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 _BEST = "coalesce(nullif(trim(complaint_text), ''), nullif(trim(title), ''), '—')"
 _PREVIEW = f"CASE WHEN length({_BEST}) > 300 THEN substr({_BEST}, 1, 300) || '…' ELSE {_BEST} END"
@@ -337,6 +362,11 @@ SELECT company, rank, term, round(score, 6) AS score, n AS count FROM (SELECT *,
     "sentences": Q.numbered("complaints", "id", Q.sentence_list("complaint_text"), "sentence"),
     "verb_sentences": _VERBS + "SELECT sentence, root, expression, token, id FROM firsts",
     "verb_sentence_counts": _VERBS + "SELECT count(DISTINCT sentence) AS sentences, count(DISTINCT root) AS roots, count(DISTINCT id) AS records FROM firsts WHERE root = 'gel'",
+    "phrase_rows": f"SELECT id FROM complaints WHERE contains(' ' || {Q.norm(_RAW)} || ' ', ' iş günü ')",
+    "chart_companies": "SELECT company, complaints, replace(format('{:,}', complaints), ',', '.') AS shown FROM (SELECT company, count(*) AS complaints FROM complaints GROUP BY company ORDER BY complaints DESC, company LIMIT 12)",
+    "filtered_stems": f"SELECT * FROM ({_suffix_sql(verbs.PROGRESSIVE)}) WHERE contains(stem || ' ' || replace(examples, '|', ' '), 'bekl')",
+    "filtered_sentences": _verbs(("gel", "bekle", "ver")) + "SELECT sentence, root, expression, token, f.id FROM firsts f JOIN complaints c ON c.id = f.id "
+    "WHERE root = 'bekle' AND contains(lower(replace(concat_ws(' ', sentence, expression, root, coalesce(title, '')), 'İ', 'i̇')), 'sabırla')",
     "context_left": _context(["bayi"], True, _LEFT2) + _hits(2),
     "context_both": _context(["iş", "günü"], False, _BOTH) + _hits(1),
     "context_bridge": _context(["bayi"], True, _RIGHT1) + "SELECT DISTINCT context, id FROM ctx",
