@@ -50,3 +50,12 @@ def test_tables_merge_and_delete(spark):
     kept = sorted(map(tuple, percentiles(sketch(df.where("day <> 'd1'"), ["company"], ["hours"]), ["company"], probs).collect()), key=repr)
     assert sorted(map(tuple, percentiles(sketch(undone, ["company"], ["hours"], "w"), ["company"], probs).collect()), key=repr) == kept
     assert percentiles(sketch(df.limit(0), ["company"], ["hours"]), ["company"]).count() == 0
+
+
+def test_colliding_hashes(spark, monkeypatch):
+    from yakinma.llm import quantiles
+
+    df = spark.createDataFrame([("abcdefgh"[i % 8], "d", float(i % 8 + 1), 0.0, "x", 0, 1) for i in range(400)], SCHEMA)
+    monkeypatch.setattr(quantiles, "CELL_BITS", 62)  # two bits of the hash are left
+    got = {r.company: r.p50 for r in percentiles(sketch(df, ["company"], ["hours"]), ["company"], (0.5,)).collect()}
+    assert set(got) == set("abcdefgh") and all(abs(got[c] - i - 1) < 0.001 for i, c in enumerate("abcdefgh"))

@@ -30,6 +30,7 @@ DEPTH, WIDTH = 3, 256
 LEVELS = BITS - EXACT_BITS
 EXACT = 1 << EXACT_BITS
 CELLS = EXACT + LEVELS * DEPTH * WIDTH
+CELL_BITS = CELLS.bit_length()
 OFFSET = 2.0**-10
 _ZERO = int(np.float64(OFFSET).view(np.int64))
 _SHIFT = 52 - MANTISSA
@@ -188,21 +189,32 @@ def percentiles(cells: DataFrame, keys: Sequence[str], probabilities: Sequence[f
             held.clear()
             if not t.num_rows:
                 return
-            new = np.zeros(t.num_rows, dtype=bool)
-            new[0] = True
-            for i in range(len(keys) + 1):
-                code = t.column(i).combine_chunks().dictionary_encode()
-                code = (code.chunk(0) if isinstance(code, pa.ChunkedArray) else code).indices.fill_null(-1).to_numpy(zero_copy_only=False)
-                new[1:] |= code[1:] != code[:-1]
+            order_key = t.column(-1).to_numpy() >> CELL_BITS
+            new = np.concatenate([[True], order_key[1:] != order_key[:-1]])
             starts = np.flatnonzero(new)
             end = t.num_rows if last else int(starts[-1])
             if end < t.num_rows:  # the last group may go on in the next batch
                 held.extend(t.slice(end).to_batches())
-                starts = starts[:-1]
+                t, new, starts = t.slice(0, end), new[:end], starts[:-1]
             if not end:
                 return
-            group = np.cumsum(new[:end]) - 1
-            n, q = invert(group, t.column(-2).to_numpy()[:end], t.column(-1).to_numpy()[:end], len(starts), probabilities)
+            codes = []
+            for i in range(len(keys) + 1):
+                code = t.column(i).combine_chunks().dictionary_encode()
+                codes.append((code.chunk(0) if isinstance(code, pa.ChunkedArray) else code).indices.fill_null(-1).to_numpy(zero_copy_only=False))
+            apart = np.zeros(end, dtype=bool)
+            for code in codes:
+                apart[1:] |= code[1:] != code[:-1]
+            cell, value = t.column(-3).to_numpy(), t.column(-2).to_numpy()
+            if (apart & ~new).any():  # groups whose hashes collide stand mixed
+                at = np.lexsort([cell, *codes[::-1], np.cumsum(new)])
+                t, cell, value = t.take(pa.array(at)), cell[at], value[at]
+                new[1:] = np.cumsum(new)[at][1:] != np.cumsum(new)[at][:-1]
+                for code in codes:
+                    new[1:] |= code[at][1:] != code[at][:-1]
+                starts = np.flatnonzero(new)
+            group = np.cumsum(new) - 1
+            n, q = invert(group, cell, value, len(starts), probabilities)
             ok = pa.array(np.flatnonzero(n > 0))
             heads = [t.column(i).take(pa.array(starts)).take(ok).combine_chunks() for i in range(len(keys) + 1)]
             heads = [h.chunk(0) if isinstance(h, pa.ChunkedArray) else h for h in heads]
@@ -215,6 +227,9 @@ def percentiles(cells: DataFrame, keys: Sequence[str], probabilities: Sequence[f
         if held:
             yield from block(True)
 
-    # at most CELLS rows of a group meet in a partition
-    ordered = cells.select(*keys, "measure", "cell", "value").repartition(*keys, "measure").sortWithinPartitions(*keys, "measure", "cell")
+    # at most CELLS rows of a group meet in a partition; one long, the group's hash with the counter's place in its
+    # low bits, sorts them without comparing keys
+    low = (1 << CELL_BITS) - 1
+    place = F.xxhash64(*keys, "measure").bitwiseAND(F.lit(~low)).bitwiseOR(F.col("cell").cast("long"))
+    ordered = cells.select(*keys, "measure", "cell", "value").repartition(*keys, "measure").withColumn("_place", place).sortWithinPartitions("_place")
     return ordered.mapInArrow(ask, schema)
