@@ -113,7 +113,19 @@ sizes AS (SELECT id, count(*) AS n FROM words GROUP BY id HAVING count(*) >= 25)
 shared AS (SELECT a.id AS id_a, b.id AS id_b, a.n AS na, b.n AS nb, count(*) AS c FROM kept a JOIN kept b USING (term) WHERE a.id < b.id AND least(a.n, b.n) * 10 >= greatest(a.n, b.n) * 7 GROUP BY ALL)
 SELECT id_a, id_b FROM shared WHERE c * 10 >= 7 * (na + nb - c)"""
 
+_GROUPS = (
+    _PAIRS.replace("WITH words", "WITH RECURSIVE words").replace("\nSELECT id_a, id_b FROM shared", ",\npairs AS (SELECT id_a, id_b FROM shared")
+    + """),
+sets AS (SELECT id, md5(string_agg(term, ' ' ORDER BY term)) AS h FROM kept GROUP BY id), reps AS (SELECT id, min(id) OVER (PARTITION BY h) AS rep FROM sets),
+links AS (SELECT DISTINCT x.rep AS a, y.rep AS b FROM (SELECT id_a AS i, id_b AS j FROM pairs UNION ALL SELECT id_b, id_a FROM pairs) p JOIN reps x ON x.id = p.i JOIN reps y ON y.id = p.j WHERE x.rep <> y.rep),
+nodes AS (SELECT DISTINCT rep FROM reps WHERE id IN (SELECT id_a FROM pairs UNION SELECT id_b FROM pairs)),
+reach AS (SELECT rep AS a, rep AS b FROM nodes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+grp AS (SELECT a AS rep, min(b) AS group_id FROM reach GROUP BY a)
+SELECT id, group_id, (SELECT count(*) FROM links WHERE a = reps.rep) AS n_links FROM reps JOIN grp USING (rep)"""
+)
+
 SQL: dict[str, str] = {
+    "p7_groups": _GROUPS,
     "p7_found": _PAIRS,
     "p4_found": _TERMS + "SELECT term, n_total, n_records, mark FROM marked WHERE mark IS NOT NULL",
     "p4_marks": _TERMS + "SELECT coalesce(mark, 'kept') AS mark, count(*) AS n_terms, CAST(sum(n_total) AS BIGINT) AS n_total FROM marked GROUP BY 1",
