@@ -9,11 +9,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from yakinma.functions.text import analysis_text, normalize_python, normalize_text, pin, raw_tokens, split_sentences
 from yakinma.operators.terms import document_order, raw_document
+from yakinma.session import materialise
 
 #: Progressive suffixes, a preset of passive ones, and the person endings allowed behind a suffix (fixed values).
 PROGRESSIVE = ("ıyor", "iyor", "uyor", "üyor")
@@ -79,12 +80,15 @@ def suffix_stats(df: DataFrame, suffixes: Iterable[str] | str | None = None, k:
     at = F.struct("doc", (-F.col("pos")).alias("p"))
     forms = words.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max(at).alias("first"))
     forms = pin(forms, "m", suffix_match(F.col("token"), suffixes)).where("m IS NOT NULL")
-    forms = forms.select(F.col("m.stem").alias("stem"), "token", "n", "first")
-    examples = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("n", "first", "token")))), 1, 5)
-    stems = forms.groupBy("stem").agg(F.sum("n").alias("count"), F.max("first").alias("first"), F.transform(examples, lambda e: e["token"]).alias("examples"))
+    forms = materialise(forms.select(F.col("m.stem").alias("stem"), "token", "n", "first"), "forms")  # small, read three times
+    # five forms of each stem survive the window's map-side limit, so no list grows with the vocabulary
+    order = Window.partitionBy("stem").orderBy(F.desc("n"), F.desc("first"))
+    best = forms.withColumn("r", F.row_number().over(order)).where("r <= 5").groupBy("stem")
+    examples = best.agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "token"))), lambda e: e["token"]).alias("examples"))
+    stems = forms.groupBy("stem").agg(F.sum("n").alias("count"), F.max("first").alias("first"))
     top = stems.orderBy(F.desc("count"), F.desc("first")).limit(k)
     in_docs = words.select("doc", "token").join(forms.select("stem", "token"), "token").select("stem", "doc").distinct().groupBy("stem").agg(F.count(F.lit(1)).alias("document_count"))
-    return top.join(in_docs, "stem").select("stem", "count", "document_count", "examples")
+    return top.join(in_docs, "stem").join(examples, "stem").select("stem", "count", "document_count", "examples")
 
 
 def root_variants(roots: Iterable[str]) -> list[tuple[str, str]]:
