@@ -108,7 +108,7 @@ def sentences(spark, sf_dir):
 
 def best_texts(spark, sf_dir):
     text = X.best_text(F.col("complaint_text"), F.col("title"))
-    return _texts(spark, sf_dir).select("id", X.preview(text, 300).alias("text"), X.highlight(X.preview(text, 300), ["iade", "koltuk"]).alias("html"))
+    return _texts(spark, sf_dir).select("id", X.preview(text).alias("text"), X.highlight(text, ["iade", "koltuk"]).alias("html"))
 
 
 def _tokens(spark, sf_dir):
