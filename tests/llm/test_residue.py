@@ -56,3 +56,21 @@ def test_unseen_hosts_and_empty(spark, model):
     empty = spark.createDataFrame([], SCHEMA)
     nothing = train(empty, FIELDS, "title", "company", "company_responded")
     assert find(empty, FIELDS, "title", nothing).count() == 0
+
+
+@pytest.mark.parametrize("company", ["kuydeni-mobilya", None])
+def test_only_held_out_hosts(spark, company):
+    assert held_out(company)
+    table = [(*r[:2], company, *r[3:]) for r in rows()]
+    df = spark.createDataFrame(table, SCHEMA).repartition(3)
+    one = train(df, FIELDS, "title", "company", "company_responded", sample_rows=5000)
+    assert "test_recall" not in one.report and one.report["positives"] > 0
+    got = sorted(map(tuple, find(df, FIELDS, "title", one).collect()))
+    assert got == sorted((r[0], f) for r in table for f, t in ((FIELDS[0], r[4]), (FIELDS[1], r[5])) if t in RESIDUE)
+
+
+def test_only_machine_text(spark):
+    df = spark.createDataFrame([(i, "x", "m", "t", t, None, 0) for i, t in enumerate(RESIDUE)], SCHEMA)
+    unfitted = train(df, FIELDS, "title", "company", "company_responded")
+    assert not unfitted.weights.any()
+    assert sorted(r.id for r in find(df, FIELDS, "title", unfitted).collect()) == list(range(len(RESIDUE)))

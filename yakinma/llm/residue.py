@@ -9,7 +9,9 @@ most suspicious segment; the exact check that follows keeps proposals whose evid
 outside a person's own wording, or a field that has no ordinary sentence besides.
 
 Training reads a bounded sample of labelled rows (``sample_rows``, drawn by hash over all rows); scoring
-reads every field of every row in one pass without a shuffle. Defined results: null, empty and blank fields
+reads every field of every row in one pass without a shuffle. Where the hosts not held out lack machine text or
+ordinary text (one host, or none given), all hosts are trained on, or nothing is where all of them lack one; every
+field is then proposed to the exact check, and no figures of unseen hosts are reported. Defined results: null, empty and blank fields
 are not residue (they hold nothing); repeated rows give repeated results; texts are read whole.
 """
 
@@ -258,8 +260,12 @@ def train(df: DataFrame, fields: Sequence[str], title: str, host: str, status: s
     test = np.array([hosts[i] for i in parts], dtype=bool)
     known = np.array([x is not None for x in label], dtype=bool)
     y = np.array([x or 0 for x in label], dtype=float)
-    if not (known & ~test & (y == 1)).any() or not (known & ~test & (y == 0)).any():
-        return Model(np.zeros(DIM), -1.0, 0.0, {"segments": float(len(y)), "positives": float(y.sum())})
+    both = lambda mask: (mask & (y == 1)).any() and (mask & (y == 0)).any()
+    measured = both(known & ~test)
+    if not measured:
+        test = np.zeros(len(y), dtype=bool)  # too few hosts to hold any out: all are trained on, nothing is measured
+    if not both(known):
+        return Model(np.zeros(DIM), -1.0, -np.inf, {"segments": float(len(y)), "positives": float(y[known].sum())})
     lens = np.diff(np.append(s.starts, len(s.ids)))
 
     def subset(mask: np.ndarray) -> Segments:
@@ -272,9 +278,12 @@ def train(df: DataFrame, fields: Sequence[str], title: str, host: str, status: s
     z = segment_scores(s, w, b)
     # proposals: as low as it takes to keep 99.5 % of the positives trained on and a margin, since an exact check follows
     threshold = float(min(0.0, np.quantile(z[known & ~test & (y == 1)], 0.005))) - MARGIN
+    report = {"segments": float(len(y)), "positives": float(y[known].sum())}
+    if not measured:
+        return Model(w, b, -np.inf, report)
     hit, truth = z[known & test] > 0, y[known & test] == 1
     tp, fp, fn = (hit & truth).sum(), (hit & ~truth).sum(), (~hit & truth).sum()
-    report = {"segments": float(len(y)), "positives": float(y[known].sum()), "test_precision": float(tp / max(1, tp + fp)), "test_recall": float(tp / max(1, tp + fn)), "test_segments": float((known & test).sum())}
+    report |= {"test_precision": float(tp / max(1, tp + fp)), "test_recall": float(tp / max(1, tp + fn)), "test_segments": float((known & test).sum())}
     return Model(w, b, threshold, report)
 
 
