@@ -1,6 +1,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from yakinma.llm import tokens
 from yakinma.llm.tokens import count_tokens, decode_tree, encode, encode_tree, encoding
 
 PARTS = st.lists(st.sampled_from([" ", "  ", "\n", "\n\n", "\t", "\x1c", " ", "a", "ş", "İ", "'s", "'", "r", "e", "12", "!?", "<|endoftext|>", "😀", "kelime", "̈", "x" * 70]), max_size=60)
@@ -22,3 +23,18 @@ def test_tables(spark):
     sizes = {r.doc_id: r.n_tokens for r in count_tokens(df, "text", "doc_id").collect()}
     assert sizes[2] == sizes[3] == 0 and sizes[4] == len(encoding().encode_ordinary(long))
     assert encode(df.limit(0), "text", "doc_id").count() == 0
+
+
+def test_ordinary_long_text_goes_through_halves(monkeypatch):
+    text = "".join(f"Bu {i}. cümle burada biter. " for i in range(100))
+    enc, want, seen = encoding(), encoding().encode_ordinary(text), []
+    tokens.token_bytes("byte_bpe_50k", tokens.VOCABULARIES)
+
+    class Spy:
+        def encode_ordinary(self, part):
+            seen.append(len(part))
+            return enc.encode_ordinary(part)
+
+    monkeypatch.setattr(tokens, "encoding", lambda *_: Spy())
+    assert encode_tree(text) == want and len(text) < 3000
+    assert len(seen) > 6 and max(seen) <= 512

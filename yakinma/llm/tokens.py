@@ -69,7 +69,7 @@ def _drop_bytes(ids: list[int], n: int, sizes: list[bytes], last: bool) -> list[
     return ids[: len(ids) - k] if last else ids[k:]
 
 
-def encode_tree(text: str, name: str = "byte_bpe_50k", folder: str = VOCABULARIES, leaf: int = 20_000, window: int = 64) -> list[int]:
+def encode_tree(text: str, name: str = "byte_bpe_50k", folder: str = VOCABULARIES, leaf: int = 512, window: int = 64) -> list[int]:
     enc = encoding(name, folder)
     if len(text) <= leaf:
         return enc.encode_ordinary(text)
