@@ -43,3 +43,11 @@ def test_table(spark):
     assert by[:3] == [0, 1, 1] and by[3] > 10 and by[3] % 2 == 0
     assert all(r.n_tokens <= 512 and len(r.text) == r.stop - r.start for r in got)
     assert split(df.limit(0), "text", "doc_id").count() == 0
+
+
+def test_last_boundary_before_a_run_is_used():
+    run = "".join(chr(0x4E00 + i * 7919 % 20_000) for i in range(3000))
+    text = "Kısa bir giriş cümlesi. Ardından gelen dizi: " + run + " son."
+    got = pieces(text)
+    assert "".join(text[c:e] for _, c, e, _ in got) == text and max(n for *_, n in got) <= 512
+    assert got[0][2] == text.index(run) - 1

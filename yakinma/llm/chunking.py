@@ -2,7 +2,8 @@
 
 A rolling hash over the token ids marks landmarks; from the cut before, the first landmark within the
 smallest and largest size is snapped to the nearest boundary of the best kind around it: blank line, line,
-sentence, word, and only where the text has none of these a border between characters. Landmarks and
+sentence, word; where there is none, the piece ends at the last such boundary before its smallest size, and only where
+the text has none of these since the cut before at a border between characters. Landmarks and
 boundaries depend on nearby text alone, so cuts fall into step again behind an edit and only the pieces around
 it change. Each piece starts ``overlap`` tokens before its cut, moved back to the start of a word, and is
 encoded again, so that its own token count, not an estimate, keeps the limit.
@@ -82,9 +83,14 @@ def cuts(kind: np.ndarray, marks: np.ndarray, least: int, most: int) -> list[int
         a, b = max(lo, mark - r), min(hi, mark + r)
         near = kind[a : b + 1]
         best = near.max()
-        if best <= 0:  # nothing around the landmark: anywhere in the allowed sizes, else a border of characters
+        if best <= 0:  # nothing around the landmark: anywhere in the allowed sizes, else the last before them, else a border of characters
             a, b, near = lo, hi, kind[lo : hi + 1]
             best = 1 if near.max() >= 1 else 0
+            early = at + 1 + np.flatnonzero(kind[at + 1 : lo] >= 1)
+            if best == 0 and len(early):
+                at = int(early[-1])
+                out.append(at)
+                continue
         ok = a + np.flatnonzero(near >= best if best else near == 0)
         if not len(ok):  # one character of very many tokens cannot be cut
             ok = np.array([hi])
