@@ -81,6 +81,11 @@ def fold(c: Column) -> Column:
     return tr_lower(normalize_space(c))
 
 
+def fold_python(text: str | None) -> str:
+    """The driver-side twin of ``fold``."""
+    return " ".join((text or "").split()).translate({0x49: "ı", 0x130: "i"}).lower()
+
+
 def normalize_python(text: str | None) -> str:
     """NFC, Turkish lower case, NFC, single blanks; the driver-side twin of ``normalize_text``."""
     value = unicodedata.normalize("NFC", text or "").replace("I", "ı").replace("İ", "i").lower()
