@@ -30,3 +30,10 @@ def test_distinct_and_empty(spark):
     assert {r.company: r.n_distinct for r in distinct_per_key(df, "company", "title").collect()}["a"] == 3
     empty = spark.createDataFrame([], SCHEMA)
     assert heavy_keys(empty, "company").count() == 0 and key_figures(empty, "company", ["resolved"], ["hours"]).count() == 0
+
+
+def test_measures_of_any_magnitude(spark):
+    df = spark.createDataFrame([("a", 1, x, 1, "t") for x in (3e10, 1e17, 0.00001)] + [("b", 1, 3e10, 1, "t")], SCHEMA)
+    got = {r.company: r for r in key_figures(df, "company", [], ["hours"]).collect()}
+    assert (got["a"].hours_n, got["a"].hours_max, got["a"].hours_min) == (3, 1e17, 0.00001) and math.isclose(got["a"].hours_sum, 1e17 + 3e10)
+    assert got["b"].hours_sum == 3e10 and got["b"].hours_sd is None

@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 
 def valid_measure(col: str) -> Column:
-    """The measure to four decimals where it is finite, not negative and below 10^14, else null."""
+    """The measure where it is finite and not negative, else null."""
     c = F.col(col).cast("double")
-    return F.when(~F.isnan(c) & (c >= 0) & (c < F.lit(1e14)), c).cast("decimal(18,4)")
+    return F.when(~F.isnan(c) & (c >= 0) & (c < F.lit(float("inf"))), c)
 
 
 def heavy_keys(df: DataFrame, key: str, one_in: int = 20) -> DataFrame:
@@ -31,20 +31,20 @@ def heavy_keys(df: DataFrame, key: str, one_in: int = 20) -> DataFrame:
 
 
 def key_figures(df: DataFrame, key: str, flags: Sequence[str] = (), measures: Sequence[str] = ()) -> DataFrame:
-    """Complete figures per key: rows, sums of 0/1 flags, and n, sum, mean, sd, min, max of measures."""
+    """Complete figures per key: rows, sums of 0/1 flags, and n, sum, mean, sd, min, max of measures. Figures are
+    doubles: they hold for any magnitude, to the rounding of the order in which states merge, and a sum beyond the
+    largest double is infinite; the deviation of a single value is null."""
     aggs: list[Column] = [F.count(F.lit(1)).alias("n_rows")]
     aggs += [F.sum(F.coalesce(F.col(f).cast("long"), F.lit(0).cast("long"))).alias(f"n_{f}") for f in flags]
     for m in measures:
         v = valid_measure(m)
-        # decimal sums are exact, so the figures do not depend on how rows were partitioned
-        n, total, squares = F.count(v).cast("double"), F.sum(v).cast("double"), F.sum((v * v).cast("decimal(28,8)")).cast("double")
         aggs += [
             F.count(v).alias(f"{m}_n"),
-            total.alias(f"{m}_sum"),
-            F.when(n > 0, total / n).alias(f"{m}_mean"),
-            F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), squares - total * total / n) / (n - 1))).alias(f"{m}_sd"),
-            F.min(v).cast("double").alias(f"{m}_min"),
-            F.max(v).cast("double").alias(f"{m}_max"),
+            F.sum(v).alias(f"{m}_sum"),
+            F.avg(v).alias(f"{m}_mean"),
+            F.stddev_samp(v).alias(f"{m}_sd"),  # central moments, merged without cancellation
+            F.min(v).alias(f"{m}_min"),
+            F.max(v).alias(f"{m}_max"),
         ]
     return df.groupBy(F.col(key)).agg(*aggs)
 

@@ -41,17 +41,12 @@ def p3_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_company_figures, p2_company_titles, p3_found, p3_resolution)}
 
-_V = "CAST(CASE WHEN NOT isnan({0}) AND {0} >= 0 AND {0} < 1e14 THEN {0} END AS DECIMAL(18,4))"
+_V = "CASE WHEN NOT isnan({0}) AND {0} >= 0 AND {0} < 'inf'::DOUBLE THEN {0} END"
 
 
 def _measure(m: str) -> str:
     v = _V.format(m)
-    n, total, squares = f"count({v})::DOUBLE", f"sum({v})::DOUBLE", f"sum(CAST({v} * {v} AS DECIMAL(28,8)))::DOUBLE"
-    return (
-        f"count({v}) AS {m}_n, {total} AS {m}_sum, CASE WHEN {n} > 0 THEN {total} / {n} END AS {m}_mean, "
-        f"CASE WHEN {n} > 1 THEN sqrt(greatest(0e0, {squares} - {total} * {total} / {n}) / ({n} - 1e0)) END AS {m}_sd, "
-        f"min({v})::DOUBLE AS {m}_min, max({v})::DOUBLE AS {m}_max"
-    )
+    return f"count({v}) AS {m}_n, sum({v}) AS {m}_sum, avg({v}) AS {m}_mean, stddev_samp({v}) AS {m}_sd, min({v}) AS {m}_min, max({v}) AS {m}_max"
 
 
 SQL = {
