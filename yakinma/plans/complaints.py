@@ -291,7 +291,7 @@ firsts AS (SELECT DISTINCT ON (sentence, root, expression) * FROM found ORDER BY
 _VERBS = _verbs(verbs.ROOTS)
 _ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 _BEST = "coalesce(nullif(trim(complaint_text), ''), nullif(trim(title), ''), '—')"
-_PREVIEW = f"CASE WHEN length({_BEST}) > 300 THEN substr({_BEST}, 1, 300) || '…' ELSE {_BEST} END"
+_PREVIEW = f"CASE WHEN length({_BEST}) > 3000 THEN substr({_BEST}, 1, 3000) || '…' ELSE {_BEST} END"
 
 _ISO = r"(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)(Z|[+-]\d{2}:?\d{2})?)?"
 _TEXT = r"(?i)(\d{1,2})\s+(" + "|".join(MONTHS) + r")(?:\s+(\d{4}))?\s+(\d{1,2}):(\d{2})"
@@ -340,7 +340,7 @@ why AS (SELECT id, max(score) AS score, array_to_string(list(category || ': ' ||
 SELECT id, categories[1] AS "primary", coalesce(score, 0e0) AS score, array_to_string(categories, '|') AS categories, coalesce(why, '') AS why FROM labels LEFT JOIN why USING (id)""",
     "category_rows": f"WITH texts AS ({_OWN_TEXTS}), {Q.classification('texts')} SELECT id, company FROM complaints JOIN labels USING (id) WHERE list_contains(categories, 'Montaj / Servis')",
     "analysis_texts": f"SELECT id, {Q.analysis('title', 'complaint_text', 'company_response_text')} AS text FROM complaints",
-    "best_texts": f"SELECT id, {_PREVIEW} AS text, regexp_replace({_ESC.format('(' + _PREVIEW + ')')}, '(?i)(koltuk|[iİı]ade)', '<b>\\1</b>', 'g') AS html FROM complaints",
+    "best_texts": f"SELECT id, {_PREVIEW} AS text, regexp_replace({_ESC.format('(' + _BEST + ')')}, '(?i)(koltuk|[iİı]ade)', '<b>\\1</b>', 'g') AS html FROM complaints",
     "top_bigrams": _RAW_GRAMS[2] + " SELECT term, count(*) AS count FROM occ GROUP BY term ORDER BY count DESC, min(pl) LIMIT 30",
     "document_frequencies": _RAW_GRAMS[1] + " SELECT term, count(DISTINCT rk) AS df FROM occ GROUP BY term",
     "tfidf_bigrams": _RAW_GRAMS[2] + f", {_STATS} SELECT term, round(score, 6) AS score, n AS count FROM scored WHERE df >= 2 ORDER BY scored.score DESC, first LIMIT 30",
