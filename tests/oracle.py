@@ -5,12 +5,13 @@ from pathlib import Path
 
 import duckdb
 
-DATA = "/root/testdata/sf0.001"
+DATA = "/root/testdata/sf0.01"
 
 
 def norm(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 6) + 0.0
+        assert not math.isnan(v), "a registered result must hold null, not NaN"
+        return float(f"{v:.10g}") + 0.0
     if isinstance(v, (list, tuple)):
         return tuple(norm(x) for x in v)
     return v

@@ -96,7 +96,8 @@ def test_incremental_job(spark):
 
     df = complaints(spark)
     results, aspects = spark.createDataFrame([], S.SENTIMENT_RESULTS), spark.createDataFrame([], S.ASPECT_SENTIMENT)
-    r, a = sentiment.run_job(df, results, aspects, "m", "1", marker_scorer)
+    r, a, failed = sentiment.run_job(df, results, aspects, "m", "1", marker_scorer)
+    assert failed.count() == 0
     r, a = spark.createDataFrame(r.collect(), S.SENTIMENT_RESULTS), spark.createDataFrame(a.collect(), S.ASPECT_SENTIMENT)
     assert {x.complaint_id: x.label for x in r.collect()} == {1: "negative", 2: "neutral", 3: "neutral"}
     assert ("Teslimat / Lojistik", 1) in {(x.category, x.complaint_id) for x in a.collect()}
@@ -105,7 +106,7 @@ def test_incremental_job(spark):
         raise AssertionError("the model must not load")
 
     assert sentiment.pending(df, r, a, "m", "1").count() == 0
-    again, _ = sentiment.run_job(df, r, a, "m", "1", broken)
+    again, *_ = sentiment.run_job(df, r, a, "m", "1", broken)
     assert again.count() == 3
     changed = df.withColumn("title", F.when(F.col("id") == 2, "Başka").otherwise(F.col("title")))
     assert [x.id for x in sentiment.pending(changed, r, a, "m", "1").collect()] == [2]

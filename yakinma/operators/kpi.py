@@ -6,12 +6,11 @@ its value histogram, not its rows.
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from yakinma.functions.rounding import py_round
-from yakinma.functions.text import normalize_python, normalize_text, padded, pin
+from yakinma.functions.text import company_slug, normalize_python, normalize_text, padded, pin
 from yakinma.operators.classify import classified
 from yakinma.operators.rules import ALL, Rules
 
@@ -33,10 +32,11 @@ def iso_day(col: Column) -> Column:
     return F.when(valid, F.date_add(F.substring(col, 1, 10).try_cast("date"), shift))
 
 
-def selected(df: DataFrame, company: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Rows of a company within inclusive days; any bound drops rows without a valid day, no bound keeps them."""
+def selected(df: DataFrame, company: str | None = None, start: str | None = None, end: str | None = None, hosts: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of a company within inclusive days; any bound drops rows without a valid day, no bound keeps them. The
+    company may be given as the address of its root page on one of ``hosts``; what names none is a ValueError."""
     if company:
-        df = df.where(F.col("company") == company)
+        df = df.where(F.col("company") == company_slug(company, hosts))
     if start or end:
         df = df.withColumn("_day", iso_day(F.col("complaint_date")))
         if start:

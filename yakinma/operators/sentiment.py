@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from yakinma.functions.text import analysis_text, let, pin, split_sentences
 from yakinma.operators.classify import categories_of, classify_text
 from yakinma.operators.rules import Rules
+from yakinma.session import materialise
 
 #: Names under which models report the three classes (fixed values).
 LABELS = {"negative": "negative", "negatif": "negative", "label_0": "negative", "neutral": "neutral", "nötr": "neutral", "notr": "neutral", "label_1": "neutral", "positive": "positive", "pozitif": "positive", "label_2": "positive"}
@@ -133,19 +135,32 @@ def replace_aspects(aspects: DataFrame, new: DataFrame, done: DataFrame) -> Data
     return aspects.join(done.select(*key).distinct(), key, "left_anti").unionByName(new).select(*aspects.columns)
 
 
-def run_job(df: DataFrame, results: DataFrame, aspects: DataFrame, model_id: str, version: str, make_scorer: Callable[[], Scorer], rules: Rules | None = None) -> tuple[DataFrame, DataFrame]:
-    """One incremental run: both caches after it. Up-to-date records never reach the model."""
-    todo = pending(df, results, aspects, model_id, version, rules)
+class JobResult(NamedTuple):
+    """Both caches after a run, and (complaint_id, texts, failed) of the records that could not be analysed."""
+
+    results: DataFrame
+    aspects: DataFrame
+    failed: DataFrame
+
+
+def run_job(df: DataFrame, results: DataFrame, aspects: DataFrame, model_id: str, version: str, make_scorer: Callable[[], Scorer], rules: Rules | None = None) -> JobResult:
+    """One incremental run. Up-to-date records never reach the model. A record counts as analysed only if each of its
+    texts got scores; both caches of any other stay as they were, so the next run tries it again."""
+    todo = materialise(pending(df, results, aspects, model_id, version, rules).select("id", "title", "complaint_text", "analysis_text", "text_hash", "aspect_hash", "need_sentiment", "need_aspects"), "todo")
     stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
     head = [F.col("id").alias("complaint_id"), F.lit(model_id).alias("model_id"), F.lit(version).alias("analyzer_version")]
-    whole = infer(todo.where("need_sentiment"), "analysis_text", make_scorer).withColumn("s", scores_from_output(F.col("output"))).where("s IS NOT NULL")
-    new = whole.select(*head, "text_hash", "s.label", "s.confidence", "s.negative", "s.neutral", "s.positive", stamp.alias("analyzed_at"))
-    parts = aspect_sentences(todo.where("need_aspects"), rules).join(todo.select("id", "aspect_hash"), "id")
-    parts = infer(parts, "sentence", make_scorer).withColumn("s", scores_from_output(F.col("output"))).where("s IS NOT NULL")
+    whole = todo.where("need_sentiment").select("id", F.lit(-1).alias("sent"), F.col("analysis_text").alias("sentence"), F.array().cast("array<string>").alias("categories"))
+    scored = infer(whole.unionByName(aspect_sentences(todo.where("need_aspects"), rules)), "sentence", make_scorer).withColumn("s", scores_from_output(F.col("output")))
+    scored = materialise(scored.select("id", "sent", "categories", "s"), "scores")  # the model runs once, whatever reads this
+    bad = F.count_if(F.col("s").isNull())
+    failed = scored.groupBy(F.col("id").alias("complaint_id")).agg(F.count(F.lit(1)).alias("texts"), bad.alias("failed")).where("failed > 0")
+    done = todo.join(failed.select(F.col("complaint_id").alias("id")), "id", "left_anti")
+    new = scored.where("sent = -1").join(done.select("id", "text_hash"), "id")
+    new = new.select(*head, "text_hash", "s.label", "s.confidence", "s.negative", "s.neutral", "s.positive", stamp.alias("analyzed_at"))
+    parts = scored.where("sent >= 0").join(done.select("id", "aspect_hash"), "id")
     new_aspects = aspect_means(parts.select("id", "aspect_hash", "categories", "s.negative", "s.neutral", "s.positive"), ["id", "aspect_hash"])
-    new_aspects = new_aspects.select(*head[:1], "category", *head[1:], F.col("aspect_hash").alias("text_hash"), "sentence_count", "negative", "neutral", "positive", stamp.alias("analyzed_at"))
-    done = todo.where("need_aspects").select(*head)
-    return upsert_results(results, new), replace_aspects(aspects, new_aspects.withColumn("sentence_count", F.col("sentence_count").cast("int")), done)
+    new_aspects = new_aspects.select(*head[:1], "category", *head[1:], F.col("aspect_hash").alias("text_hash"), F.col("sentence_count").cast("int").alias("sentence_count"), "negative", "neutral", "positive", stamp.alias("analyzed_at"))
+    return JobResult(upsert_results(results, new), replace_aspects(aspects, new_aspects, done.where("need_aspects").select(*head)), failed)
 
 
 def aspect_means(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -96,10 +96,33 @@ def marker_scorer() -> sentiment.Scorer:
 
 def sentiment_job(spark, sf_dir):
     """The aspect cache after an incremental run of a stand-in model under a new version."""
-    _, aspects = sentiment.run_job(*_tables(spark, sf_dir), MODEL, "3", marker_scorer, OWN_RULES)
+    aspects = sentiment.run_job(*_tables(spark, sf_dir), MODEL, "3", marker_scorer, OWN_RULES).aspects
     return _round(aspects.where("analyzer_version = '3'").drop("analyzed_at", "text_hash"))
 
 
+def fussy_scorer() -> sentiment.Scorer:
+    """A stand-in for a model that fails on texts with a telltale word."""
+    score = marker_scorer()
+
+    def fussy(texts: list[str]) -> list[list[dict]]:
+        if any("iade" in t for t in texts):
+            raise ValueError("no scores")
+        return score(texts)
+
+    return fussy
+
+
+def sentiment_upserted(spark, sf_dir):
+    """The sentiment cache after a run of a stand-in model that fails on some records: their old rows stay."""
+    results = sentiment.run_job(*_tables(spark, sf_dir), MODEL, VERSION, fussy_scorer, OWN_RULES).results
+    return _round(results.where((F.col("model_id") == MODEL) & (F.col("analyzer_version") == VERSION)).select("complaint_id", "text_hash", "label", "confidence", "negative", "neutral", "positive"))
+
+
+def sentiment_failures(spark, sf_dir):
+    """Records that the failing stand-in model could not analyse, with their texts."""
+    return sentiment.run_job(*_tables(spark, sf_dir), MODEL, "3", fussy_scorer, OWN_RULES).failed
+
+
 def latest_items(spark, sf_dir):
     return store.latest_items(table(spark, sf_dir, "crawl_items")).select("complaint_url", "company", "complaint_text", "title", "resolved", "response_hours", "scraped_at")
 
@@ -154,7 +177,7 @@ def extracted_pages(spark, sf_dir):
 
 
 _ALL = (
-    sentiment_rows, label_counts, detail_statistics, least_certain, aspect_summary, priority_table, text_hashes, pending_rows, aspect_sentences, sentence_explanations, sentiment_job, latest_items, upserted,
+    sentiment_rows, label_counts, detail_statistics, least_certain, aspect_summary, priority_table, text_hashes, pending_rows, aspect_sentences, sentence_explanations, sentiment_job, sentiment_upserted, sentiment_failures, latest_items, upserted,
     streamed_upserts, repaired, company_deleted, extracted_pages,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -177,10 +200,15 @@ def _aspect_hash(h: str) -> str:
     return f"sha256({Q.lit('{\"rules\":' + rendered + ',\"text\":\"')} || {h} || '\"}}')"
 
 
+_NUMBERS = ", ".join(f"CASE WHEN NOT isnan({c}) THEN {c} END AS {c}" for c in ("response_hours", "resolution_hours"))
+_TIES = ", ".join(f"{c} DESC NULLS LAST" for c in ["scraped_at", *[c for c in S.CRAWL_ITEMS.fieldNames() if c not in ("complaint_url", "scraped_at")]])
+
+
 def _last(source: str) -> str:
-    return f"""body AS (SELECT complaint_url, arg_max(complaint_text, (scraped_at, complaint_text)) AS body FROM {source} WHERE complaint_text IS NOT NULL GROUP BY 1),
-own AS (SELECT complaint_url, arg_min(company, (scraped_at, company)) AS own FROM {source} GROUP BY 1),
-last AS (SELECT DISTINCT ON (complaint_url) * FROM {source} ORDER BY complaint_url, scraped_at DESC)"""
+    """Stored numbers are never NaN; ties in time fall to the greatest row."""
+    return f"""items_in AS (SELECT * REPLACE ({_NUMBERS}) FROM {source}), body AS (SELECT complaint_url, arg_max(complaint_text, (scraped_at, complaint_text)) AS body FROM items_in WHERE complaint_text IS NOT NULL GROUP BY 1),
+own AS (SELECT complaint_url, arg_min(company, (scraped_at, company)) AS own FROM items_in GROUP BY 1),
+last AS (SELECT DISTINCT ON (complaint_url) * FROM items_in ORDER BY complaint_url, {_TIES})"""
 
 
 _CLEAN = f"nullif({Q.sanitize('complaint_text', 'company_response_text')}, '')"
@@ -209,6 +237,14 @@ SELECT s.id, s.nth AS sent, s.sentence, CASE WHEN l.classified THEN array_to_str
     "sentiment_job": f"""WITH {_sentences(Q.analysis('title', 'complaint_text'))}, scored AS (SELECT s.*, {_SCORES} FROM s),
 each AS (SELECT x.id, a / (a + b + (1 - a - b)) AS negative, b / (a + b + (1 - a - b)) AS neutral, (1 - a - b) / (a + b + (1 - a - b)) AS positive, unnest(l.categories) AS category FROM scored x JOIN labels l ON l.id = x.key)
 SELECT id AS complaint_id, category, '{MODEL}' AS model_id, '3' AS analyzer_version, CAST(count(*) AS INT) AS sentence_count, round(avg(negative), 6) AS negative, round(avg(neutral), 6) AS neutral, round(avg(positive), 6) AS positive FROM each GROUP BY ALL""",
+    "sentiment_failures": f"""WITH {_sentences(Q.analysis('title', 'complaint_text'))}, texts_in AS (SELECT id, sentence FROM s UNION ALL SELECT id, body FROM base WHERE body <> '')
+SELECT id AS complaint_id, count(*) AS texts, count_if(contains(sentence, 'iade')) AS failed FROM texts_in GROUP BY id HAVING count_if(contains(sentence, 'iade')) > 0""",
+    "sentiment_upserted": f"""WITH {_RESULTS}, d AS (SELECT id, body, text_hash, {_aspect_hash('text_hash')} AS aspect_hash FROM (SELECT id, t AS body, sha256(t) AS text_hash FROM (SELECT id, {Q.analysis('title', 'complaint_text')} AS t FROM complaints) WHERE t <> '')),
+mine AS (SELECT * FROM res WHERE {_MINE}),
+fresh AS (SELECT id AS complaint_id, text_hash, body AS sentence FROM d WHERE NOT contains(body, 'iade') AND NOT EXISTS (SELECT 1 FROM mine r WHERE r.complaint_id = id AND r.text_hash = d.text_hash)),
+scored AS (SELECT complaint_id, text_hash, {_SCORES} FROM fresh), shares AS (SELECT complaint_id, text_hash, a / (a + b + (1 - a - b)) AS negative, b / (a + b + (1 - a - b)) AS neutral, (1 - a - b) / (a + b + (1 - a - b)) AS positive FROM scored)
+SELECT complaint_id, text_hash, CASE WHEN negative > neutral THEN 'negative' ELSE 'neutral' END AS label, round(greatest(negative, neutral, positive), 6) AS confidence, round(negative, 6) AS negative, round(neutral, 6) AS neutral, round(positive, 6) AS positive FROM shares
+UNION ALL SELECT complaint_id, text_hash, label, round(confidence, 6), round(negative, 6), round(neutral, 6), round(positive, 6) FROM mine WHERE complaint_id NOT IN (SELECT complaint_id FROM fresh)""",
     "extracted_pages": f"SELECT company, complaint_url, nullif({Q.space('title')}, '') AS title, nullif({Q.sanitize(Q.space('complaint_text'), Q.space('company_response_text'))}, '') AS complaint_text, resolved <> 0 AS resolved, "
     f"{_ANSWER} IS NOT NULL AS company_responded, listing_page FROM complaints",
     "sentiment_rows": _JOINED + "SELECT id, company, complaint_date, resolved, company_responded, label, confidence, negative, neutral, positive, "
@@ -230,7 +266,7 @@ p AS (SELECT id, NOT EXISTS (SELECT 1 FROM res r WHERE r.complaint_id = id AND r
 NOT EXISTS (SELECT 1 FROM aspect_sentiment a WHERE a.complaint_id = id AND a.text_hash = d.aspect_hash AND {_MINE}) AS need_aspects FROM d) SELECT * FROM p WHERE need_sentiment OR need_aspects""",
     "latest_items": f"WITH {_last('crawl_items')} SELECT complaint_url, own AS company, body AS complaint_text, title, resolved, response_hours, scraped_at FROM last LEFT JOIN body USING (complaint_url) JOIN own USING (complaint_url)",
     "upserted": f"""WITH {_last('crawl_items')},
-target AS (SELECT * FROM complaints WHERE scraped_at < '{AS_OF}'),
+target AS (SELECT * REPLACE ({_NUMBERS}) FROM complaints WHERE scraped_at < '{AS_OF}'),
 items AS (SELECT last.*, own, {_MERGED} AS clean FROM last LEFT JOIN body USING (complaint_url) JOIN own USING (complaint_url)),
 fresh AS (SELECT i.*, (SELECT max(id) FROM target) + row_number() OVER (ORDER BY complaint_url) AS new_id FROM items i WHERE complaint_url NOT IN (SELECT complaint_url FROM target))
 SELECT new_id AS id, own AS company, complaint_url, title, clean AS complaint_text, CAST(resolved AS INT) AS resolved, response_hours, scraped_at FROM fresh

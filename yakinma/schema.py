@@ -33,7 +33,12 @@ TABLES = {"complaints": COMPLAINTS, "sentiment_results": SENTIMENT_RESULTS, "asp
 COLUMNS = COMPLAINTS.fieldNames()
 
 
+def without_nan(df: DataFrame) -> DataFrame:
+    """Doubles that are no number become null, as in every stored table."""
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c, t in df.dtypes if t == "double"})
+
+
 def migrate(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """The columns of ``schema`` in its order: missing ones as nulls, others cast; extra columns are left out."""
+    """The columns of ``schema`` in its order: missing ones as nulls, others cast, NaN as null; extra columns are left out."""
     have = set(df.columns)
-    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+    return without_nan(df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]))
