@@ -67,11 +67,72 @@ def test_tables(spark):
     rows = [(1, "Selin Hanım ve Mert Bey aradı", None, "x", 0), (1, "Selin Hanım ve Mert Bey aradı", None, "x", 0), (2, None, "", "x", 0), (3, "a " * 60_000 + "Selin Hanım", "x@y.test", "x", 0)]
     df = spark.createDataFrame(rows, schema)
     fields = ["complaint_text", "company_response_text"]
-    got = Counter(tuple(r) for r in pii.find(df, fields).collect())
+    got = Counter(tuple(r) for r in pii.find(df, fields, KEY).drop("pseudonym").collect())
     assert got[(1, "complaint_text", "name", 1)] == 2 and got[(1, "complaint_text", "name", 2)] == 2
     assert got[(3, "company_response_text", "email", 1)] == 1 and got[(3, "complaint_text", "name", 1)] == 1 and sum(got.values()) == 6
     out = {r.id: r for r in pii.redact(df, fields, KEY).collect()}
     assert out[2].complaint_text is None and out[2].company_response_text == "" and out[1].kind == "x"
     assert out[1].complaint_text == "[NAME] ve [NAME] aradı"
     empty = spark.createDataFrame([], schema)
-    assert pii.find(empty, fields).count() == 0 and pii.redact(empty, fields, KEY).count() == 0
+    assert pii.find(empty, fields, KEY).count() == 0 and pii.redact(empty, fields, KEY).count() == 0
+
+
+def lower(t):
+    return t.replace("I", "ı").replace("İ", "i").lower()
+
+
+def upper(t):
+    return t.replace("i", "İ").replace("ı", "I").upper()
+
+
+ORDINARY = """Barış Yıldırım|Deniz Kara|Umut Bozkurt|Cem Aydın|Mehmet Demir|Ayşe Kaya|Fatma Çelik|Mustafa Şahin|Emre Doğan|Selin Arslan|Burcu Kılıç|Kaan Öztürk|Ece Aksoy|Serkan Koç|Gülşah Yavuz|Tuğba Çetin|Hüseyin Kurt
+Elif Özkan|Zeynep Şimşek|Ali Polat|İbrahim Korkmaz|Merve Çakır|Okan Erdoğan|Sinem Güler|Volkan Acar|Nazlı Tekin|Berkay Ünal|Pınar Yalçın|Onur Güneş|Derya Bulut""".replace("\n", "|").split("|")
+#: Neither the first names nor most of the surnames are in a list.
+UNLISTED = """Tunahan Beştepe|Naciye Elverişli|Sudenaz Kumrular|Mirza Hacıbekir|Ferahnaz Gündeş|Rüzgar Elitaş|Ilgaz Tepebaşı|Cansın Işıldar|Nisanur Özdilek|Melih Karaosmanoğlu|Şevval Duru|Azat Rençber|Zozan Baran|Dilan Ekmekçi
+Egemen Sarıoğlu|Kutay Bilgiç|Pakize Suda|Müjdat Gezen""".replace("\n", "|").split("|")
+
+
+def recall(names, shape, style):
+    texts = [(style(shape.format(n)), style(n)) for n in names]
+    return sum(any(k == "name" and t[a:b] == n for a, b, k in pii.find_items(t)) for t, n in texts) / len(names)
+
+
+def test_names_of_any_case():
+    for style in (str, lower, upper):
+        assert recall(ORDINARY, "Dün mağazada {} bizi aradı ve ürünü göndermedi.", style) >= 0.9
+        assert recall(UNLISTED, "Adım {}, ürünüm gelmedi.", style) >= 0.7
+    assert recall(UNLISTED, "Sayın {}, kaydınız alınmıştır.", str) == recall(UNLISTED, "Bekliyoruz. Saygılarımla, {}", str) == 1.0
+    extra = frozenset(pii.fold(n.split()[0]) for n in UNLISTED)
+    assert sum(any(k == "name" for *_, k in pii.find_items(lower(f"Dün {n}, bizi aradı"), extra)) for n in UNLISTED) >= 14
+
+
+def test_ordinary_words_are_no_names():
+    for t in (
+        "deniz mavisi koltuk, umut ettim", "can sıkıcı bir durum, barış içinde güven vermedi", "kara demir ayak ve taş masa", "Sayın Yetkili, Değerli Müşterimiz", "Sayın Varvanya Home yetkilileri", "Ahmet geldi, gitti. ali aradı.",
+        "sultan koltuk takımı", "Gül kurusu rengi. Güneş enerjisi, İnci beyazı", "onur kırıcı davranış", "umut verdi, umut kesildi.", "Merhaba Sevgili Marka Ekibi", "yılmaz bir takipçiyim", "ilk gün geldi, ay sonu", "Bayram öncesi teslim",
+        "özgür irade, bahar indirimi.", "sayın site yönetimi,", "Aydın Bilmoselova tarafında oturuyoruz", "Selin isimli komodin aldım",
+    ):
+        assert "name" not in kinds(t), t
+
+
+def test_no_item_is_swallowed():
+    assert pii.redact_text("Lale Mah. Gül Sok. No: 5 Kayseri.musteri@posta.com yazın", KEY) == "[ADDRESS] [EMAIL] yazın"
+    assert pii.redact_text("Lale Mah. Gül Sok. No:5, Bursa.info@firma.com.tr", KEY) == "[ADDRESS], [EMAIL]"
+
+
+BITS = ["Lale Mah. Gül Sok. No: 5 Kayseri", "Nar Cad. No:56/D K:5 D:23 İzmir", ".musteri@posta.com", "ali.kaya+1@ev.test", "0532 123 45 67", "714 033 283 12", "Selin Hanım", "Deniz Kara", " ", ", ", ". ", "\n", "-", "Bey", "İzmir", "no 7", "Adım", "ürün"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(BITS), max_size=9).map("".join))
+def test_placeholders_are_the_items(text):
+    items = pii.find_items(text)
+    out = pii.redact_text(text, KEY)
+    assert Counter(k for *_, k in items) == Counter({k: n for k in pii.KINDS if (n := out.count(f"[{k.upper()}"))})
+    assert "@" not in out
+
+
+def test_birth_dates_are_permuted_in_their_format():
+    a, b = (pii.redact_text(f"doğum tarihim {x} idi, 12.03.2024 teslim", KEY) for x in ("12.03.1985", "12/03/1985"))
+    day = a.split()[2]
+    assert day != "12.03.1985" and b.split()[2] == day.replace(".", "/") and a.endswith("idi, 12.03.2024 teslim")

@@ -1,15 +1,19 @@
 """Personal information in free text: find it, and replace it by typed placeholders.
 
 Numbers are pseudonymised by a keyed Feistel permutation within their format: the digits of a person's
-line are permuted behind their country code, those of an identity number behind valid check digits, and
-separators stay where they were. Equal numbers therefore stay linked across documents, however they are
-written, and nobody without the key  invert them. E-mails, addresses and names become plain typed
-placeholders. The dates of the records themselves are no items here; ``permute_date`` offers the same
-permutation for them.
+line are permuted behind their country code, those of an identity number behind valid check digits, the day of a
+birth date among all days of two centuries, and separators stay where they were. Equal numbers therefore stay
+linked across documents, however they are written, and nobody without the key can invert them. E-mails, addresses
+and names become plain typed placeholders. Other dates are no personal details and stay.
+
+Names are found by evidence, in any case style: a first name (of two lists, or built of the usual parts) before a
+surname (of a list, or built of the usual parts, or a capitalised word), a title behind a name, or a phrase that
+introduces or follows a person (``adım``, ``sayın``, ``isimli``, ``tarafından``) around words that are no
+ordinary ones. More names are given by the parameter ``more_names``.
 
 Defined results: a null text has no items and stays null; an empty or blank text stays as it is; items of
-one field are numbered by kind in the order of the text; redacted text is NFC; repeated rows give repeated
-results; a text is always scanned as a whole, however long it is.
+one field are numbered by kind in the order of the text; redacted text is NFC and has one placeholder for each item;
+repeated rows give repeated results; a text is always scanned as a whole, however long it is.
 """
 
 from __future__ import annotations
@@ -27,30 +31,81 @@ from pyspark.sql import types as T
 
 KINDS = ("email", "phone", "identity", "address", "name")
 
-#: Common first names, folded to plain letters (fixed values).
-FIRST_NAMES = frozenset(
-    """abdullah adem ahmet   ali alper arda arzu asli asuman aylin ayse aysel aysun ayten azra  basak
-    batuhan  belgin berk berkay  bilge bilal  bulent burak burcu busra buse cagla cagri can 
-    cemal cemil   ceyda cigdem cihan    didem dilara dilek  ebru ece  ekrem elif emel
-    emine emir emrah emre ender engin enes erdem eren erhan erkan erol ersin esin esra eylul ezgi  faruk fatih
-    fatma feride ferhat figen filiz furkan gamze gizem gokce gokhan  gorkem    gulsah 
-     hacer hakan halil haluk hande harun hasan hatice  hulya huseyin ibrahim ilgin ilhan ilker  irem
-    irfan isik ismail  kadir kamil kemal kenan kerem kubra kursat leman levent leyla mahmut mehmet  melike
-    meltem meral merve mert mesut   muge murat musa mustafa nalan  necati nermin neslihan nesrin nihat
-    nilgun  nuray nurgul nurten oguz  omer onur orhan osman ozan ozge ozgur ozlem pelin pinar ramazan recep
-    rifat riza   sahin  sebnem seda sedat selim selin selma  semra serap serdar serhat serkan
-    sevgi sevim  sibel    sukran suleyman sule  taner tarik tayfun tolga tugba tugce tuncay
-    turgut tulay  ugur ulku umit  veli volkan yakup yasemin yasin yavuz yeliz yigit  yilmaz yunus
-    yusuf zafer zehra   zeynep zuhal""".split()
+#: Common first names of men, folded to plain letters (fixed values).
+MEN = frozenset(
+    """abdullah adem ahmet ali alp arda arif atilla aydin ayhan baris batuhan bayram bekir berk bilal bora bulent burak burhan cagri can celal
+    cem cemal cemil cengiz cevdet cihan cuneyt davut deniz dogan dursun efe ekrem emir emrah emre ender engin enes enver eray erdal erdem
+    erdinc eren erhan erkan erol ersin fahri faruk fatih ferdi ferhat fikret furkan galip gokhan gorkem hakan halil haluk hamza harun hasan
+    haydar hikmet huseyin ibrahim idris ihsan ilhan ilker irfan isik ismail izzet kaan kadir kamil kazim kemal kenan kerem koray kursat
+    levent lutfi mahmut mehmet mert mesut metin mevlut muhammed muhammet muharrem murat musa mustafa muzaffer nazim necati nihat nuri oguz
+    okan oktay omer onder onur orcun orhan osman ozan ozgur polat ramazan recep rifat riza sabri sahin salih sami samet savas sedat sefa
+    selcuk selim semih serdar serhat serkan sezer sinan suat suleyman tahsin talha tamer taner tarik tayfun temel tevfik tolga tuncay
+    turgut ufuk ugur umit umut utku vedat veli volkan yahya yakup yalcin yasar yasin yavuz yigit yilmaz yuksel yunus yusuf zafer zeki""".split()
+)
+#: Common first names of women, folded to plain letters (fixed values).
+WOMEN = frozenset(
+    """alev arzu asli asuman ayla aylin ayse aysun ayten azra bahar banu basak belgin berna betul beyza bilge burcu buse busra cagla cemile
+    ceren ceyda cigdem damla demet derya didem dilara dilek duygu ebru ece eda ela elif emel emine esin esma esra eylul ezgi fadime
+    fatma feride feyza figen filiz funda gamze gizem gokce gonca gonul gozde hacer hale handan hande hanife hatice havva hilal hulya ilgin
+    ilknur inci ipek irem jale kader kevser kubra lale leman leyla makbule melek melike melis meltem meral merve meryem mine muge nalan
+    nazan nazli necla nergis nermin neslihan nesrin nevin nihal nilay nilgun nilufer nimet oya ozge ozlem pelin perihan pinar rabia
+    reyhan rukiye saadet seda sebnem sedef selda selin selma sema semra serap serife serpil sevda sevgi sevil sevim sevinc seyma sibel
+    simge sinem songul sukran sule sultan suna tugba tugce tulay tulin ulku yagmur yasemin yeliz yesim yildiz zehra zeliha zerrin
+    zeynep zuhal""".split()
+)
+#: How other first names are built of two parts, folded (fixed values).
+GIVEN = re.compile(r"(?:ay|gul|nur|sen|bir|can|cansu|er|ber|berk|gok|tan|tun|tuna|alp|oz|il|ilk|fer|hay|as|emir|meh|bin|dil|gun|su|sev|ayse|fatma|mer|ned|mu)(?:nur|gul|can|han|su|sel|sen|ten|tekin|kan|alp|ay|er|eren|mert|berk|fer|gun|nil|naz|det|ray|tug|min|gin|dan|dem|hat|sah)$")
+#: Common surnames, folded to plain letters (fixed values).
+SURNAMES = frozenset(
+    """acar adiguzel akar akin akman alkan altun arikan arslan aslan atalay atas ates avci ay aydemir aydin aydogan aygun bakir balci baran bas
+    basaran bayrak bayram bilgin bilir bingol bozkurt bulut cakir cakmak can candan celik cetin ceylan cevik cinar ciftci cicek coban
+    coskun dag dal demir demirci demirel deniz dinc dincer dogan dogru duman durmaz dursun duran ekinci elmas erbay erdem erdogan
+    eren erol ertan es gedik genc gok gokce gokmen guclu guler gul gumus gun gunay gundogdu gunes guney gungor gurbuz gursoy guven guzel
+    gunduz ilhan ince inan ipek isik kahraman kalkan kaplan kar kara karaca karahan karaman kartal kaya kaymaz kayra keles keskin kilic
+    kilinc kiraz koc koca kocak kocaman kose korkmaz koyuncu kurt kurtulus kuru kus kaynak mutlu oral oguz okur onal oner oz ozel parlak
+    pehlivan polat sahin sari saglam sen sener sezer sevim solmaz sonmez soylu soydan simsek tan tas tasci tekin temel terzi tok topal toprak
+    topcu tosun tuna tuncer tunc tung turan turgut turk turkmen tutar ucar ucan ulas ulu unal unlu ural uysal uzun varol vural
+    yalcin yaman yavuz yazici yesil yigit yildirim yildiz yilmaz yuce yucel yuksel yurt yurdakul zengin zorlu""".split()
+)
+#: Endings that make a word a surname, and how other surnames are built of two parts, folded (fixed values).
+FAMILY = re.compile(r"[a-z]{3,}(?:oglu|ogullari|zade|gil|giller)$")
+BUILT = re.compile(
+    r"(?:oz|ak|kara|boz|gok|kizil|sari|demir|altin|koca|bas|gun|tas|er|bay|tok|top|ulu|yil|ay|al|can|celik|cam|koy|kay|yan|uc|ba[ly]|tan|tur|kir|el|il|ar|or)"
+    r"(?:turk|demir|kan|can|tas|soy|kaya|bulut|yurek|gul|gun|tekin|dogan|kurt|bay|kilic|celik|alp|ay|pinar|dag|yol|baba|goz|cam|han|polat|mert|yildiz|aslan|koc|isik|ates|kus|duman|gol|tunc|turan|yuz|cin|demirci|budak|kocak|deniz|sal|ova)$"
 )
-#: Endings of surnames, folded; with a first name or an initial before them they need no capital letter.
-SURNAME = re.compile(r"(?:oglu|soylar|takin|alti|gan|maz|civar|koyluer|gil|turk|soy|tas|kaya|demir|celik|yilmaz|ozturk|arslan|dogan|kilic|aslan|cetin|kurt|koc|ozkan|simsek|polat|korkmaz)(?:in|un|dan|tan|a|e)?$")
-STRONG_SURNAME = re.compile(r"[a-z]{2,}(?:oglu|soylar|takin|civar|koyluer)$")
-_ENDINGS = ("oglu", "soylar", "takin", "civar", "koyluer")
+#: First names and surnames that are ordinary words too: alone in running small letters they prove little (fixed values).
+WORDS = frozenset(
+    """alev arda ay aydin bahar baris bas bayram bilge can cicek coban dag dal damla deniz derya dilek dogan dogru duman duygu elmas emir engin es genc
+    eylul ezgi gok gonul gul gun gunes guney guzel guven hale halil hilal hikmet inci ince ipek isik kader kar kara kartal kaya kilic kiraz koca koc
+    kose kus kuru kurt lale melek mert metin mine mutlu nimet okur onur onder oral oya oz ozel ozgur pinar polat sahin saglam sari savas sen sevgi sevim
+    sevinc sultan tan tas temel terzi tok topal toprak turk tutar ufuk ulu umit umut uzun veli yagmur yaman yasar yavuz yesil yildiz yigit
+    yuce yuksel yurt zafer zengin uysal simge songul demir bulut celik ates ucar ucan durmaz kaynak bayrak gumus yazici""".split()
+)
+#: Words that introduce a person, and words that follow one, folded (fixed values).
+BEFORE = frozenset(
+    """sayin musterimiz merhaba adim ismim kisi kisinin yetkilimiz yetkili yetkilisi danismani temsilcisi sahibi saygilarimla saygilar saygilarimizla sozlesme kayit
+    siparisi iletisim soyadi soyadim soyisim adi ismi isim ben usta ustasi sorumlusu muduru alici imza gonderen kurulum montajci""".split()
+)
+AFTER = frozenset("tarafindan isimli adli adina adindaki uzerine idi sizi olarak isminde".split())
+#: Phrases before the dates that are a person's: a birth date.
+_BIRTH = re.compile(r"dogum\s*(?:tarihi\w*|gunu\w*)?\s*[:=]?\s*((?:0?[1-9]|[12]\d|3[01])([./-])(?:0?[1-9]|1[0-2])\2(?:19|20)\d\d)(?!\d)")
 TITLE = re.compile(r"(?:bey|hanim)(?:in|e|i|a|den|dan|le|la|ler|lar|efendi)?$")
-#: Words that are no surname although they may be capitalised (beginnings, folded).
-NO_SURNAME = ("seri", "model", "takim", "isim", "kolek", "koltuk", "masa", "sehpa", "yatak", "kanep", "dolap", "gardirop", "mobilya", "home", "mah", "cad", "sok", "bulvar", "site", "apart", "blok", "kapi", "kat", "daire", "merkez", "hat", "bayi", "magaza", "sube", "urun", "sayin", "merhaba", "degerli", "kimlik", "kargo", "siparis", "fatura", "bebek", "montaj", "teknik", "servis", "genel", "musteri")
-NO_GIVEN = frozenset("sayin merhaba degerli musteri temsilcisi danismani yetkilisi yetkilimiz sahibi kayit kisi satis adresim ben talep tarafindan hizmet selam saygideger ilgili kurulum gorustugum iletisim teslimat".split())
+#: Beginnings of words that are no part of a person's name although they may be capitalised (fixed values).
+NO_NAME = (
+    "seri", "model", "takim", "isim", "kolek", "koltuk", "masa", "sehpa", "yatak", "kanep", "dolap", "gardirop", "mobilya", "home", "mah", "cad", "sok", "bulvar", "site", "apart", "blok", "kapi", "kat", "daire",
+    "merkez", "hat", "bayi", "magaza", "sube", "urun", "sayin", "merhaba", "degerli", "kimlik", "kargo", "siparis", "fatura", "bebek", "montaj", "teknik", "servis", "genel", "musteri", "yetkili", "ekib", "ekip",
+    "firma", "marka", "aile", "yonetim", "usta", "personel", "kurulum", "teslim", "iade", "depo", "hizmet", "destek", "tuketici", "danisman", "temsilci", "bolge", "garanti", "randevu", "talep", "kayit", "parca",
+)
+NO_GIVEN = frozenset("sayin merhaba degerli musteri temsilcisi danismani yetkilisi yetkilimiz sahibi kayit kisi satis adresim ben talep tarafindan hizmet selam saygideger ilgili kurulum gorustugum iletisim teslimat adim ismim saygilarimla".split())
+#: Beginnings of words behind what is a product's or a place's name (fixed values).
+NO_PERSON = ("seri", "model", "takim", "kolek", "bayisi", "bayii", "magazasi", "subesi")
+#: Beginnings of words for a person, behind ``isimli`` or ``adlı`` (fixed values).
+PERSON = ("usta", "personel", "temsilci", "danisman", "gorevli", "kisi", "calisan", "eleman", "musteri", "yetkili", "montajci", "arkadas", "sofor", "teknisyen", "bey", "hanim", "kadin", "adam", "sahis")
+_CARD = re.compile(r"\s*[-/]\s*[(+]*\d")
+#: Endings of verbs and of inflected nouns: such a word is no surname unless a phrase says so.
+_INFLECTED = re.compile(r".{2,}(?:[dt][iu](?:m|k|ler|lar|n|niz|nuz)?|yor\w*|m[iu]s\w*|[ae]ca[kg]\w*|[ae]ce[kg]\w*|[dt][ae]n?|l[ae]r\w{0,4}|s[iu]|[iu]m[iu]z?\w*|n[iu]n|y[iu]|m[ae]k\w*|ip|up|inca|ince|ken|m[ae]m|[aeiu]r[iu]m)$")
+#: Ordinary words that follow first names in running text, folded (fixed values).
+ORDINARY = frozenset("ve veya ile ama icin gibi kadar cok daha sonra once bir bu su her hic ne ki de da mi mu beni bana bizi bize onu ona var yok degil oldu diye ise bile telefonda hat bugun dun yarin sabah aksam pazartesi sali carsamba persembe cuma cumartesi pazar hemen sadece arkadas kisi adli isimli".split())
 
 _FOLD = tuple(zip("ıçğöşüâîûäéß＠", "icgosuaiuaes@", strict=True))
 _TAGS = re.compile(r"&nbsp;|</?(?:br|p|div|b|i|u|span|li|ul|strong|em)\b[^<>]*>", re.I)
@@ -143,71 +198,126 @@ def _numbers(text: str, plain: str, spans: list[tuple[int, int, str]]) -> None:
             spans.append((*m.span(), "phone"))
 
 
-def _names(text: str, plain: str, spans: list[tuple[int, int, str]]) -> None:
+def _given(w: str) -> bool:
+    return w in MEN or w in WOMEN or (len(w) > 4 and GIVEN.match(w) is not None)
+
+
+def _names(text: str, plain: str, spans: list[tuple[int, int, str]], more: frozenset[str] = frozenset()) -> None:
     words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(plain)]
-    hits = [i for i, (a, _, w) in enumerate(words) if w in FIRST_NAMES or w.startswith(("bey", "hanim")) or w.endswith(_ENDINGS) or (len(w) == 1 and plain[a + 1 : a + 2] == ".")]
-    if not hits:
+    known = {w for _, _, w in words}
+    given = {w for w in known if w in more or _given(w)}
+    family = {w for w in known if w in SURNAMES or FAMILY.match(w) or (len(w) > 4 and BUILT.match(w))}
+    start = {i for i, (a, _, w) in enumerate(words) if w in given or w in family or w in BEFORE or w.startswith(("bey", "hanim")) or (len(w) == 1 and plain[a + 1 : a + 2] == ".")}
+    if not start:
         return
     upper = len(_UPPER.findall(text))
-    mixed = upper and upper < len(text) // 3
+    mixed = bool(upper) and upper < len(text) // 3
     n = len(words)
 
     def joined(i: int, dot: bool = False) -> bool:
         """Word i+1 follows word i with nothing but blanks (and a dot) between."""
-        if i + 1 >= n:
+        if not 0 <= i < n - 1:
             return False
         gap = plain[words[i][1] : words[i + 1][0]]
         return len(gap) < 15 and (gap.lstrip(".") if dot else gap).isspace() or (dot and gap == ".")
 
+    def same_line(i: int) -> bool:
+        return joined(i) and "\n" not in plain[words[i][1] : words[i + 1][0]]
+
     def capital(i: int) -> bool:
         return text[words[i][0]].isupper()
 
-    def surname(i: int) -> bool:
-        a, b, w = words[i]
-        if SURNAME.search(w) and len(w) > 5:
+    def barred(i: int) -> bool:
+        w = words[i][2]
+        return w.startswith(NO_NAME) or TITLE.match(w) is not None or w in ORDINARY or w in NO_GIVEN or w in BEFORE
+
+    def introduced(i: int) -> bool:
+        """A phrase before word i introduces a person; so does an ``and`` behind a name."""
+        if not i:
+            return False
+        gap = plain[words[i - 1][1] : words[i][0]]
+        return len(gap) < 6 and not gap.strip(" \t\n\r,:.\xa0") and (words[i - 1][2] in BEFORE or (words[i - 1][2] == "ve" and i - 2 == done >= 0))
+
+    def followed(i: int) -> bool:
+        """A word behind word i tells that a person was named."""
+        return joined(i) and (words[i + 1][2] in AFTER or TITLE.match(words[i + 1][2]) is not None)
+
+    def closed(i: int) -> bool:
+        rest = plain[words[i][1] : words[i][1] + 4].strip(" \t\r\xa0")
+        return not rest or rest[0] in "\n,;.(<"
+
+    def numbered(i: int) -> bool:
+        """A number stands behind word i, as on a card."""
+        return _CARD.match(plain, words[i][1]) is not None
+
+    def surname(i: int, first: int) -> bool:
+        """Word i may be the surname of a name that starts with word ``first``."""
+        if i >= n:
+            return False
+        w = words[i][2]
+        if len(w) < 2 or barred(i) and w not in family:
+            return False
+        told, common = introduced(first) or followed(i) or numbered(i), all(words[x][2] in WORDS for x in range(first, i))
+        if i + 1 < n and (words[i + 1][2].startswith(NO_PERSON) or words[i + 1][2] == "tarafinda" or words[i + 1][2] in ("isimli", "adli") and not (i + 2 < n and words[i + 2][2].startswith(PERSON))):
+            return False
+        if mixed and capital(i) and len(w) > 2 and not barred(i) and same_line(i - 1) and (capital(first) or told or not common):
             return True
-        if not mixed or len(w) < 3 or not capital(i) or w.startswith(NO_SURNAME) or TITLE.match(w) or "\n" in plain[words[i - 1][1] : a]:
+        if w in family:
+            # words that all mean something else need a person around them, or their capitals
+            return told or len(w) > 2 and not (w in WORDS and mixed and (common or capital(first)) and not capital(i))
+        if len(w) < 4 or mixed and capital(first) != capital(i) and not told:
             return False
-        return not (i + 1 < n and words[i + 1][2].startswith(("seri", "model", "isimli", "takim", "kolek")))
+        return told or (closed(i) and not common and not _INFLECTED.match(w))
 
     done = -1
-    for i in hits:
+    for i in sorted(start):
         if i <= done:
             continue
         a, b, w = words[i]
         last = None
-        if w in FIRST_NAMES:
+        if w in given:
             j = i
-            while joined(j) and words[j + 1][2] in FIRST_NAMES:
+            while joined(j) and words[j + 1][2] in given:
                 j += 1
             k = j
             if joined(j) and len(words[j + 1][2]) == 1 and plain[words[j + 1][1] : words[j + 1][1] + 1] == "." and joined(j + 1, dot=True):
                 k = j + 1  # a middle initial
-            if joined(k, dot=k > j) and surname(k + 1):
+            if joined(k, dot=k > j) and surname(k + 1, i):
                 last = k + 1
             elif joined(j) and TITLE.match(words[j + 1][2]):
                 last = j + 1
-            elif j > i and (not mixed or all(capital(x) for x in range(i, j + 1))):
+            elif j > i and ((all(capital(x) for x in range(i, j + 1)) if mixed else w not in WORDS or words[j][2] not in WORDS) or introduced(i) or followed(j)):
                 last = j
-        elif len(w) == 1 and len(w) == b - a and plain[b : b + 1] == "." and (a == 0 or not (plain[a - 1].isalnum() or plain[a - 1] in ".:/")):
-            if joined(i, dot=True) and len(words[i + 1][2]) >= 4 and (not mixed or capital(i)) and surname(i + 1) and (mixed or SURNAME.search(words[i + 1][2])):
-                last = i + 1
+        elif len(w) == 1 and plain[b : b + 1] == "." and (a == 0 or not (plain[a - 1].isalnum() or plain[a - 1] in ".:/")):
+            if joined(i, dot=True) and len(words[i + 1][2]) > 3 and (not mixed or capital(i)):
+                v = words[i + 1][2]
+                if not barred(i + 1) and (mixed and capital(i + 1) or v in family or introduced(i) or followed(i + 1) or closed(i + 1) and not _INFLECTED.match(v)):
+                    last = i + 1
         elif TITLE.match(w):
-            if i and mixed and capital(i) and joined(i - 1) and capital(i - 1) and words[i - 1][2] not in NO_GIVEN and i - 1 > done and len(words[i - 1][2]) > 2 and not words[i - 1][2].startswith(NO_SURNAME):
+            if i - 1 > done and mixed and capital(i) and joined(i - 1) and capital(i - 1) and len(words[i - 1][2]) > 2 and not barred(i - 1):
                 a, last = words[i - 1][0], i
-        elif STRONG_SURNAME.match(w) and i and joined(i - 1) and mixed and capital(i) and capital(i - 1) and i - 1 > done and len(words[i - 1][2]) > 2 and words[i - 1][2] not in NO_GIVEN and not words[i - 1][2].startswith(NO_SURNAME):
-            a, last = words[i - 1][0], i
+        elif w in family:  # a first name that is in no list
+            if i - 1 > done and joined(i - 1) and mixed and capital(i) and capital(i - 1) and len(words[i - 1][2]) > 2 and not barred(i - 1) and (FAMILY.match(w) or introduced(i - 1) or followed(i)):
+                a, last = words[i - 1][0], i
+        elif w in ("adim", "ismim", "adi", "soyadi", "soyadim", "isim", "soyisim", "saygilarimla", "musterimiz", "sayin", "kisi") and i + 2 < n and introduced(i + 1):
+            # two or three words that only a phrase makes a name
+            j = i + 1
+            while j + 1 < n and j < i + 3 and same_line(j) and not barred(j + 1) and len(words[j + 1][2]) > 2 and (not mixed or capital(j + 1)):
+                j += 1
+            fit = j > i + 1 and len(words[i + 1][2]) > 2 and not barred(i + 1) and (not mixed or capital(i + 1)) and (closed(j) or followed(j) or mixed and w in ("adim", "ismim"))
+            if fit and (mixed or w in ("adim", "ismim", "soyadi", "soyadim", "soyisim", "sayin", "saygilarimla", "musterimiz") and not any(_INFLECTED.match(words[x][2]) for x in range(i + 1, j + 1))):
+                a, last = words[i + 1][0], j
         if last is None:
             continue
-        if last + 1 < n and joined(last) and TITLE.match(words[last + 1][2]):
+        if joined(last) and TITLE.match(words[last + 1][2]):
             last += 1
         if _free(spans, a, words[last][1]):
             spans.append((a, words[last][1], "name"))
         done = last
 
 
-def find_items(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of each item of an NFC text, in order."""
+def find_items(text: str, more_names: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of each item of an NFC text, in order. ``more_names`` are first names beyond the lists, folded."""
     plain = fold(text)
     spans: list[tuple[int, int, str]] = []
     if _AT.search(plain):
@@ -217,7 +327,7 @@ def find_items(text: str) -> list[tuple[int, int, str]]:
         if any(x in plain for x in _ABROAD):
             spans += [(*m.span(), "address") for m in ADDRESS_ABROAD.finditer(plain) if _free(spans, *m.span())]
         _numbers(text, plain, spans)
-    _names(text, plain, spans)
+    _names(text, plain, spans, more_names)
     return sorted(spans)
 
 
@@ -289,55 +399,83 @@ def _number_pseudonym(raw: str, kind: str, key: bytes) -> str:
     return "".join(next(it) if c.isdigit() else c for c in raw)
 
 
-def redact_text(text: str, key: bytes) -> str:
+def pseudonym(raw: str, kind: str, key: bytes) -> str:
+    """What stands for an item: its kind, with the permuted number where it is one."""
+    return f"[{kind.upper()}:{_number_pseudonym(raw, kind, key)}]" if kind in ("phone", "identity") else f"[{kind.upper()}]"
+
+
+def _births(text: str, plain: str, key: bytes) -> list[tuple[int, int, str]]:
+    """Birth dates, permuted within the way they are written."""
+    out = []
+    for m in _BIRTH.finditer(plain):
+        a, b = m.span(1)
+        raw, sep = text[a:b], m[2]
+        d, mo, y = (int(x) for x in raw.split(sep))
+        try:
+            new = permute_date(date(y, mo, d), key)
+        except ValueError:
+            continue
+        out.append((a, b, f"{new.day:02}{sep}{new.month:02}{sep}{new.year:04}"))
+    return out
+
+
+def redact_text(text: str, key: bytes, more_names: frozenset[str] = frozenset()) -> str:
+    """The text with each item of ``find_items`` replaced by its placeholder. An address takes its street's name and
+    its town with it as far as they are no part of another item."""
     text = unicodedata.normalize("NFC", text)
-    plain, out, at = fold(text), [], 0
-    for a, b, kind in find_items(text):
-        if kind == "address":  # the street's name before, the town behind
+    plain, items = fold(text), find_items(text, more_names)
+    edits, at = [], 0
+    for k, (a, b, kind) in enumerate(items):
+        shown = pseudonym(text[a:b], kind, key)
+        if kind == "address":
             m = _BEFORE.search(text, max(at, a - 60), a)
             a = max(at, m.start()) if m else a
-            m = _PLACE.match(text, b)
-            if m and not any(w in FIRST_NAMES for w in _WORD.findall(plain[b : m.end()])):
+            m = _PLACE.match(text, b, items[k + 1][0] if k + 1 < len(items) else len(text))
+            if m and (m.end() == len(text) or not text[m.end()].isalnum()) and not any(_given(w) for w in _WORD.findall(plain[b : m.end()])):
                 b = m.end()
-        if a < at:
-            continue
-        tag = kind.upper()
-        out += [text[at:a], f"[{tag}:{_number_pseudonym(text[a:b], kind, key)}]" if kind in ("phone", "identity") else f"[{tag}]"]
+        edits.append((a, b, shown))
+        at = b
+    if "dogum" in plain:
+        edits = sorted(edits + [e for e in _births(text, plain, key) if _free(edits, e[0], e[1])])
+    out, at = [], 0
+    for a, b, shown in edits:
+        out += [text[at:a], shown]
         at = b
     return "".join([*out, text[at:]])
 
 
-def find(df: DataFrame, fields: Sequence[str], id_col: str = "id") -> DataFrame:
-    """(id, field, kind, nth): one row for each item. One pass, no shuffle."""
-    fields = list(fields)
-    schema = "id bigint, field string, kind string, nth int"
+def find(df: DataFrame, fields: Sequence[str], key: bytes, id_col: str = "id", more_names: Sequence[str] = ()) -> DataFrame:
+    """(id, field, kind, nth, pseudonym): one row for each item with what replaces it. One pass, no shuffle."""
+    fields, more = list(fields), frozenset(fold(x) for x in more_names)
+    schema = "id bigint, field string, kind string, nth int, pseudonym string"
+    types = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = batch.column(0).to_pylist(), ([], [], [], [])
+            ids, out = batch.column(0).to_pylist(), ([], [], [], [], [])
             for k, field in enumerate(fields, 1):
                 for i, text in zip(ids, batch.column(k).to_pylist(), strict=True):
                     if not text:
                         continue
-                    seen = dict.fromkeys(KINDS, 0)
-                    for *_, kind in find_items(unicodedata.normalize("NFC", text)):
+                    seen, text = dict.fromkeys(KINDS, 0), unicodedata.normalize("NFC", text)
+                    for a, b, kind in find_items(text, more):
                         seen[kind] += 1
-                        for x, v in zip(out, (i, field, kind, seen[kind]), strict=True):
+                        for x, v in zip(out, (i, field, kind, seen[kind], pseudonym(text[a:b], kind, key)), strict=True):
                             x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.int32())], ["id", "field", "kind", "nth"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(out, types, strict=True)], ["id", "field", "kind", "nth", "pseudonym"])
 
     return df.select(df[id_col].cast("bigint").alias("id"), *[df[f] for f in fields]).mapInArrow(run, schema)
 
 
-def redact(df: DataFrame, fields: Sequence[str], key: bytes) -> DataFrame:
+def redact(df: DataFrame, fields: Sequence[str], key: bytes, more_names: Sequence[str] = ()) -> DataFrame:
     """The same table with each item of ``fields`` replaced; other columns pass through."""
-    fields = list(fields)
+    fields, more = list(fields), frozenset(fold(x) for x in more_names)
     schema = T.StructType([T.StructField(f.name, T.StringType() if f.name in fields else f.dataType, f.nullable) for f in df.schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = [
-                pa.array([t if t is None else redact_text(t, key) for t in c.to_pylist()], pa.string()) if name in fields else c
+                pa.array([t if t is None else redact_text(t, key, more) for t in c.to_pylist()], pa.string()) if name in fields else c
                 for name, c in zip(batch.schema.names, batch.columns, strict=True)
             ]
             yield pa.RecordBatch.from_arrays(cols, batch.schema.names)

@@ -18,7 +18,7 @@ def _rows(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(_rows(spark, sf_dir, "complaints", "id", *TEXT_FIELDS), TEXT_FIELDS)
+    return pii.find(_rows(spark, sf_dir, "complaints", "id", *TEXT_FIELDS), TEXT_FIELDS, DEMO_KEY).select("id", "field", "kind", "nth")
 
 
 def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
