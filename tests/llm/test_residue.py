@@ -1,6 +1,8 @@
 import pytest
 
-from yakinma.llm.residue import MACHINE_PHRASES, find, held_out, shaped, train
+import numpy as np
+
+from yakinma.llm.residue import MACHINE_PHRASES, Model, fold, find, held_out, residue_field, segments_of, shaped, train
 
 SCHEMA = "id bigint, field string, company string, title string, complaint_text string, company_response_text string, company_responded int"
 FIELDS = ("complaint_text", "company_response_text")
@@ -32,9 +34,9 @@ def rows():
 
 
 def test_slot_shapes():
-    for t in ("Sayın {{ad}},", "${no}", "@@TARIH@@", "%%ISIM%%", "[AD SOYAD]", "<MÜŞTERİ_ADI>", "«Soyad»", "__URUN_ADI__", "{0}", ":firstName", "&lt;isim&gt;", "<%= ticket.id %>"):
+    for t in ("Sayın {{ad}},", "${no}", "@@TARIH@@", "%%ISIM%%", "[AD SOYAD]", "<MÜŞTERİ_ADI>", "«Soyad»", "__URUN_ADI__", "{0}", ":firstName", "&lt;isim&gt;", "<%= ticket.id %>", "#ADSOYAD#", "$MUSTERI_ADI", "Sayın ______", "Adı: ........"):
         assert "<slot>" in shaped(t)
-    for t in ("{A} ve {B}", "[fotoğraf ekte]", "<sol taraf> kısa", "5 < 7", "$100 fark, %20 indirim", "@ev_35_destek", "<ali@kutu.test>", "[1] ve [2]", "Formda __ yerleri", "saat 10:30 :)"):
+    for t in ("{A} ve {B}", "[fotoğraf ekte]", "<sol taraf> kısa", "5 < 7", "$100 fark, %20 indirim", "@ev_35_destek", "<ali@kutu.test>", "[1] ve [2]", "Formda __ yerleri", "saat 10:30 :)", "#koltuk etiketi", "5$ fark", "bekledim.....", "a ____ b"):
         assert "<slot>" not in shaped(t)
 
 
@@ -74,3 +76,43 @@ def test_only_machine_text(spark):
     unfitted = train(df, FIELDS, "title", "company", "company_responded")
     assert not unfitted.weights.any()
     assert sorted(r.id for r in find(df, FIELDS, "title", unfitted).collect()) == list(range(len(RESIDUE)))
+
+
+#: Written by hand; none holds a labelling phrase.
+UNLISTED = [
+    "Sunucu şu anda yanıt vermiyor. Lütfen biraz sonra yeniden deneyiniz.", "Aradığınız içerik yayından kaldırılmış ya da taşınmış.", "This page requires a modern browser with scripts switched on.", "503 - The server is temporarily busy",
+    "Oturumunuz sonlandı, yeniden giriş yapmanız gerekiyor.", "Bu alana açıklama giriniz", "Error 500: unexpected condition was encountered", "Güvenlik doğrulaması yapılıyor, lütfen bekleyin...", "ERR_CONNECTION_REFUSED",
+    "Uygulamayı çalıştırmak için tarayıcınızda JS desteğini etkinleştirin", "Açıklama açıklama açıklama açıklama", "NullReferenceException at System.Web.UI", "Robot olmadığınızı doğrulayın", "Bağlantı zaman aşımı",
+    "Çerez ayarlarınızı kabul etmeden devam edemezsiniz", "Sayın #ADSOYAD#, talebiniz alınmıştır.", "Sayın $MUSTERI_ADI, kaydınız oluşturuldu.", "Sayın ______, ürününüz yoldadır.",
+]
+REAL = [
+    "Sunucu hatası diyip durdular, ürünüm hâlâ gelmedi, aradım kimse açmadı.", "Sitede lütfen tekrar deneyin yazdı, ben de mağazaya gittim ve parayı ödedim.", "Koltuk kumaşı söküldü, servis iki haftadır gelmiyor.",
+    "Sayfa açılmıyor dedim, müşteri hizmetleri telefonu kapattı.", "Ürün 3 hafta geç geldi.", "Sayın yetkili, dolap kapağı çizik geldi, değişim istiyorum. Kayıt numaram 12345.",
+]
+
+
+@pytest.fixture(scope="module")
+def learned(spark):
+    return train(spark.read.parquet("/root/testdata/sf0.1/complaints.parquet"), FIELDS, "title", "company", "company_responded")
+
+
+def test_unlisted_residue_and_real_content(spark, learned):
+    assert not any(p in fold(t) for t in UNLISTED for p in MACHINE_PHRASES)
+    df = spark.createDataFrame([(i, "x", "m", "Koltuk gelmedi", t, None, 1) for i, t in enumerate(UNLISTED + REAL)], SCHEMA)
+    got = {r.id for r in find(df, FIELDS, "title", learned).collect()}
+    assert len(got & set(range(len(UNLISTED)))) >= 14 and not got & set(range(len(UNLISTED), len(UNLISTED + REAL)))
+    assert learned.report["test_precision"] > 0.9 and learned.report["test_recall"] > 0.9
+
+
+def test_the_model_does_not_depend_on_partitions(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/complaints.parquet")
+    one, other = (train(df.repartition(n), FIELDS, "title", "company", "company_responded", sample_rows=1500) for n in (2, 7))
+    assert (one.weights == other.weights).all() and one.bias == other.bias and one.report == other.report
+
+
+def test_the_score_decides(learned, tmp_path):
+    parts = segments_of("Sayfa bulunamadı (404). Sayın {{ad}}, merhaba")
+    assert not residue_field(parts, np.full(len(parts), -10.0)) and residue_field(parts, np.full(len(parts), 1.0))
+    learned.save(str(tmp_path / "m.npz"))
+    back = Model.load(str(tmp_path / "m.npz"))
+    assert np.allclose(back.weights, learned.weights, atol=1e-4) and back.report == learned.report and back.fitted
