@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
-from yakinma.llm.neardup import all_pairs, components, groups, signatures, similar
+from yakinma.llm.neardup import _pair_runs, all_pairs, bands_for, components, groups, rows_for, signatures, similar
 from yakinma.llm.terms import terms_of
 
 SCHEMA = "id bigint, title string, body string, terms int, rep string"
@@ -81,3 +82,46 @@ def test_chain_is_one_component(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101)], "a bigint, b bigint")
     got = {r.id: r.root for r in components(e).collect()}
     assert all(got[i] == 1 for i in range(1, 41)) and got[101] == got[100] == 100
+
+
+def test_crowded_band_values_are_paired_blockwise(spark):
+    rows = corpus(5)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    want = brute(rows)
+    for block in (2, 5):
+        links, copies = similar(df, "id", FIELDS, block=block)
+        assert {tuple(r) for r in all_pairs(links, copies).collect()} == want
+
+
+def test_runs_of_any_length_and_batching():
+    rng = np.random.default_rng(2)
+    key = np.sort(np.concatenate([np.repeat([5, 9, 11], [70, 1, 200]), rng.integers(0, 60, 150)])).astype(np.int64)
+    ids = rng.permutation(len(key)).astype(np.int64)
+    size = rng.integers(25, 60, len(key))
+    bits = (rng.integers(0, 2**47, len(key)) << 16) | size
+    want = set()
+    for i in range(len(key)):
+        for j in range(i + 1, len(key)):
+            apart = bin(int(bits[i] >> 16) ^ int(bits[j] >> 16)).count("1")
+            if key[i] == key[j] and min(size[i], size[j]) * 10 >= max(size[i], size[j]) * 7 and apart * 17 <= (size[i] + size[j]) * 3:
+                want.add((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    for step in (1, 7, 64, 1000):
+        for block in (3, 16, 10_000):
+            table = pa.table({"key": key, "id": ids, "b1": np.zeros(len(key), np.int64), "b2": bits})
+            got, crowded = set(), {}
+            for b in _pair_runs(7, 10, block)(iter(table.to_batches(step))):
+                for r in b.to_pylist():
+                    if r["block"] is None:
+                        got.add((r["a"], r["b"]))
+                    else:
+                        crowded.setdefault(r["key"], []).append(r)
+            assert all(len(x) == (key == k).sum() > block and sorted(r["block"] for r in x) == [i // block for i in range(len(x))] for k, x in crowded.items())
+            at = {i: k for k, i in enumerate(ids)}
+            assert got == {p for p in want if (key == key[at[p[0]]]).sum() <= block}
+
+
+def test_more_rows_for_larger_collections_keep_the_recall():
+    assert (rows_for(0), rows_for(200_000), rows_for(4_100_000), rows_for(10**9)) == (4, 4, 5, 6)
+    for rows in (4, 5, 6, 7):
+        assert (1 - 0.7**rows) ** bands_for(rows, 0.7) <= 1.55e-4
+    assert bands_for(4, 0.7) == 32
