@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from yakinma.llm.tokens import VOCABULARIES, encode_tree, encoding, token_sizes
+from yakinma.llm.tokens import _BORDER, VOCABULARIES, encode_tree, encoding, receive, ship, token_sizes
 
 _BLANK_LINE = re.compile(r"\n[^\S\n]*\n+")
 _LINE = re.compile(r"\n+")
@@ -114,6 +114,14 @@ def pieces(text: str, limit: int = 512, overlap: int = 32, least: int | None = N
         raise ValueError("the limit leaves no room beside the overlap")
     at, kind = boundaries(text, ids, sizes)
     todo = cuts(kind, landmarks(ids, max(1, (most - least) // 4)), least, most)
+    sure = np.zeros(len(text) + 1, dtype=bool)
+    sure[[0, *(m.start() for m in _BORDER.finditer(text)), len(text)]] = True
+    sure = sure[at] & (kind >= 0)
+
+    def tokens_of(i: int, j: int) -> int:
+        """Tokens of the piece between borders i and j, on its own: those of the text where both are certain borders."""
+        return j - i if sure[i] and sure[j] else len(enc.encode_ordinary(text[at[i] : at[j]]))
+
     out, k = [], 0
     begin, end = todo[0], todo[1]
     while True:
@@ -122,14 +130,13 @@ def pieces(text: str, limit: int = 512, overlap: int = 32, least: int | None = N
             first = max(0, begin - overlap)
             back = [x for x in range(first, max(-1, first - slack - 1), -1) if kind[x] >= 1]
             first = back[0] if back else next(x for x in range(first, -1, -1) if kind[x] >= 0)
-        count = len(enc.encode_ordinary(text[at[first] : at[end]]))
-        if count > limit:  # only where a word had to be cut: drop part of the overlap, then of the piece
-            if first < begin:
-                first = begin
-                count = len(enc.encode_ordinary(text[at[first] : at[end]]))
-            while count > limit:
-                end = next(x for x in range(end - max(1, (end - begin) // 16), begin, -1) if kind[x] >= 0)
-                count = len(enc.encode_ordinary(text[at[first] : at[end]]))
+        count = tokens_of(first, end)
+        while count > limit and first < begin:  # only where a word had to be cut: a shorter overlap, a few tokens at a time
+            first = next((x for x in range(first + max(1, min(4, count - limit)), begin) if kind[x] >= 0), begin)
+            count = tokens_of(first, end)
+        while count > limit:  # then a shorter piece
+            end = next(x for x in range(end - max(1, (end - begin) // 16), begin, -1) if kind[x] >= 0)
+            count = tokens_of(first, end)
         out.append((int(at[first]), int(at[begin]), int(at[end]), count))
         if end == todo[-1]:
             return out
@@ -144,7 +151,10 @@ def split(df: DataFrame, text: str, id_col: str, limit: int = 512, overlap: int
     names = [id_col, "piece", "start", "cut", "stop", "n_tokens", "text"]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
 
+    shared = ship(df.sparkSession, name, folder)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        receive(shared, name, folder)
         for b in batches:
             rows = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

@@ -122,14 +122,17 @@ def _greedy(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...],
     return [(tuple(p), c) for _, groups in sorted(room.items()) for p, c in groups if c]
 
 
-def plan(histogram: dict[int, int], capacity: int, window: int = 0, depth: int | None = None) -> Plan:
-    """``depth`` is 3 up to a capacity of 1024 and 2 beyond, where triples would be millions, unless given."""
+def plan(histogram: dict[int, int], capacity: int, window: int = 0, depth: int = 3, most_rows: int = 4_000_000) -> Plan:
+    """Combinations have up to ``depth`` lengths, or fewer where that would be more than ``most_rows`` unknowns, which the
+    squares of the lengths present bound; what no combination takes is packed greedily, so every item is placed either way."""
     left = {k: n for k, n in histogram.items() if 0 < k <= capacity and n > 0}
     if not left:
         return Plan(capacity)
     out: list[tuple[tuple[int, ...], int]] = []
     lengths = np.array(sorted(left), dtype=np.int64)
-    rows = combinations(lengths, capacity, window, depth or (3 if capacity <= 1024 else 2))
+    while depth > 1 and len(lengths) ** (depth - 1) * (window + 1) // (2, 12)[depth > 2] > most_rows:
+        depth -= 1
+    rows = combinations(lengths, capacity, window, depth)
     if len(rows):
         h = np.zeros(capacity + 1)
         h[lengths] = [left[int(k)] for k in lengths]

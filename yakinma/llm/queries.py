@@ -73,6 +73,24 @@ def p6_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.percentiles(cells, ["company"], PROBABILITIES)
 
 
+def p6_rank_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each measure: groups (companies over all days), values, and percentiles beyond the stated error: those whose
+    node, 1/32 of the value around, holds no value within 2 % of the wanted rank."""
+    df = table(spark, sf_dir, "complaints").select("company", *HOURS)
+    got = materialise(quantiles.percentiles(quantiles.sketch(df, ["company"], HOURS), ["company"], PROBABILITIES), "percentiles")
+    each = df.select("company", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in HOURS])).alias("x")).select("company", "x.*")
+    each = each.where(F.col("v").isNotNull() & ~F.isnan("v") & (F.col("v") >= 0) & (F.col("v") < float("inf")))
+    named = [(f"p{p * 100:g}".replace(".", "_"), p) for p in PROBABILITIES]
+    both = each.alias("e").join(got.alias("g"), F.col("e.company").eqNullSafe(F.col("g.company")) & (F.col("e.measure") == F.col("g.measure")))
+    below = [F.count_if(F.col("v") < F.col(c) * (1 - 1 / 32) - 0.001).alias(f"lo_{c}") for c, _ in named]
+    upto = [F.count_if(F.col("v") <= F.col(c) * (1 + 1 / 32) + 0.001).alias(f"hi_{c}") for c, _ in named]
+    ranks = both.groupBy("g.company", "g.measure").agg(F.count(F.lit(1)).alias("n"), *below, *upto)
+    wanted = lambda p: F.lit(p) * (F.col("n") - 1)
+    outside = [F.when((F.col(f"lo_{c}") > wanted(p) + 1 + 0.02 * F.col("n")) | (F.col(f"hi_{c}") < wanted(p) - 0.02 * F.col("n")), 1).otherwise(0) for c, p in named]
+    by = ranks.select("measure", "n", sum(outside[1:], outside[0]).alias("outside")).groupBy("measure")
+    return by.agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n").alias("n_values"), F.sum("outside").cast("bigint").alias("n_outside"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.all_pairs(*neardup.similar(_rows(spark, sf_dir, "complaints", "id", "title", "complaint_text"), "id", ("title", "complaint_text")))
 
@@ -85,6 +103,11 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(_rows(spark, sf_dir, "documents", "doc_id", "text"), "text", "doc_id")
 
 
+def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts, decoded from their ids."""
+    return tokens.decode(p8_ids(spark, sf_dir), "ids", "doc_id")
+
+
 def p9_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = tokens.count_tokens(_rows(spark, sf_dir, "documents", "doc_id", "text"), "text", "doc_id")
     return packing.pack(sizes, "doc_id", "n_tokens", 512).withColumnRenamed("id", "doc_id")
@@ -97,11 +120,27 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.withColumn("unused_share", F.round(1 - F.col("n_tokens") / (F.col("n_containers") * 512), 6))
 
 
+def p9_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents placed, containers above the capacity, documents divided although they would fit."""
+    got = materialise(p9_batches(spark, sf_dir), "batches")
+    full = got.groupBy("container").agg(F.sum("size").alias("used")).agg(F.count_if(F.col("used") > 512).alias("n_over"))
+    docs = got.groupBy("doc_id").agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("parts"))
+    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.count_if((F.col("parts") > 1) & (F.col("tokens") <= 512)).alias("n_divided"), F.first(full.scalar()).alias("n_over"))
+
+
+def p10_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts, put together from their pieces without the overlaps, and the number of pieces above the limit."""
+    got = p10_pieces(spark, sf_dir)
+    part = F.struct("piece", F.substr("text", F.col("cut") - F.col("start") + 1).alias("t"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["t"]), "")  # the pieces of one document
+    return got.groupBy("doc_id").agg(whole.alias("text"), F.count_if(F.col("n_tokens") > 512).alias("n_over"))
+
+
 def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.split(_rows(spark, sf_dir, "documents", "doc_id", "text"), "text", "doc_id", limit=512, overlap=32)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_marks, p5_found, p5_validation, p6_percentiles, p6_companies, p7_found, p7_groups, p8_ids, p9_batches, p9_fill, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_marks, p5_found, p5_validation, p6_percentiles, p6_companies, p6_rank_error, p7_found, p7_groups, p8_ids, p8_decoded, p9_batches, p9_fill, p9_checked, p10_pieces, p10_rejoined)}
 
 _TERMS = """WITH words AS (SELECT id, unnest(regexp_extract_all(nfc_normalize(lower(replace(replace(nfc_normalize(complaint_text), 'I', 'ı'), 'İ', 'i'))), '[a-zçğıöşü]{2,}')) AS term FROM complaints),
 counts AS (SELECT term, count(*) AS n_total, count(DISTINCT id) AS n_records FROM words GROUP BY term),
@@ -124,7 +163,14 @@ grp AS (SELECT a AS rep, min(b) AS group_id FROM reach GROUP BY a)
 SELECT id, group_id, (SELECT count(*) FROM links WHERE a = reps.rep) AS n_links FROM reps JOIN grp USING (rep)"""
 )
 
+_VALID = "CASE WHEN NOT isnan({0}) AND {0} >= 0 AND {0} < 'inf'::DOUBLE THEN {0} END"
+_GROUPS_OF = " UNION ALL ".join(f"SELECT '{m}' AS measure, count({_VALID.format(m)}) AS n FROM complaints GROUP BY company" for m in HOURS)
+
 SQL: dict[str, str] = {
+    "p6_rank_error": f"SELECT measure, count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_values, CAST(0 AS BIGINT) AS n_outside FROM ({_GROUPS_OF}) WHERE n > 0 GROUP BY measure",
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p9_checked": "SELECT count(*) AS n_docs, CAST(0 AS BIGINT) AS n_divided, CAST(0 AS BIGINT) AS n_over FROM documents",
+    "p10_rejoined": "SELECT doc_id, text, CAST(0 AS BIGINT) AS n_over FROM documents WHERE text IS NOT NULL",
     "p7_groups": _GROUPS,
     "p7_found": _PAIRS,
     "p4_found": _TERMS + "SELECT term, n_total, n_records, mark FROM marked WHERE mark IS NOT NULL",

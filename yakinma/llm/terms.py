@@ -56,29 +56,44 @@ def _pairs(ids: np.ndarray, texts: list[str | None]) -> tuple[list[str], np.ndar
     return [names[i] for i in order], known, key, times
 
 
-def _borders(docs: DataFrame, n_docs: int, ranges: int, sample_docs: int, per_doc: int = 64) -> list[tuple[str, int]]:
-    """Borders of about equal ranges, from at most about ``sample_docs * per_doc`` pairs."""
+def _probe(docs: DataFrame, n_rows: int, ranges: int, sample_docs: int, per_doc: int = 64) -> tuple[int, list[tuple[str, int]]]:
+    """(number of texts, borders of about equal ranges) in one pass: every text is counted, and pairs are taken of at
+    most about ``sample_docs`` of them, chosen by hashed id."""
+    share = min(1 << 30, int((1 << 30) * sample_docs / max(1, n_rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, terms, ids = 0, [], []
         for b in batches:
+            n += b.num_rows - b.column(1).null_count
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = sorted(set(terms_of(text)))
-                found = found[i % max(1, len(found) // per_doc) :: max(1, len(found) // per_doc)][:per_doc]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([i] * len(found), pa.int64())], ["term", "id"])
-
-    share = min(1.0, sample_docs / max(1, n_docs))
-    got = docs.sample(share, 7).mapInArrow(run, "term string, id bigint").toArrow()
-    pairs = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
+                if text:
+                    found = sorted(set(terms_of(text)))
+                    found = found[i % max(1, len(found) // per_doc) :: max(1, len(found) // per_doc)][:per_doc]
+                    terms += found
+                    ids += [i] * len(found)
+        yield pa.RecordBatch.from_arrays([pa.array([*terms, None], pa.string()), pa.array([*ids, n], pa.int64())], ["term", "id"])
+
+    # only sampled texts cross to Python, of the others whether they are there
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    looked = docs.select("id", F.when(place < share, F.col("text")).otherwise(F.when(F.col("text").isNotNull(), F.lit(""))).alias("text"))
+    got = looked.mapInArrow(run, "term string, id bigint").toArrow()
+    rows = list(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
+    pairs = sorted(r for r in rows if r[0] is not None)
     at = [pairs[len(pairs) * k // ranges] for k in range(1, ranges)] if len(pairs) >= ranges else []
-    return sorted(set(at))
+    return sum(n for term, n in rows if term is None), sorted(set(at))
 
 
 def term_counts(df: DataFrame, text: str, id_col: str, ranges: int | None = None, sample_docs: int = 2000) -> DataFrame:
     """(term, n_total, n_records) of every term of ``text``."""
-    spark = df.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = df.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL")
-    borders = _borders(docs, docs.count(), ranges, sample_docs)
+    return _counted(df, text, id_col, ranges, sample_docs)[0]
+
+
+def _counted(df: DataFrame, text: str, id_col: str, ranges: int | None = None, sample_docs: int = 2000) -> tuple[DataFrame, int]:
+    """The counts, and the number of texts. The rows are counted without reading them where a file format allows it."""
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = df.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
+    n_docs, borders = _probe(docs, df.count(), ranges, sample_docs)
+    docs = docs.where("text IS NOT NULL")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -125,7 +140,7 @@ def term_counts(df: DataFrame, text: str, id_col: str, ranges: int | None = None
     pairs = docs.mapInArrow(emit, "part int, term string, id bigint, times int")
     ordered = pairs.repartitionById(max(1, len(borders) + 1), F.col("part")).select("term", "id", "times").sortWithinPartitions("term", "id")
     runs = ordered.mapInArrow(scan, "term string, n_total bigint, n_records bigint")
-    return runs.groupBy("term").agg(F.sum("n_total").alias("n_total"), F.sum("n_records").alias("n_records"))
+    return runs.groupBy("term").agg(F.sum("n_total").alias("n_total"), F.sum("n_records").alias("n_records")), n_docs
 
 
 def mark_terms(counts: DataFrame, n_docs: int, rare_up_to: int = 2, common_one_in: int = 5) -> DataFrame:
@@ -135,5 +150,4 @@ def mark_terms(counts: DataFrame, n_docs: int, rare_up_to: int = 2, common_one_i
 
 
 def marked_terms(df: DataFrame, text: str, id_col: str, **kw: int) -> DataFrame:
-    n = df.where(F.col(text).isNotNull()).count()
-    return mark_terms(term_counts(df, text, id_col, **kw), n)
+    return mark_terms(*_counted(df, text, id_col, **kw))

@@ -21,7 +21,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 
 #: Folder of the vocabulary files; a parameter everywhere.
 VOCABULARIES = "/opt/tokenizers"
@@ -31,12 +32,25 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _BORDER = re.compile(r"(?<=[^\s\x1c-\x1f])(?=[ \t\n\r])")
 
 
+_shipped: dict[tuple[str, str], bytes] = {}
+
+
+def ship(spark: SparkSession, name: str, folder: str) -> Broadcast:
+    """The vocabulary file, read where the query is planned and sent along: workers need no folder. Its size is fixed."""
+    return spark.sparkContext.broadcast(Path(folder, f"{name}.tiktoken").read_bytes())
+
+
+def receive(shared: Broadcast, name: str, folder: str) -> None:
+    if (name, folder) not in _shipped:
+        _shipped[name, folder] = shared.value
+
+
 @lru_cache(maxsize=4)
 def encoding(name: str = "byte_bpe_50k", folder: str = VOCABULARIES):
     """The vocabulary of ``folder/name.tiktoken``, loaded once in each Python worker."""
     import tiktoken
 
-    lines = Path(folder, f"{name}.tiktoken").read_bytes().splitlines()
+    lines = (_shipped.get((name, folder)) or Path(folder, f"{name}.tiktoken").read_bytes()).splitlines()
     ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x)}
     return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -57,15 +71,15 @@ def _known(name: str, folder: str) -> frozenset[int]:
     return frozenset(encoding(name, folder)._mergeable_ranks.values())
 
 
-def _drop_bytes(ids: list[int], n: int, sizes: list[bytes], last: bool) -> list[int]:
-    """``ids`` without the last (or first) tokens that make up ``n`` bytes; the cut is between tokens."""
+def _drop_bytes(ids: list[int], n: int, sizes: list[bytes], last: bool) -> list[int] | None:
+    """``ids`` without the last (or first) tokens that make up ``n`` bytes; null where the cut is inside a token."""
     k = 0
     step = reversed(ids) if last else iter(ids)
     while n > 0:
         n -= len(sizes[next(step)])
         k += 1
     if n:
-        raise ValueError("the window does not end between tokens")
+        return None
     return ids[: len(ids) - k] if last else ids[k:]
 
 
@@ -94,7 +108,10 @@ def encode_tree(text: str, name: str = "byte_bpe_50k", folder: str = VOCABULARIE
                 break
             w *= 2
         size = lambda s: len(s.encode())
-        return _drop_bytes(left, size(text[p:m]), sizes, True) + enc.encode_ordinary(text[p:q]) + _drop_bytes(right, size(text[m:q]), sizes, False)
+        head, tail = _drop_bytes(left, size(text[p:m]), sizes, True), _drop_bytes(right, size(text[m:q]), sizes, False)
+        if head is None or tail is None:  # no certain border after all: the whole text is the window
+            return enc.encode_ordinary(text[a:b])
+        return head + enc.encode_ordinary(text[p:q]) + tail
 
     def build(a: int, b: int) -> list[int]:
         if b - a <= leaf:
@@ -121,7 +138,10 @@ def decode_tree(ids: list[int], name: str = "byte_bpe_50k", folder: str = VOCABU
 def encode(df: DataFrame, text: str, id_col: str, name: str = "byte_bpe_50k", folder: str = VOCABULARIES, as_name: str = "ids") -> DataFrame:
     """(id_col, ids) for every row. One pass, no shuffle."""
 
+    shared = ship(df.sparkSession, name, folder)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        receive(shared, name, folder)
         for b in batches:
             lists = [encode_tree(t, name, folder) if t else [] for t in b.column(1).to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
@@ -135,9 +155,24 @@ def encode(df: DataFrame, text: str, id_col: str, name: str = "byte_bpe_50k", fo
 def count_tokens(df: DataFrame, text: str, id_col: str, name: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
     """(id_col, n_tokens) for every row."""
 
+    shared = ship(df.sparkSession, name, folder)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        receive(shared, name, folder)
         for b in batches:
             sizes = [len(encode_tree(t, name, folder)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], [id_col, "n_tokens"])
 
     return df.select(df[id_col].cast("bigint").alias(id_col), df[text].alias("_text")).mapInArrow(run, f"{id_col} bigint, n_tokens bigint")
+
+
+def decode(df: DataFrame, ids: str, id_col: str, name: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
+    """(id_col, text) of every row of lists of ids; null and empty lists give the empty text."""
+    shared = ship(df.sparkSession, name, folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        receive(shared, name, folder)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([decode_tree(x, name, folder) if x else "" for x in b.column(1).to_pylist()], pa.string())], [id_col, "text"])
+
+    return df.select(df[id_col].cast("bigint").alias(id_col), df[ids].alias("_ids")).mapInArrow(run, f"{id_col} bigint, text string")
