@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from yakinma.llm.tokens import _BORDER, VOCABULARIES, encode_tree, encoding, receive, ship, token_sizes
+from yakinma.llm.tokens import VOCABULARIES, encode_tree, encoding, receive, ship, token_sizes
 
 _BLANK_LINE = re.compile(r"\n[^\S\n]*\n+")
 _LINE = re.compile(r"\n+")
@@ -31,18 +31,19 @@ RADIUS = 6
 _ROLL = 8
 
 
-def _blanks(text: str) -> np.ndarray:
-    """Which characters are blanks, as in str.isspace."""
+def _blanks(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Which characters are blanks, as in str.isspace, and which of them are plain ones."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     out = ((c >= 9) & (c <= 13)) | ((c >= 28) & (c <= 32)) | (c == 0x85) | (c == 0xA0)
     if c.size and c.max() >= 0x1680:
         out |= (c == 0x1680) | ((c >= 0x2000) & (c <= 0x200A)) | (c == 0x2028) | (c == 0x2029) | (c == 0x202F) | (c == 0x205F) | (c == 0x3000)
-    return out
+    return out, (c == 32) | (c == 9) | (c == 10) | (c == 13)
 
 
-def boundaries(text: str, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(character position, kind) at each token border; kind 4 blank line, 3 line, 2 sentence, 1 word, 0 none, -1 inside a
-    character. ``sizes`` has the bytes of each token id."""
+def boundaries(text: str, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(character position, kind, certain) at each token border; kind 4 blank line, 3 line, 2 sentence, 1 word, 0 none, -1
+    inside a character; at a certain border a non-blank meets a plain blank, so the tokens of either side do not
+    depend on the other. ``sizes`` has the bytes of each token id."""
     ends = np.concatenate([[0], np.cumsum(sizes[ids])])
     if text.isascii():
         at, kind = ends, np.zeros(len(ends), dtype=np.int8)
@@ -52,12 +53,14 @@ def boundaries(text: str, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarra
         at = np.concatenate([[0], np.cumsum(first)])[ends]
         kind = np.where(np.concatenate([first, [True]])[ends], 0, -1).astype(np.int8)
     level = np.zeros(len(text) + 1, dtype=np.int8)
-    blank = _blanks(text)
+    blank, plain = _blanks(text)
     level[1 + np.flatnonzero(~blank[:-1] & blank[1:])] = 1
     level[[m.end() for m in _SENTENCE.finditer(text)]] = 2
     level[[m.end() for m in _LINE.finditer(text)]] = 3
     level[[m.end() for m in _BLANK_LINE.finditer(text)]] = 4
-    return at, np.where(kind < 0, kind, level[at])
+    sure = np.ones(len(text) + 1, dtype=bool)
+    sure[1:-1] = ~blank[:-1] & plain[1:]
+    return at, np.where(kind < 0, kind, level[at]), sure[at] & (kind >= 0)
 
 
 def landmarks(ids: np.ndarray, spacing: int) -> np.ndarray:
@@ -112,11 +115,8 @@ def pieces(text: str, limit: int = 512, overlap: int = 32, least: int | None = N
     least = min(least or most // 4, most - 1)
     if least < 1:
         raise ValueError("the limit leaves no room beside the overlap")
-    at, kind = boundaries(text, ids, sizes)
+    at, kind, sure = boundaries(text, ids, sizes)
     todo = cuts(kind, landmarks(ids, max(1, (most - least) // 4)), least, most)
-    sure = np.zeros(len(text) + 1, dtype=bool)
-    sure[[0, *(m.start() for m in _BORDER.finditer(text)), len(text)]] = True
-    sure = sure[at] & (kind >= 0)
 
     def tokens_of(i: int, j: int) -> int:
         """Tokens of the piece between borders i and j, on its own: those of the text where both are certain borders."""
@@ -141,7 +141,8 @@ def pieces(text: str, limit: int = 512, overlap: int = 32, least: int | None = N
         if end == todo[-1]:
             return out
         begin = end
-        k = next(i for i, x in enumerate(todo[k:], k) if x > begin)
+        while todo[k] <= begin:
+            k += 1
         end = todo[k]
 
 
