@@ -15,7 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLANKS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+_BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANKS = f"[{_BLANK}]+"
+#: Only what is not already a single blank, so that most blanks are passed over.
+_UNEVEN = f"[{_BLANK}&&[^ ]][{_BLANK}]*| [{_BLANK}]+"
 
 #: Marks of search-engine text shown in place of a complaint (fixed values).
 BOILERPLATE_MARKERS = (
@@ -69,7 +72,7 @@ def pin(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def normalize_space(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), BLANKS, " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), _UNEVEN, " "))
 
 
 def tr_lower(c: Column) -> Column:
@@ -102,7 +105,7 @@ def normalize_text(c: Column) -> Column:
 
 def phrase_text(c: Column) -> Column:
     """Lower case, anything but letters, digits and _ to blanks, single blanks: what phrases are looked up in."""
-    return F.trim(F.regexp_replace(F.regexp_replace(tr_lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}_\s]", " "), BLANKS, " "))
+    return F.trim(F.regexp_replace(tr_lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}_]+", " "))
 
 
 def phrase_python(text: str) -> str:
@@ -120,43 +123,49 @@ def contains_phrase(phrase_col: Column, phrase: str) -> Column:
     return F.contains(padded(phrase_col), F.lit(f" {p} ")) if p else F.lit(False)
 
 
+def _any_marker(folded: Column) -> Column:
+    out = F.lit(False)
+    for m in BOILERPLATE_MARKERS:
+        out = out | F.contains(folded, F.lit(m))
+    return out
+
+
 def is_boilerplate(c: Column) -> Column:
-    def any_of(t: Column) -> Column:
-        out = F.lit(False)
-        for m in BOILERPLATE_MARKERS:
-            out = out | F.contains(t, F.lit(m))
-        return out
+    return let(fold(c), _any_marker)
 
-    return let(fold(c), any_of)
 
+def _answer_start(folded: Column, response: Column | None) -> Column:
+    """``response_start`` of a folded text."""
+    markers = [F.position(F.lit(m), folded) for m in COMPANY_RESPONSE_MARKERS]
+    least = lambda places: F.array_min(F.filter(F.array(*places), lambda x: x > 0))
+    if response is None:
+        return least(markers)
 
-def response_start(text: Column, response: Column) -> Column:
-    """1-based position in the folded text where a company answer begins, null where none does."""
+    def of(r: Column) -> Column:
+        head = F.trim(F.substring(r, 1, 90))
+        return least([F.when(r != "", F.position(r, folded)), F.when(F.length(head) >= 24, F.position(head, folded)), *markers])
 
-    def start(t: Column) -> Column:
-        def of(r: Column) -> Column:
-            head = F.trim(F.substring(r, 1, 90))
-            places = [F.when(r != "", F.position(r, t)), F.when(F.length(head) >= 24, F.position(head, t))]
-            places += [F.position(F.lit(m), t) for m in COMPANY_RESPONSE_MARKERS]
-            return F.array_min(F.filter(F.array(*places), lambda x: x > 0))
+    return let(fold(response), of)
 
-        return let(fold(response), of)
 
-    return let(fold(text), start)
+def response_start(text: Column, response: Column) -> Column:
+    """1-based position in the folded text where a company answer begins, null where none does."""
+    return let(fold(text), lambda t: _answer_start(t, response))
 
 
 def sanitize_body(body: Column, response: Column | None = None) -> Column:
     """The consumer's own text: empty for boilerplate, cut where a company answer begins."""
-    response = F.lit(None).cast("string") if response is None else response
 
-    def cut(t: Column) -> Column:
+    def cut(v: Column) -> Column:
+        t, folded = v["t"], v["f"]
+
         def at(i: Column) -> Column:
             kept = F.regexp_replace(F.substr(t, F.lit(1), i - 1), r"^[ \-–—|,;:]+|[ \-–—|,;:]+$", "")
             return F.when(i.isNull(), t).when(i == 1, F.lit("")).otherwise(normalize_space(kept))
 
-        return F.when((t == "") | is_boilerplate(t), F.lit("")).otherwise(let(response_start(t, response), at))
+        return F.when((t == "") | _any_marker(folded), F.lit("")).otherwise(let(_answer_start(folded, response), at))
 
-    return let(normalize_space(body), cut)
+    return let(let(normalize_space(body), lambda t: F.struct(t.alias("t"), tr_lower(t).alias("f"))), cut)
 
 
 def analysis_text(title: Column, body: Column, response: Column | None = None) -> Column:

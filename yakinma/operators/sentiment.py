@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from yakinma.functions.text import analysis_text, let, pin, split_sentences
-from yakinma.operators.classify import categories_of, classify_text
+from yakinma.operators.classify import categories_of, with_classification
 from yakinma.operators.rules import Rules
 from yakinma.session import materialise
 
@@ -67,14 +67,15 @@ def aspect_sentences(df: DataFrame, rules: Rules | None = None) -> DataFrame:
     """(id, sent, sentence, categories): a sentence is classified as a title would be."""
     docs = pin(df, "_s", split_sentences(analysis_text(F.col("title"), F.col("complaint_text"))))
     each = docs.select("id", F.posexplode("_s").alias("sent", "sentence"))
-    return each.withColumn("categories", categories_of(classify_text(F.col("sentence"), rules)))
+    each = with_classification(each, "_c", F.col("sentence"), rules, explain=False)
+    return each.select("id", "sent", "sentence", categories_of(F.col("_c")).alias("categories"))
 
 
 def explain_sentences(df: DataFrame, rules: Rules | None = None) -> DataFrame:
     """(id, sent, sentence, categories, terms) of the best available text, lines kept apart; ``Genel`` without a category."""
     text = F.coalesce(F.nullif(F.trim("complaint_text"), F.lit("")), F.nullif(F.trim("title"), F.lit("")), F.lit(""))
     each = pin(df, "_s", split_sentences(text)).select("id", F.posexplode("_s").alias("sent", "sentence"))
-    each = pin(each, "_c", classify_text(F.col("sentence"), rules))
+    each = with_classification(each, "_c", F.col("sentence"), rules)
     names = F.transform(F.col("_c.scores"), lambda s: s["category"])
     terms = F.array_distinct(F.flatten(F.transform(F.col("_c.matched"), lambda m: m["phrases"])))
     return each.select("id", "sent", "sentence", F.when(F.size(names) == 0, F.array(F.lit("Genel"))).otherwise(names).alias("categories"), terms.alias("terms"))

@@ -89,7 +89,7 @@ def company_comparison(spark, sf_dir):
 
 
 def classified_rows(spark, sf_dir):
-    df = classify.classified(_texts(spark, sf_dir), OWN_RULES)
+    df = classify.classified(_texts(spark, sf_dir), OWN_RULES, explain=True)
     score = F.coalesce(F.get("classification.scores", F.lit(0))["score"], F.lit(0.0))
     return df.select("id", "classification.primary", score.alias("score"), F.array_join("categories", "|").alias("categories"), classify.explanation(F.col("classification")).alias("why"))
 
