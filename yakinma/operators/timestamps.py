@@ -16,9 +16,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,8 +60,18 @@ def _date(y: str, m: str, d: str) -> str:
     return f"try_cast(concat_ws('-', lpad({y}, 4, '0'), {m}, {d}) AS date)"
 
 
+def _rules_of(zone: str) -> bytes:
+    """The zone's file, which aliases share; the name itself where there is no such file."""
+    import zoneinfo
+
+    for folder in zoneinfo.TZPATH:
+        if (path := Path(folder, zone)).is_file():
+            return path.read_bytes()
+    return zone.encode()
+
+
 @lru_cache(maxsize=1)
-def offset_intervals() -> pd.DataFrame:
+def offset_intervals() -> pa.Table:
     """Rows (zone, y, iv) with iv the offset intervals, as local [from, to) in microseconds and offset,
     that touch a local year or end before it. Built from the zone database of the driver's Python."""
     import zoneinfo
@@ -72,12 +84,17 @@ def offset_intervals() -> pd.DataFrame:
         idx = pd.DatetimeIndex(t.astype("datetime64[s]")).tz_localize("UTC").tz_convert(zone)
         return (idx.tz_localize(None).asi8 // (10**9 if idx.unit == "ns" else 1)) - t
 
-    years = np.arange(FIRST_YEAR, LAST_YEAR + 1)
     begins = np.array([pd.Timestamp(f"{y}-01-01").timestamp() for y in range(FIRST_YEAR, LAST_YEAR + 2)]).astype(np.int64)
-    out: list[tuple] = []
+    n_years = LAST_YEAR - FIRST_YEAR + 1
+    names, known, blocks = [], {}, []
     for zone in sorted(zoneinfo.available_timezones()):
         if zone == "localtime":
             continue
+        rules = _rules_of(zone)
+        if rules in known:  # another name of the same rules
+            names.append(zone)
+            blocks.append(known[rules])
+            continue
         try:
             o = offsets(grid, zone)
         except Exception:  # noqa: BLE001, S112 - a name that pandas doesn't know isn't a usable zone
@@ -92,20 +109,25 @@ def offset_intervals() -> pd.DataFrame:
         ends = np.concatenate([b, [hi]])
         offs = np.concatenate([o[:1], offsets(b, zone)]) if len(b) else o[:1]
         ls, le = starts + offs, ends + offs
-        for k, y in enumerate(years):
-            # an interval that ended within two days before the year gives the offset before a change at its start
-            hit = np.flatnonzero((ls < begins[k + 1]) & (le > begins[k] - 2 * 86400))
-            out.append((zone, int(y), [(int(ls[i]) * 10**6, int(le[i]) * 10**6, int(offs[i]) * 10**6) for i in hit]))
-    return pd.DataFrame(out, columns=["zone", "y", "iv"])
+        # an interval that ended within two days before the year gives the offset before a change at its start
+        year, hit = np.nonzero((ls[None, :] < begins[1:, None]) & (le[None, :] > begins[:-1, None] - 2 * 86400))
+        known[rules] = (np.bincount(year, minlength=n_years), ls[hit] * 10**6, le[hit] * 10**6, offs[hit] * 10**6)
+        names.append(zone)
+        blocks.append(known[rules])
+    sizes, *parts = (np.concatenate([x[i] for x in blocks]) for i in range(4))
+    values = pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in parts], ["ls", "le", "off"])
+    iv = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+    years = np.tile(np.arange(FIRST_YEAR, LAST_YEAR + 1, dtype=np.int32), len(names))
+    return pa.table({"zone": pa.array(np.repeat(np.array(names, dtype=object), n_years), pa.string()), "y": pa.array(years), "iv": iv})
 
 
 @lru_cache(maxsize=1)
-def _interval_rows() -> list[tuple]:
-    return list(offset_intervals().itertuples(index=False, name=None))
+def zone_names() -> tuple[str, ...]:
+    return tuple(sorted(set(offset_intervals().column("zone").to_pylist())))
 
 
 def interval_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_interval_rows(), "zone string, y int, iv array<struct<ls:bigint,le:bigint,off:bigint>>")
+    return spark.createDataFrame(offset_intervals(), "zone string, y int, iv array<struct<ls:bigint,le:bigint,off:bigint>>")
 
 
 def fold_month(c: Column) -> Column:
@@ -177,7 +199,7 @@ def resolve_local(df: DataFrame, local: str, zone: str) -> DataFrame:
     )
     n = F.size("_in")
     known = F.concat_ws(" ", F.lit(""), F.concat(F.lit(" "), F.col(zone), F.lit(" ")))
-    names = F.lit(" " + " ".join(sorted({r[0] for r in _interval_rows()})) + " ")
+    names = F.lit(" " + " ".join(zone_names()) + " ")
     outside = F.when((F.col("_year") < FIRST_YEAR) | (F.col("_year") > LAST_YEAR), F.when(F.contains(names, F.trim(known)), F.col(zone)))
     builtin = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(F.col(local)), outside))
     how = F.when(n == 1, "unique").when(n == 2, "ambiguous").when((n == 0) & F.col("_gone").isNotNull(), "skipped")

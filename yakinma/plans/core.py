@@ -54,5 +54,6 @@ SQL = {
     "p2_company_figures": "SELECT company, count(*) AS n_rows, CAST(sum(coalesce(resolved, 0)) AS BIGINT) AS n_resolved, "
     f"CAST(sum(coalesce(company_responded, 0)) AS BIGINT) AS n_company_responded, {_measure('response_hours')}, {_measure('resolution_hours')} FROM complaints GROUP BY company",
     "p3_found": timestamp_sql.instants(DATE_FIELDS),
+    "p3_resolution": timestamp_sql.resolution(DATE_FIELDS, timestamps.FIRST_YEAR, timestamps.LAST_YEAR),
     "p2_company_titles": "SELECT company, count(DISTINCT title) AS n_distinct FROM complaints WHERE title IS NOT NULL GROUP BY company",
 }

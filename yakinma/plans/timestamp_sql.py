@@ -31,8 +31,8 @@ _int = "coalesce(try_cast({0} AS INT), 0)".format
 _date = "try_cast(lpad({0}::VARCHAR, 4, '0') || '-' || lpad(mo::VARCHAR, 2, '0') || '-' || lpad(x.d, 2, '0') AS DATE)".format
 
 
-def instants(fields: tuple[str, ...]) -> str:
-    """A SELECT of (id, field, epoch_us)."""
+def _resolved(fields: tuple[str, ...]) -> str:
+    """CTEs up to ``r``: the parsed fields with the later and the earlier instant of their wall times."""
     digits = "rpad(regexp_replace(x.o, '[+:-]', '', 'g'), 4, '0')"
     return f"""WITH f AS (SELECT id, company, try_cast(substr(scraped_at, 1, 10) AS DATE) AS day, unnest({Q.strings(fields)}) AS field, unnest([{', '.join(fields)}]) AS raw FROM complaints),
 s AS (SELECT *, {Q.space('raw')} AS s FROM f WHERE raw IS NOT NULL),
@@ -45,5 +45,19 @@ l AS (SELECT *, CASE WHEN h < 24 AND {_int('x.i')} < 60 AND {_int('x.s')} < 60 T
 CASE WHEN regexp_full_match(s, '-?\\d+') AND length(s) <= 11 THEN try_cast(s AS BIGINT) * 1000000 WHEN regexp_full_match(s, '-?\\d+') AND length(s) <= 15 THEN try_cast(s AS BIGINT) * 1000 END AS unix FROM d),
 z AS (SELECT l.*, CASE WHEN off IS NULL THEN CASE WHEN x.z <> '' THEN x.z ELSE c.time_zone END END AS zone FROM l LEFT JOIN company_profiles c USING (company)),
 t AS (SELECT *, CASE WHEN zone IN (SELECT name FROM pg_timezone_names()) AND local IS NOT NULL THEN timezone(zone, make_timestamp(local)) END AS late FROM z),
-r AS (SELECT *, CASE WHEN timezone(zone, late - INTERVAL 1 HOUR) = make_timestamp(local) THEN late - INTERVAL 1 HOUR WHEN timezone(zone, late - INTERVAL 30 MINUTE) = make_timestamp(local) THEN late - INTERVAL 30 MINUTE ELSE late END AS utc FROM t)
-SELECT id, field, coalesce(unix, local - off::BIGINT * 60000000, epoch_us(utc)) AS epoch_us FROM r WHERE coalesce(unix, local - off::BIGINT * 60000000, epoch_us(utc)) IS NOT NULL"""
+r AS (SELECT *, CASE WHEN timezone(zone, late - INTERVAL 1 HOUR) = make_timestamp(local) THEN late - INTERVAL 1 HOUR WHEN timezone(zone, late - INTERVAL 30 MINUTE) = make_timestamp(local) THEN late - INTERVAL 30 MINUTE ELSE late END AS utc FROM t)"""
+
+
+_EPOCH = "coalesce(unix, local - off::BIGINT * 60000000, epoch_us(utc))"
+
+
+def instants(fields: tuple[str, ...]) -> str:
+    """A SELECT of (id, field, epoch_us)."""
+    return f"{_resolved(fields)}\nSELECT id, field, {_EPOCH} AS epoch_us FROM r WHERE {_EPOCH} IS NOT NULL"
+
+
+def resolution(fields: tuple[str, ...], first_year: int, last_year: int) -> str:
+    """A SELECT of (field, how, n, first_us, last_us)."""
+    return f"""{_resolved(fields)}, h AS (SELECT field, {_EPOCH} AS e, CASE WHEN unix IS NOT NULL THEN 'unix' WHEN off IS NOT NULL THEN 'offset' WHEN year(make_timestamp(local)) NOT BETWEEN {first_year} AND {last_year} THEN 'rules'
+WHEN timezone(zone, late) <> make_timestamp(local) THEN 'skipped' WHEN utc <> late THEN 'ambiguous' ELSE 'unique' END AS how FROM r)
+SELECT field, how, count(*) AS n, min(e) AS first_us, max(e) AS last_us FROM h WHERE e IS NOT NULL GROUP BY ALL"""
