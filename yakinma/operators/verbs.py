@@ -56,6 +56,7 @@ def parse_roots(value: str | Iterable[str] | None = None) -> tuple[str, ...]:
 
 
 def progressive_stem(token: Column) -> Column:
+    # a fixed pattern
     stem = F.regexp_extract(token, r"^([a-zçğıöşü]{2,}?)(ıyor|iyor|uyor|üyor)(um|üm|sun|uz|üz|sunuz|sünüz|lar|ler|m|n|k|nız|niz|nuz|nüz)?$", 1)
     return F.nullif(stem, F.lit(""))
 
@@ -77,17 +78,21 @@ def suffix_stats(df: DataFrame, suffixes: Iterable[str] | str | None = None, k:
     """(stem, count, document_count, examples): the most frequent stems with up to five forms each."""
     docs = pin(df.select(document_order().alias("doc"), raw_document(df).alias("text")), "tokens", raw_tokens(normalize_text(F.col("text")), 3))
     words = docs.select("doc", F.posexplode("tokens").alias("pos", "token"))
+    held = F.lit(False)  # few words hold a suffix at all; only those are matched
+    for suffix in parse_suffixes(suffixes):
+        held = held | F.contains("token", F.lit(suffix))
+    words = pin(words.where(held), "m", suffix_match(F.col("token"), suffixes)).where("m IS NOT NULL").select("doc", "pos", "token", F.col("m.stem").alias("stem"))
+    # one row for each (form, document), combined map-side; read for the forms, the stems and their documents
+    words = materialise(words.groupBy("stem", "token", "doc").agg(F.count(F.lit(1)).alias("c"), F.min("pos").alias("pos")), "words")
     at = F.struct("doc", (-F.col("pos")).alias("p"))
-    forms = words.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max(at).alias("first"))
-    forms = pin(forms, "m", suffix_match(F.col("token"), suffixes)).where("m IS NOT NULL")
-    forms = materialise(forms.select(F.col("m.stem").alias("stem"), "token", "n", "first"), "forms")  # small, read three times
+    forms = words.groupBy("stem", "token").agg(F.sum("c").alias("n"), F.max(at).alias("first"))
     # five forms of each stem survive the window's map-side limit, so no list grows with the vocabulary
     order = Window.partitionBy("stem").orderBy(F.desc("n"), F.desc("first"))
     best = forms.withColumn("r", F.row_number().over(order)).where("r <= 5").groupBy("stem")
     examples = best.agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "token"))), lambda e: e["token"]).alias("examples"))
     stems = forms.groupBy("stem").agg(F.sum("n").alias("count"), F.max("first").alias("first"))
     top = stems.orderBy(F.desc("count"), F.desc("first")).limit(k)
-    in_docs = words.select("doc", "token").join(forms.select("stem", "token"), "token").select("stem", "doc").distinct().groupBy("stem").agg(F.count(F.lit(1)).alias("document_count"))
+    in_docs = words.select("stem", "doc").distinct().groupBy("stem").agg(F.count(F.lit(1)).alias("document_count"))
     return top.join(in_docs, "stem").join(examples, "stem").select("stem", "count", "document_count", "examples")
 
 
@@ -112,29 +117,39 @@ def match_root(token: Column, roots: Iterable[str] | str | None = None) -> Colum
     return F.when(F.length(token) >= 2, F.try_element_at(hits, F.lit(1))["r"])
 
 
+def _may_match(token: Column, roots: tuple[str, ...]) -> Column:
+    """A cheap test that every form of the roots passes: its beginning."""
+    return token.rlike("^(?:" + "|".join(sorted({b for b, _ in root_variants(roots) if b})) + ")")
+
+
 def verb_sentences(df: DataFrame, roots: Iterable[str] | str | None = None, root: str | None = None, query: str | None = None) -> DataFrame:
     """(sentence, root, expression, token, id, company, date, title): the first record of each (sentence, root,
-    expression); an expression is the form with the word before it, unless that is a function word."""
+    expression); an expression is the form with the word before it, unless that is a function word.
+
+    Words travel without their sentences, which are known by two 64-bit hashes; the sentence of a result is taken from
+    its record in the join that fetches the record's other values."""
+    wanted = parse_roots(roots)
     text = analysis_text(F.col("title"), F.col("complaint_text"), F.col("company_response_text"))
     docs = df.select("id", "company", F.col("complaint_date").alias("date"), "title", document_order().alias("doc"), "complaint_text", "company_response_text")
     docs = pin(docs, "s", split_sentences(text)).drop("complaint_text", "company_response_text")
-    sentences = docs.select("id", "company", "date", "title", "doc", F.posexplode("s").alias("sent", "sentence"))
+    sentences = docs.select("id", "doc", F.posexplode("s").alias("sent", "sentence"))
     sentences = pin(sentences, "norm", normalize_text(F.col("sentence")))
     if query:
         sentences = sentences.where(F.contains("norm", F.lit(normalize_python(query))))
-    words = pin(sentences.select("id", "doc", "sent", "sentence", "norm"), "t", raw_tokens(F.col("norm"), 1)).drop("norm")
-    words = words.select("id", "doc", "sent", "sentence", F.col("t"), F.posexplode("t").alias("pos", "token"))
+    words = pin(sentences.select("id", "doc", "sent", F.xxhash64("sentence").alias("h1"), F.xxhash64(F.lit(1), F.reverse("sentence")).alias("h2"), "norm"), "t", raw_tokens(F.col("norm"), 1)).drop("norm")
+    words = words.select("id", "doc", "sent", "h1", "h2", "t", F.posexplode("t").alias("pos", "token")).where(_may_match(F.col("token"), wanted))
+    words = materialise(words.select("id", "doc", "sent", "h1", "h2", "pos", "token", F.get("t", F.col("pos") - 1).alias("before")), "words")  # read for the forms and for the matches
     # pinned, else the condition on the root is inferred for every word of the other side of the join
-    forms = pin(words.select("token").distinct(), "root", match_root(F.col("token"), roots)).where("root IS NOT NULL")
+    forms = pin(words.select("token").distinct(), "root", match_root(F.col("token"), wanted)).where("root IS NOT NULL")
     if root and root != "Tümü":
         forms = forms.where(F.col("root") == normalize_python(root))
-    before = F.get("t", F.col("pos") - 1)
-    partner = (F.col("pos") > 0) & ~before.isin(*FUNCTION_WORDS)
-    found = words.withColumn("expression", F.when(partner, F.concat(before, F.lit(" "), F.col("token"))).otherwise(F.col("token"))).drop("t").join(forms, "token")
+    forms = materialise(forms, "forms")  # its real size decides how it is joined
+    partner = (F.col("pos") > 0) & ~F.col("before").isin(*FUNCTION_WORDS)
+    found = words.join(forms, "token").withColumn("expression", F.when(partner, F.concat("before", F.lit(" "), F.col("token"))).otherwise(F.col("token")))
     # the first in recency order; one row for each key is kept map-side
-    first = found.groupBy("sentence", "root", "expression").agg(F.max_by(F.struct("id", "token"), F.struct("doc", (-F.col("sent")).alias("s"), (-F.col("pos")).alias("p"))).alias("f"))
-    meta = docs.select("id", "company", "date", "title")
-    return first.select("sentence", "root", "expression", F.col("f.token").alias("token"), F.col("f.id").alias("id")).join(meta, "id")
+    first = found.groupBy("h1", "h2", "root", "expression").agg(F.max_by(F.struct("id", "sent", "token"), F.struct("doc", (-F.col("sent")).alias("s"), (-F.col("pos")).alias("p"))).alias("f"))
+    first = first.select("root", "expression", F.col("f.token").alias("token"), F.col("f.id").alias("id"), F.col("f.sent").alias("sent"))
+    return first.join(docs.select("id", "company", "date", "title", "s"), "id").select(F.get("s", F.col("sent")).alias("sentence"), "root", "expression", "token", "id", "company", "date", "title")
 
 
 def verb_sentence_counts(found: DataFrame) -> DataFrame:
