@@ -114,3 +114,25 @@ def test_incremental_job(spark):
     assert (counts.total, counts.negative, counts.neutral) == (3, 1, 2) and sentiment.label_counts(r, "other", "1").first().mean_negative == 0.0
     top = sentiment.priorities(df, r, a, "m", "1").first()
     assert top.category and top.score > 0
+
+
+def test_medians_are_exact(spark):
+    import random
+    import statistics
+
+    from yakinma.operators import kpi
+
+    rnd = random.Random(5)
+    groups = {
+        "hot": [round(rnd.lognormvariate(3, 2), 2) for _ in range(4000)], "ties": [24.0] * 301 + [1.0] * 300, "even": [1.0, 2.0], "one": [7.5], "wild": [-3.0, 0.0, 1e300, float("inf"), 5e-9, -1e9], None: [3.0, 9.0, 4.0],
+    }
+    rows = [(g, 1, 0, v, None if i % 2 else v) for g, vs in groups.items() for i, v in enumerate(vs)] + [("none", 0, 0, None, float("nan")), ("hot", 0, 0, float("nan"), None)]
+    df = spark.createDataFrame(rows, "company string, resolved int, company_responded int, response_hours double, resolution_hours double").repartition(5)
+    got = {r.company: r for r in kpi.medians(df, ["company"]).collect()}
+    assert set(got) == set(groups) and all(got[g].response_median == statistics.median(vs) for g, vs in groups.items())
+    assert got["even"].resolution_median == 1.0 and got["one"].resolution_median == 7.5
+    every = [v for vs in groups.values() for v in vs]
+    total = kpi.figures(df, [], kpi._flags()).first()
+    assert total.response_median == statistics.median(every) and total.total == len(rows) and total.timed_responses == len(every)
+    none = kpi.metrics(df.limit(0)).first()
+    assert none.total == 0 and none.response_median is None

@@ -1,18 +1,20 @@
 """Service figures: totals, rates, exact medians, by company, category, day and pair of companies.
 
-Medians are exact and ignore nulls and NaN. Percentile states merge map-side, so a hot company or category sends
-its value histogram, not its rows.
+Medians are exact and ignore nulls and NaN. They are found in two passes: counts of value ranges, combined map-side,
+tell the narrow range that holds the middle ranks of each group, and only the values of that range are
+then counted and ranked. No task and no aggregation buffer holds the values of a group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from yakinma.functions.rounding import py_round
 from yakinma.functions.text import company_slug, normalize_python, normalize_text, padded, pin
 from yakinma.operators.classify import classified
 from yakinma.operators.rules import ALL, Rules
+from yakinma.session import materialise
 
 
 def hours(col: str) -> Column:
@@ -57,42 +59,73 @@ def recent(df: DataFrame, limit: int = 500) -> DataFrame:
 
 
 def _flags() -> dict[str, Column]:
-    n = F.count(F.lit(1))
     return {
-        "total": n,
+        "total": F.count(F.lit(1)),
         "resolved": F.count_if(F.col("resolved") != 0),
         "responded": F.count_if(F.col("company_responded") != 0),
         "timed_responses": F.count(hours("response_hours")),
         "timed_resolutions": F.count(hours("resolution_hours")),
-        "response_median": py_round(F.median(hours("response_hours")), 2),
-        "resolution_median": py_round(F.median(hours("resolution_hours")), 2),
     }
 
 
+HOURS = {"response_median": "response_hours", "resolution_median": "resolution_hours"}
+
+
+def _range(v: Column) -> Column:
+    """A number that ascends with the value, the same for values within about one per cent."""
+    size = F.floor(F.least(F.log2(F.abs(v) + 1.0) * 64, F.lit(1e6))).cast("long")
+    return F.when(v < 0, -size).otherwise(size)
+
+
+def medians(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, response_median, resolution_median): exact, unrounded; a group without a value of either has no row."""
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), hours(c).alias("v")) for name, c in HOURS.items()]))
+    values = df.select(*keys, each.alias("x")).select(*keys, "x.name", "x.v").where("v IS NOT NULL").withColumn("r", _range(F.col("v")))
+    by = [*keys, "name"]
+    group, n = Window.partitionBy(*by), F.count(F.lit(1)).alias("n")
+    middle = (F.col("upto") > F.floor((F.col("total") - 1) / 2)) & (F.col("upto") - F.col("n") <= F.floor(F.col("total") / 2))
+    ranges = values.groupBy(*by, "r").agg(n).withColumns({"upto": F.sum("n").over(group.orderBy("r")), "total": F.sum("n").over(group)})  # a few thousand ranges a group at most
+    spans = ranges.where(middle).groupBy(*by).agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min(F.col("upto") - F.col("n")).alias("before"), F.max("total").alias("total"))
+    a, b = values.alias("a"), spans.alias("b")
+    same = (F.col("a.r") >= F.col("b.r0")) & (F.col("a.r") <= F.col("b.r1"))
+    for c in by:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    inside = a.join(b, same).select(*[F.col(f"a.{c}").alias(c) for c in by], "v", "before", "total").groupBy(*by, "v", "before", "total").agg(n)
+    ranked = inside.withColumn("upto", F.col("before") + F.sum("n").over(group.orderBy("v"))).where(middle)
+    found = ranked.groupBy(*by).agg(((F.min("v") + F.max("v")) / 2).alias("m"))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == name, F.col("m"))).alias(name) for name in HOURS])
+
+
+def figures(df: DataFrame, keys: list[str], aggs: dict[str, Column]) -> DataFrame:
+    """The aggregates of each group with its unrounded medians; one row without keys, also of an empty table."""
+    if not keys:
+        got, m = df.agg(*[c.alias(k) for k, c in aggs.items()]), medians(df, [])
+        return got.withColumns({name: m.select(name).scalar() for name in HOURS})
+    got, m = df.groupBy(*keys).agg(*[c.alias(k) for k, c in aggs.items()]), medians(df, keys)
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(f"g.{c}").eqNullSafe(F.col(f"m.{c}"))
+    return got.alias("g").join(m.alias("m"), same, "left").select("g.*", *[f"m.{name}" for name in HOURS])
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({name: py_round(F.col(name), 2) for name in HOURS})
+
+
 def metrics(df: DataFrame) -> DataFrame:
-    return df.agg(*[c.alias(k) for k, c in _flags().items()])
+    return _rounded(figures(df, [], _flags()))
 
 
 def rate(part: Column, total: Column) -> Column:
     return F.when(total > 0, part / total * 100).otherwise(0.0)
 
 
-def _summary(grouped) -> DataFrame:
-    f = _flags()
-    return grouped.agg(
-        f["total"].alias("complaints"),
-        rate(f["resolved"], f["total"]).alias("resolution_rate"),
-        rate(f["responded"], f["total"]).alias("response_rate"),
-        f["response_median"].alias("response_median"),
-        f["resolution_median"].alias("resolution_median"),
-    )
-
-
 def category_summary(df: DataFrame, rules: Rules | None = None, threshold: float = 2.0) -> DataFrame:
     """A row for each category, records counted in each of theirs, and one for all, counted once; all first."""
-    each = classified(df, rules, threshold).select("resolved", "company_responded", "response_hours", "resolution_hours", F.explode(F.array_insert("categories", 1, F.lit(ALL))).alias("category"))
-    out = _summary(each.groupBy("category"))
-    return out.orderBy((F.col("category") != ALL), F.desc("complaints"), "category")
+    each = classified(df, rules, threshold).select("resolved", "company_responded", *HOURS.values(), F.explode(F.array_insert("categories", 1, F.lit(ALL))).alias("category"))
+    f = _flags()
+    got = figures(materialise(each, "categories"), ["category"], {"complaints": f["total"], "resolution_rate": rate(f["resolved"], f["total"]), "response_rate": rate(f["responded"], f["total"])})
+    return _rounded(got).orderBy((F.col("category") != ALL), F.desc("complaints"), "category")
 
 
 def category_shares(df: DataFrame, rules: Rules | None = None) -> DataFrame:
@@ -123,17 +156,20 @@ def dashboard(df: DataFrame, rules: Rules | None = None) -> DataFrame:
     # try_cast takes a year or month alone as a day
     day = F.when(F.col("complaint_date").rlike(r"^\d{4}-\d{2}-\d{2}"), day)
     f, n = _flags(), F.count(F.lit(1))
-    return classified(df, rules).agg(
-        n.alias("total"),
-        f["resolved"].alias("resolved"),
-        (n - f["resolved"]).alias("unresolved"),
-        f["responded"].alias("responded"),
-        (n - f["responded"]).alias("unanswered"),
-        F.median(hours("response_hours")).alias("response_median"),
-        F.median(hours("resolution_hours")).alias("resolution_median"),
-        F.count_if(F.size(F.col("classification.scores")) > 0).alias("classified"),
-        F.countDistinct(day).alias("active_days"),
-        F.when(F.countDistinct(day) > 0, n / F.countDistinct(day)).otherwise(0.0).alias("per_day"),
+    rows = classified(df, rules).select("resolved", "company_responded", *HOURS.values(), (F.size(F.col("classification.scores")) > 0).alias("known"), day.alias("day"))
+    return figures(
+        materialise(rows, "dashboard"),
+        [],
+        {
+            "total": n,
+            "resolved": f["resolved"],
+            "unresolved": n - f["resolved"],
+            "responded": f["responded"],
+            "unanswered": n - f["responded"],
+            "classified": F.count_if("known"),
+            "active_days": F.countDistinct("day"),
+            "per_day": F.when(F.countDistinct("day") > 0, n / F.countDistinct("day")).otherwise(0.0),
+        },
     )
 
 
@@ -149,8 +185,7 @@ def trend(df: DataFrame, daily_span: int = 45) -> DataFrame:
 def compare(df: DataFrame, first: str, second: str) -> DataFrame:
     """Both companies' figures; a company without records has a row of zeros."""
     both = df.sparkSession.createDataFrame([(first,), (second,)], "company string").dropDuplicates()
-    f = _flags()
-    got = df.where(F.col("company").isin(first, second)).groupBy("company").agg(*[c.alias(k) for k, c in f.items()])
+    got = _rounded(figures(df.where(F.col("company").isin(first, second)), ["company"], _flags()))
     out = both.join(F.broadcast(got), "company", "left")  # at most two rows
     zero = [F.coalesce(k, F.lit(0).cast("long")).alias(k) for k in ("total", "resolved", "responded", "timed_responses", "timed_resolutions")]
     return out.select("company", *zero, py_round(rate(F.coalesce("resolved", F.lit(0)), F.col("total")), 1).alias("resolution_rate"), py_round(rate(F.coalesce("responded", F.lit(0)), F.col("total")), 1).alias("response_rate"), "response_median", "resolution_median")
