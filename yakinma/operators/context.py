@@ -99,6 +99,12 @@ def bridge(df: DataFrame, anchor: str, direction: str = "left", window: int = 1)
     return docs.select(F.explode("contexts").alias("context"), "id").distinct()
 
 
+def records(df: DataFrame, anchor: str, direction: str = "left", window: int = 1, min_count: int = 1, top_k: int = 50) -> DataFrame:
+    """(context, then the columns of ``df``): the records behind each hit of ``analyze``, once for each context."""
+    hits = analyze(df, anchor, direction, window, min_count, top_k).select("context")
+    return bridge(df, anchor, direction, window).join(F.broadcast(hits), "context").join(df, "id").select("context", *df.columns)  # top_k hits
+
+
 def meta(df: DataFrame, anchor: str, direction: str = "left", window: int = 1) -> DataFrame:
     """One row: records, records with the anchor, mentions, distinct contexts of any count."""
     docs = _occurrences(df, anchor, direction, window)

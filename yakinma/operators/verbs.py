@@ -51,6 +51,11 @@ def parse_suffixes(value: str | Iterable[str] | None = None) -> tuple[str, ...]:
     return _conditions(value, PROGRESSIVE)
 
 
+def with_passive(value: str | Iterable[str] | None = None) -> tuple[str, ...]:
+    """The suffixes, with the passive preset behind them."""
+    return tuple(dict.fromkeys((*parse_suffixes(value), *PASSIVE)))
+
+
 def parse_roots(value: str | Iterable[str] | None = None) -> tuple[str, ...]:
     return _conditions(value, ROOTS)
 

@@ -17,6 +17,7 @@ COMPANY, OTHER_COMPANY, START, END = "varvanya-home", "revrena-mobilya", "2024-0
 #: Phrases that the generated complaints use, beside the default rules.
 OWN_RULES = Rules.of({"Gecikme": {"bekliyor": 2.0, "gün bekletilmiş": 3.0, "teslim": 1.5, "kargo": 1.0}, "Kusur": {"kusurlu": 2.5, "defolu": 2.5, "çatladı": 1.5, "koptu": 2.0}, "İade": {"iade": 1.0, "ücretin iadesini": 4.0}})
 ROUND = 6
+ANY_TERMS = ("bekl", "bekliyor", "Geciken", "İADE")
 
 
 #: Columns that the text operators read.
@@ -190,6 +191,33 @@ def filtered_sentences(spark, sf_dir):
     return verbs.filter_sentences(found, "bekle", "sabırla").select("sentence", "root", "expression", "token", "id")
 
 
+def filtered_root_page(spark, sf_dir):
+    """The company named by its root page."""
+    df = kpi.selected(_c(spark, sf_dir), f"site.test/{COMPANY}/", START, None, ("site.test", "www.site.test"))
+    return df.select("id", "company", "complaint_date")
+
+
+def context_records(spark, sf_dir):
+    return context.records(_texts(spark, sf_dir), "bayi*", "left", 2, 2, 50).select("context", "id", "company", "title")
+
+
+def any_term_rows(spark, sf_dir):
+    """The records behind a stem and its forms."""
+    return verbs.rows_with_any(_texts(spark, sf_dir), ANY_TERMS).select("id", "title")
+
+
+def passive_verbs(spark, sf_dir):
+    return verbs.suffix_stats(_texts(spark, sf_dir), verbs.with_passive("yor")).withColumn("examples", F.array_join("examples", "|"))
+
+
+def progressive_stems(spark, sf_dir):
+    """The distinct progressive forms of all texts with their stems."""
+    df = _texts(spark, sf_dir)
+    tokens = X.pin(df.select(terms.raw_document(df).alias("text")), "tokens", X.raw_tokens(X.normalize_text(F.col("text")), 3))
+    each = tokens.select(F.explode("tokens").alias("token")).distinct().withColumn("stem", verbs.progressive_stem(F.col("token")))
+    return each.where("stem IS NOT NULL")
+
+
 def site_dates(spark, sf_dir):
     """Dates as the site writes them, relative to the day of scraping, with the hours to the answer."""
     ref = F.substring("scraped_at", 1, 10).try_cast("date")
@@ -200,7 +228,8 @@ def site_dates(spark, sf_dir):
 _ALL = (
     filtered_rows, recent_rows, search_rows, display_rows, kpi_metrics, category_summary, own_category_summary, category_shares, company_statistics, dashboard, trend_months, trend_days, company_comparison, classified_rows,
     category_rows, analysis_texts, sentences, best_texts, top_bigrams, document_frequencies, tfidf_bigrams, word_table, category_terms, company_terms, suffix_verbs, progressive_verbs, verb_sentences,
-    verb_sentence_counts, context_left, context_both, context_bridge, context_totals, site_dates, phrase_rows, chart_companies, filtered_stems, filtered_sentences,
+    verb_sentence_counts, context_left, context_both, context_bridge, context_totals, site_dates, phrase_rows, chart_companies, filtered_stems, filtered_sentences, filtered_root_page, context_records, any_term_rows, passive_verbs,
+    progressive_stems,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -298,7 +327,7 @@ _TEXT = r"(?i)(\d{1,2})\s+(" + "|".join(MONTHS) + r")(?:\s+(\d{4}))?\s+(\d{1,2})
 _NUMERIC = r"(\d{1,2})[./-](\d{1,2})[./-](\d{4})(?:\s+(\d{1,2}):(\d{2}))?"
 
 
-def _site_date(c: str) -> str:
+def site_date(c: str) -> str:
     """A site-style date relative to ``day``."""
     e = lambda p, names: f"regexp_extract(v, '{p}', {Q.strings(names)})"
     off = "regexp_replace(e.o, '[+:-]', '', 'g')"
@@ -314,7 +343,7 @@ def _site_date(c: str) -> str:
 
 
 SQL = {
-    "site_dates": f"""WITH x AS (SELECT *, try_cast(substr(scraped_at, 1, 10) AS DATE) AS day FROM complaints), y AS (SELECT id, {_site_date('complaint_date')} AS written, {_site_date('company_response_date')} AS answered FROM x)
+    "site_dates": f"""WITH x AS (SELECT *, try_cast(substr(scraped_at, 1, 10) AS DATE) AS day FROM complaints), y AS (SELECT id, {site_date('complaint_date')} AS written, {site_date('company_response_date')} AS answered FROM x)
 SELECT *, CASE WHEN answered >= written THEN {Q.py_round('(epoch_us(answered) - epoch_us(written)) / 3.6e9')} END AS hours FROM y""",
     "filtered_rows": f"SELECT id, company, complaint_date, day, title FROM (SELECT *, {Q.iso_day('complaint_date')} AS day FROM complaints) WHERE company = '{COMPANY}' AND day BETWEEN DATE '{START}' AND DATE '{END}'",
     "recent_rows": "SELECT id, company, complaint_date, scraped_at FROM complaints ORDER BY coalesce(complaint_date, scraped_at) DESC, id DESC LIMIT 500",
@@ -359,6 +388,12 @@ sc AS (SELECT company, term, n, first, n * (ln((1 + (SELECT count(DISTINCT compa
 SELECT company, rank, term, round(score, 6) AS score, n AS count FROM (SELECT *, row_number() OVER (PARTITION BY company ORDER BY score DESC, first) AS rank FROM sc) WHERE rank <= 5""",
     "suffix_verbs": _suffix_sql(verbs.parse_suffixes("-dım; -dık; yor, ildi")),
     "progressive_verbs": _suffix_sql(verbs.PROGRESSIVE),
+    "passive_verbs": _suffix_sql(verbs.with_passive("yor")),
+    "progressive_stems": f"""SELECT token, stem FROM (SELECT DISTINCT token, regexp_extract(token, '^([a-zçğıöşü]{{2,}}?)(ıyor|iyor|uyor|üyor)(um|üm|sun|uz|üz|sunuz|sünüz|lar|ler|m|n|k|nız|niz|nuz|nüz)?$', 1) AS stem
+FROM (SELECT unnest({Q.raw_tokens(Q.norm(_RAW), 3)}) AS token FROM complaints)) WHERE stem <> ''""",
+    "any_term_rows": "SELECT id, title FROM complaints WHERE " + " OR ".join(f"contains(lower(replace({_RAW}, 'İ', 'i̇')), {Q.lit(t.lower())})" for t in ANY_TERMS),
+    "filtered_root_page": f"SELECT id, company, complaint_date FROM (SELECT *, {Q.iso_day('complaint_date')} AS day FROM complaints) WHERE company = '{COMPANY}' AND day >= DATE '{START}'",
+    "context_records": _context(["bayi"], True, _LEFT2) + f"SELECT DISTINCT context, c.id, company, title FROM ctx JOIN ({_hits(2)}) USING (context) JOIN complaints c ON c.id = ctx.id",
     "sentences": Q.numbered("complaints", "id", Q.sentence_list("complaint_text"), "sentence"),
     "verb_sentences": _VERBS + "SELECT sentence, root, expression, token, id FROM firsts",
     "verb_sentence_counts": _VERBS + "SELECT count(DISTINCT sentence) AS sentences, count(DISTINCT root) AS roots, count(DISTINCT id) AS records FROM firsts WHERE root = 'gel'",
