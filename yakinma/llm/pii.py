@@ -86,6 +86,8 @@ BEFORE = frozenset(
     """sayin musterimiz merhaba adim ismim kisi kisinin yetkilimiz yetkili yetkilisi danismani temsilcisi sahibi saygilarimla saygilar saygilarimizla sozlesme kayit
     siparisi iletisim soyadi soyadim soyisim adi ismi isim ben usta ustasi sorumlusu muduru alici imza gonderen kurulum montajci""".split()
 )
+#: Of these, what may introduce words of which nothing else is known.
+CUES = frozenset("adim ismim adi soyadi soyadim isim soyisim saygilarimla musterimiz sayin kisi".split())
 AFTER = frozenset("tarafindan isimli adli adina adindaki uzerine idi sizi olarak isminde".split())
 #: Phrases before the dates that are a person's: a birth date.
 _BIRTH = re.compile(r"dogum\s*(?:tarihi\w*|gunu\w*)?\s*[:=]?\s*((?:0?[1-9]|[12]\d|3[01])([./-])(?:0?[1-9]|1[0-2])\2(?:19|20)\d\d)(?!\d)")
@@ -110,6 +112,7 @@ ORDINARY = frozenset("ve veya ile ama icin gibi kadar cok daha sonra once bir bu
 _FOLD = tuple(zip("ıçğöşüâîûäéß＠", "icgosuaiuaes@", strict=True))
 _TAGS = re.compile(r"&nbsp;|</?(?:br|p|div|b|i|u|span|li|ul|strong|em)\b[^<>]*>", re.I)
 _WORD = re.compile(r"[a-z]+")
+_INITIAL = re.compile(r"(?<![a-z])[a-z]\.")
 _UPPER = re.compile(r"[A-ZÇĞİÖŞÜ]")
 _DIGIT = re.compile(r"\d")
 _AT = re.compile(r"@|[(\[{]\s?at\s?[)\]}]|\sat\s")
@@ -202,63 +205,79 @@ def _given(w: str) -> bool:
     return w in MEN or w in WOMEN or (len(w) > 4 and GIVEN.match(w) is not None)
 
 
+#: What is known of words seen before, forgotten as a whole when it grows: 1 first name, 2 surname, 4 may begin a name.
+_seen: dict[str, int] = {}
+
+
+def _kind(w: str) -> int:
+    k = _seen.get(w)
+    if k is None:
+        if len(_seen) > 200_000:
+            _seen.clear()
+        family = w in SURNAMES or FAMILY.match(w) is not None or (len(w) > 4 and BUILT.match(w) is not None)
+        k = _given(w) + 2 * family
+        _seen[w] = k = k + 4 * (k > 0 or w in CUES or w.startswith(("bey", "hanim")))
+    return k
+
+
 def _names(text: str, plain: str, spans: list[tuple[int, int, str]], more: frozenset[str] = frozenset()) -> None:
-    words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(plain)]
-    known = {w for _, _, w in words}
-    given = {w for w in known if w in more or _given(w)}
-    family = {w for w in known if w in SURNAMES or FAMILY.match(w) or (len(w) > 4 and BUILT.match(w))}
-    start = {i for i, (a, _, w) in enumerate(words) if w in given or w in family or w in BEFORE or w.startswith(("bey", "hanim")) or (len(w) == 1 and plain[a + 1 : a + 2] == ".")}
-    if not start:
+    found = _WORD.findall(plain)
+    kinds = {w: _seen[w] if w in _seen else _kind(w) for w in set(found)}
+    if not (any(kinds.values()) or not more.isdisjoint(kinds) or _INITIAL.search(plain)):
         return
+    spots = [m.span() for m in _WORD.finditer(plain)]
+    given = {w for w, k in kinds.items() if k & 1 or w in more}
+    family = {w for w, k in kinds.items() if k & 2}
+    start = [i for i, w in enumerate(found) if kinds[w] & 4 or (len(w) == 1 and plain[spots[i][1] : spots[i][1] + 1] == ".") or w in more]
     upper = len(_UPPER.findall(text))
     mixed = bool(upper) and upper < len(text) // 3
-    n = len(words)
+    n = len(found)
 
     def joined(i: int, dot: bool = False) -> bool:
         """Word i+1 follows word i with nothing but blanks (and a dot) between."""
         if not 0 <= i < n - 1:
             return False
-        gap = plain[words[i][1] : words[i + 1][0]]
+        gap = plain[spots[i][1] : spots[i + 1][0]]
         return len(gap) < 15 and (gap.lstrip(".") if dot else gap).isspace() or (dot and gap == ".")
 
     def same_line(i: int) -> bool:
-        return joined(i) and "\n" not in plain[words[i][1] : words[i + 1][0]]
+        return joined(i) and "\n" not in plain[spots[i][1] : spots[i + 1][0]]
 
     def capital(i: int) -> bool:
-        return text[words[i][0]].isupper()
+        return text[spots[i][0]].isupper()
 
     def barred(i: int) -> bool:
-        w = words[i][2]
+        w = found[i]
         return w.startswith(NO_NAME) or TITLE.match(w) is not None or w in ORDINARY or w in NO_GIVEN or w in BEFORE
 
     def introduced(i: int) -> bool:
         """A phrase before word i introduces a person; so does an ``and`` behind a name."""
         if not i:
             return False
-        gap = plain[words[i - 1][1] : words[i][0]]
-        return len(gap) < 6 and not gap.strip(" \t\n\r,:.\xa0") and (words[i - 1][2] in BEFORE or (words[i - 1][2] == "ve" and i - 2 == done >= 0))
+        gap = plain[spots[i - 1][1] : spots[i][0]]
+        return len(gap) < 6 and not gap.strip(" \t\n\r,:.\xa0") and (found[i - 1] in BEFORE or (found[i - 1] == "ve" and i - 2 == done >= 0))
 
     def followed(i: int) -> bool:
         """A word behind word i tells that a person was named."""
-        return joined(i) and (words[i + 1][2] in AFTER or TITLE.match(words[i + 1][2]) is not None)
+        return joined(i) and (found[i + 1] in AFTER or TITLE.match(found[i + 1]) is not None)
 
     def closed(i: int) -> bool:
-        rest = plain[words[i][1] : words[i][1] + 4].strip(" \t\r\xa0")
+        rest = plain[spots[i][1] : spots[i][1] + 4].strip(" \t\r\xa0")
         return not rest or rest[0] in "\n,;.(<"
 
     def numbered(i: int) -> bool:
         """A number stands behind word i, as on a card."""
-        return _CARD.match(plain, words[i][1]) is not None
+        return _CARD.match(plain, spots[i][1]) is not None
 
     def surname(i: int, first: int) -> bool:
         """Word i may be the surname of a name that starts with word ``first``."""
         if i >= n:
             return False
-        w = words[i][2]
+        w = found[i]
         if len(w) < 2 or barred(i) and w not in family:
             return False
-        told, common = introduced(first) or followed(i) or numbered(i), all(words[x][2] in WORDS for x in range(first, i))
-        if i + 1 < n and (words[i + 1][2].startswith(NO_PERSON) or words[i + 1][2] == "tarafinda" or words[i + 1][2] in ("isimli", "adli") and not (i + 2 < n and words[i + 2][2].startswith(PERSON))):
+        told, common = introduced(first) or followed(i) or numbered(i), all(found[x] in WORDS for x in range(first, i))
+        if i + 1 < n and (found[i + 1].startswith(NO_PERSON) or found[i + 1] == "tarafinda" or found[i + 1] in ("isimli", "adli") and not (i + 2 < n and found[i + 2].startswith(PERSON))):
             return False
         if mixed and capital(i) and len(w) > 2 and not barred(i) and same_line(i - 1) and (capital(first) or told or not common):
             return True
@@ -270,49 +289,49 @@ def _names(text: str, plain: str, spans: list[tuple[int, int, str]], more: froze
         return told or (closed(i) and not common and not _INFLECTED.match(w))
 
     done = -1
-    for i in sorted(start):
+    for i in start:
         if i <= done:
             continue
-        a, b, w = words[i]
+        (a, b), w = spots[i], found[i]
         last = None
         if w in given:
             j = i
-            while joined(j) and words[j + 1][2] in given:
+            while joined(j) and found[j + 1] in given:
                 j += 1
             k = j
-            if joined(j) and len(words[j + 1][2]) == 1 and plain[words[j + 1][1] : words[j + 1][1] + 1] == "." and joined(j + 1, dot=True):
+            if joined(j) and len(found[j + 1]) == 1 and plain[spots[j + 1][1] : spots[j + 1][1] + 1] == "." and joined(j + 1, dot=True):
                 k = j + 1  # a middle initial
             if joined(k, dot=k > j) and surname(k + 1, i):
                 last = k + 1
-            elif joined(j) and TITLE.match(words[j + 1][2]):
+            elif joined(j) and TITLE.match(found[j + 1]):
                 last = j + 1
-            elif j > i and ((all(capital(x) for x in range(i, j + 1)) if mixed else w not in WORDS or words[j][2] not in WORDS) or introduced(i) or followed(j)):
+            elif j > i and ((all(capital(x) for x in range(i, j + 1)) if mixed else w not in WORDS or found[j] not in WORDS) or introduced(i) or followed(j)):
                 last = j
         elif len(w) == 1 and plain[b : b + 1] == "." and (a == 0 or not (plain[a - 1].isalnum() or plain[a - 1] in ".:/")):
-            if joined(i, dot=True) and len(words[i + 1][2]) > 3 and (not mixed or capital(i)):
-                v = words[i + 1][2]
+            if joined(i, dot=True) and len(found[i + 1]) > 3 and (not mixed or capital(i)):
+                v = found[i + 1]
                 if not barred(i + 1) and (mixed and capital(i + 1) or v in family or introduced(i) or followed(i + 1) or closed(i + 1) and not _INFLECTED.match(v)):
                     last = i + 1
         elif TITLE.match(w):
-            if i - 1 > done and mixed and capital(i) and joined(i - 1) and capital(i - 1) and len(words[i - 1][2]) > 2 and not barred(i - 1):
-                a, last = words[i - 1][0], i
+            if i - 1 > done and mixed and capital(i) and joined(i - 1) and capital(i - 1) and len(found[i - 1]) > 2 and not barred(i - 1):
+                a, last = spots[i - 1][0], i
         elif w in family:  # a first name that is in no list
-            if i - 1 > done and joined(i - 1) and mixed and capital(i) and capital(i - 1) and len(words[i - 1][2]) > 2 and not barred(i - 1) and (FAMILY.match(w) or introduced(i - 1) or followed(i)):
-                a, last = words[i - 1][0], i
-        elif w in ("adim", "ismim", "adi", "soyadi", "soyadim", "isim", "soyisim", "saygilarimla", "musterimiz", "sayin", "kisi") and i + 2 < n and introduced(i + 1):
+            if i - 1 > done and joined(i - 1) and mixed and capital(i) and capital(i - 1) and len(found[i - 1]) > 2 and not barred(i - 1) and (FAMILY.match(w) or introduced(i - 1) or followed(i)):
+                a, last = spots[i - 1][0], i
+        elif w in CUES and i + 2 < n and introduced(i + 1):
             # two or three words that only a phrase makes a name
             j = i + 1
-            while j + 1 < n and j < i + 3 and same_line(j) and not barred(j + 1) and len(words[j + 1][2]) > 2 and (not mixed or capital(j + 1)):
+            while j + 1 < n and j < i + 3 and same_line(j) and not barred(j + 1) and len(found[j + 1]) > 2 and (not mixed or capital(j + 1)):
                 j += 1
-            fit = j > i + 1 and len(words[i + 1][2]) > 2 and not barred(i + 1) and (not mixed or capital(i + 1)) and (closed(j) or followed(j) or mixed and w in ("adim", "ismim"))
-            if fit and (mixed or w in ("adim", "ismim", "soyadi", "soyadim", "soyisim", "sayin", "saygilarimla", "musterimiz") and not any(_INFLECTED.match(words[x][2]) for x in range(i + 1, j + 1))):
-                a, last = words[i + 1][0], j
+            fit = j > i + 1 and len(found[i + 1]) > 2 and not barred(i + 1) and (not mixed or capital(i + 1)) and (closed(j) or followed(j) or mixed and w in ("adim", "ismim"))
+            if fit and (mixed or w in ("adim", "ismim", "soyadi", "soyadim", "soyisim", "sayin", "saygilarimla", "musterimiz") and not any(_INFLECTED.match(found[x]) for x in range(i + 1, j + 1))):
+                a, last = spots[i + 1][0], j
         if last is None:
             continue
-        if joined(last) and TITLE.match(words[last + 1][2]):
+        if joined(last) and TITLE.match(found[last + 1]):
             last += 1
-        if _free(spans, a, words[last][1]):
-            spans.append((a, words[last][1], "name"))
+        if _free(spans, a, spots[last][1]):
+            spans.append((a, spots[last][1], "name"))
         done = last
 
 
