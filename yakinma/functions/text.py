@@ -180,8 +180,9 @@ def raw_tokens(normalized: Column, min_len: int = 2) -> Column:
 
 
 def tokenize(normalized: Column, min_len: int = 3) -> Column:
-    stop = F.array(*[F.lit(w) for w in sorted({normalize_python(w) for w in STOPWORDS})])
-    return F.filter(raw_tokens(normalized, min_len), lambda w: ~F.array_contains(stop, w))
+    stop = sorted({normalize_python(w) for w in STOPWORDS})
+    words = F.regexp_extract_all(normalized, F.lit("[A-Za-zÇĞİIÖŞÜçğıöşü]+"), 0)
+    return F.filter(words, lambda w: (F.length(w) >= min_len) & ~w.isin(stop))  # a hash set of literals
 
 
 def ngrams(tokens: Column, n: int) -> Column:
