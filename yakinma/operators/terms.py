@@ -40,18 +40,24 @@ def _first() -> Column:
     return F.max(F.struct(F.col("doc"), (-F.col("pos")).alias("p"))).alias("first")
 
 
-def _per_document(df: DataFrame, n: int, keep: list[str]) -> DataFrame:
-    """One row for each (term, document), combined map-side before any later aggregation."""
-    return _occurrences(df, n, keep).groupBy(*keep, "term", "doc").agg(F.count(F.lit(1)).alias("c"), F.min("pos").alias("pos"))
+def _per_term(df: DataFrame, n: int, keep: list[str]) -> DataFrame:
+    """(keep, term, count, df, first) of every n-gram. A record gives one row for each occurrence and one for each
+    distinct term, so both counts combine map-side under the term alone, and no (term, record) pair is shuffled."""
+    docs = pin(df.select(*keep, document_order().alias("doc"), "tokens"), "tokens", ngrams(F.col("tokens"), n)) if n != 1 else df.select(*keep, document_order().alias("doc"), "tokens")
+    each = F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+    once = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("term"), F.lit(-1).alias("pos")))
+    rows = docs.select(*keep, "doc", F.inline(F.concat(each, once)))
+    here = F.col("pos") >= 0
+    first = F.max(F.when(here, F.struct(F.col("doc"), (-F.col("pos")).alias("p")))).alias("first")
+    return rows.groupBy(*keep, "term").agg(F.count_if(here).alias("count"), F.count_if(~here).alias("df"), first)
 
 
 def term_statistics(df: DataFrame, n: int = 1, min_df: int = 1, docs: DataFrame | None = None) -> DataFrame:
     """(term, count, df, score, first) of every n-gram of ``tokens``; the number of documents counts empty ones. It
     is counted in ``docs``, the same rows before tokenising, so that they are not tokenised again for it."""
     total = (df if docs is None else docs).agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
-    by = _per_document(df, n, []).groupBy("term").agg(F.sum("c").alias("count"), F.count(F.lit(1)).alias("df"), _first())
     idf = F.log((1 + total) / (1 + F.col("df"))) + 1.0
-    return by.where(F.col("df") >= min_df).withColumn("score", F.col("count") * idf)
+    return _per_term(df, n, []).where(F.col("df") >= min_df).withColumn("score", F.col("count") * idf)
 
 
 def top_ngrams(df: DataFrame, n: int = 1, k: int = 30) -> DataFrame:
@@ -60,7 +66,8 @@ def top_ngrams(df: DataFrame, n: int = 1, k: int = 30) -> DataFrame:
 
 
 def document_frequency(df: DataFrame, n: int = 1) -> DataFrame:
-    return _per_document(df, n, []).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    docs = df if n == 1 else pin(df, "tokens", ngrams(F.col("tokens"), n))
+    return docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def tfidf(df: DataFrame, n: int = 1, k: int = 30, min_df: int = 2, docs: DataFrame | None = None) -> DataFrame:
@@ -79,7 +86,7 @@ def word_table(df: DataFrame, n: int = 1, k: int = 50, docs: DataFrame | None =
 def distinctive(df: DataFrame, group: str, n: int = 1, k: int = 15, docs: DataFrame | None = None) -> DataFrame:
     """The k terms of each group with the highest count x (ln((1 + groups) / (1 + groups with the term)) + 1)."""
     groups = (df if docs is None else docs).agg(F.greatest(F.countDistinct(group), F.lit(1))).scalar()
-    by = _per_document(df, n, [group]).groupBy(group, "term").agg(F.sum("c").alias("count"), _first())
+    by = _occurrences(df, n, [group]).groupBy(group, "term").agg(F.count(F.lit(1)).alias("count"), _first())
     # a term has at most one row for each group here, so this window holds no more than the groups
     scored = by.withColumn("presence", F.count(F.lit(1)).over(Window.partitionBy("term")))
     scored = scored.withColumn("score", F.col("count") * (F.log((1 + groups) / (1 + F.col("presence"))) + 1.0))
