@@ -125,3 +125,11 @@ def test_more_rows_for_larger_collections_keep_the_recall():
     for rows in (4, 5, 6, 7):
         assert (1 - 0.7**rows) ** bands_for(rows, 0.7) <= 1.55e-4
     assert bands_for(4, 0.7) == 32
+
+
+def test_null_ids_and_clashing_columns(spark):
+    body = " ".join(word(k) for k in range(40))
+    rows = [(1, "a", body, 0, "x"), (None, "a", body, 0, "x"), (2, "a", body + " " + word(77), 0, "x"), (1, "a", body, 0, "x")]
+    df = spark.createDataFrame(rows, SCHEMA).withColumnsRenamed({"terms": "_id", "rep": "keys"})
+    links, copies = similar(df, "id", FIELDS)
+    assert [tuple(r) for r in all_pairs(links, copies).collect()] == [(1, 2)] and {r.id for r in groups(links, copies).collect()} == {1, 2}

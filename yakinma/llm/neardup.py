@@ -17,7 +17,7 @@ similarity 0.7 is missed with probability 0.00015, at 0.75 with 0.000005. A larg
 unrelated pairs that agree by chance, so one more row is used for each 20-fold growth beyond 200 000 records
 (``rows_for``), with as many bands as keep that probability (``bands_for``).
 
-Defined results: null texts count as empty; records with fewer than ``least`` distinct terms take no part;
+Defined results: null texts count as empty; records without an id and those with fewer than ``least`` distinct terms take no part;
 texts are read whole; repeated rows of one id give no pair; an empty table gives no rows.
 """
 
@@ -322,6 +322,9 @@ def similar(
     """(links, copies). Links are pairs (a, b), a < b, of representatives at least num/den similar; copies are
     (rep, id) of every id whose term set another id shares, the representative included."""
     rows = rows or rows_for(df.count())
+    names = [f"_t{i}" for i in range(len(fields))]
+    df = df.select(F.col(id_col).cast("bigint").alias("id"), *[F.col(f).cast("string").alias(x) for f, x in zip(fields, names, strict=True)]).where("id IS NOT NULL")
+    id_col, fields = "id", names
     bands = bands or bands_for(rows, num / den)
     sig = materialise(sketch(df, id_col, fields, least, rows, bands), "sketch")
     who = sig.select("id", "s1", "s2")
