@@ -12,7 +12,7 @@ from yakinma import schema as S
 from yakinma.operators import sentiment
 from yakinma.plans import fragments as Q
 from yakinma.plans.complaints import COMPANY, OWN_RULES
-from yakinma.session import shared_dir, spread, table
+from yakinma.session import spread, table, work_dir
 from yakinma.sources import pages, store
 from yakinma.streaming.upserts import crawl_stream, run_upserts
 
@@ -135,7 +135,7 @@ def upserted(spark, sf_dir):
 
 def streamed_upserts(spark, sf_dir):
     """The crawler's items as a stream, merged into an empty store."""
-    work = f"{shared_dir(spark)}/yakinma/stream-{uuid.uuid4().hex}"
+    work = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
     s = store.Store(spark, f"{work}/store").create()
     # a pattern, since a stream's plain path must be a directory, and the table may be one file
     run_upserts(crawl_stream(spark, f"{sf_dir}/crawl_items.parque[t]"), s, f"{work}/checkpoint").awaitTermination()
