@@ -33,28 +33,28 @@ KINDS = ("email", "phone", "identity", "address", "name")
 
 #: Common first names of men, folded to plain letters (fixed values).
 MEN = frozenset(
-    """abdullah adem ahmet ali alp arda arif atilla aydin ayhan baris batuhan bayram bekir berk bilal bora bulent burak burhan cagri can celal
+    """abdullah adem adnan ahmet ali alp arda arif atilla aydin ayhan baris batuhan bayram bekir berk bilal bora bulent burak burhan cagri can celal
     cem cemal cemil cengiz cevdet cihan cuneyt davut deniz dogan dursun efe ekrem emir emrah emre ender engin enes enver eray erdal erdem
-    erdinc eren erhan erkan erol ersin fahri faruk fatih ferdi ferhat fikret furkan galip gokhan gorkem hakan halil haluk hamza harun hasan
+    erdinc eren erhan erkan erol ersin fahri faruk fatih ferdi ferhat fikret furkan galip gokhan gorkem hakan halil halit haluk hamza harun hasan
     haydar hikmet huseyin ibrahim idris ihsan ilhan ilker irfan isik ismail izzet kaan kadir kamil kazim kemal kenan kerem koray kursat
-    levent lutfi mahmut mehmet mert mesut metin mevlut muhammed muhammet muharrem murat musa mustafa muzaffer nazim necati nihat nuri oguz
+    levent lutfi mahmut mehmet mert mesut metin mevlut muhammed muhammet muharrem murat musa mustafa muzaffer nazim necati nejat nihat nuri oguz
     okan oktay omer onder onur orcun orhan osman ozan ozgur polat ramazan recep rifat riza sabri sahin salih sami samet savas sedat sefa
     selcuk selim semih serdar serhat serkan sezer sinan suat suleyman tahsin talha tamer taner tarik tayfun temel tevfik tolga tuncay
     turgut ufuk ugur umit umut utku vedat veli volkan yahya yakup yalcin yasar yasin yavuz yigit yilmaz yuksel yunus yusuf zafer zeki""".split()
 )
 #: Common first names of women, folded to plain letters (fixed values).
 WOMEN = frozenset(
-    """alev arzu asli asuman ayla aylin ayse aysun ayten azra bahar banu basak belgin berna betul beyza bilge burcu buse busra cagla cemile
+    """alev arzu asli asuman ayla aylin ayse aysun ayten azra bahar banu basak belgin berna betul beyza bilge buket burcu buse busra cagla cemile
     ceren ceyda cigdem damla demet derya didem dilara dilek duygu ebru ece eda ela elif emel emine esin esma esra eylul ezgi fadime
     fatma feride feyza figen filiz funda gamze gizem gokce gonca gonul gozde hacer hale handan hande hanife hatice havva hilal hulya ilgin
-    ilknur inci ipek irem jale kader kevser kubra lale leman leyla makbule melek melike melis meltem meral merve meryem mine muge nalan
-    nazan nazli necla nergis nermin neslihan nesrin nevin nihal nilay nilgun nilufer nimet oya ozge ozlem pelin perihan pinar rabia
+    ilknur inci ipek irem jale kader kevser kubra lale leman leyla makbule melek melike melis melisa meltem meral merve meryem mine muge nalan
+    nazan nazli necla nergis nermin neslihan nesrin nevin nihal nilay nilgun nilufer nimet nur oya ozge ozlem pelin perihan pinar rabia
     reyhan rukiye saadet seda sebnem sedef selda selin selma sema semra serap serife serpil sevda sevgi sevil sevim sevinc seyma sibel
-    simge sinem songul sukran sule sultan suna tugba tugce tulay tulin ulku yagmur yasemin yeliz yesim yildiz zehra zeliha zerrin
+    simge sinem songul sukran sule sultan suna tuba tugba tugce tulay tulin ulku yagmur yasemin yeliz yesim yildiz zehra zeliha zerrin
     zeynep zuhal""".split()
 )
 #: How other first names are built of two parts, folded (fixed values).
-GIVEN = re.compile(r"(?:ay|gul|nur|sen|bir|can|cansu|er|ber|berk|gok|tan|tun|tuna|alp|oz|il|ilk|fer|hay|as|emir|meh|bin|dil|gun|su|sev|ayse|fatma|mer|ned|mu)(?:nur|gul|can|han|su|sel|sen|ten|tekin|kan|alp|ay|er|eren|mert|berk|fer|gun|nil|naz|det|ray|tug|min|gin|dan|dem|hat|sah)$")
+GIVEN = re.compile(r"(?:ay|gul|nur|sen|bir|can|cansu|dogu|ata|kut|tug|er|ber|berk|gok|tan|tun|tuna|alp|oz|il|ilk|fer|hay|as|emir|meh|bin|dil|gun|su|sev|ayse|fatma|mer|ned|mu)(?:nur|gul|can|han|su|sel|sen|ten|tekin|kan|alp|ay|er|eren|mert|berk|fer|gun|nil|naz|det|ray|tug|min|gin|dan|dem|hat|sah)$")
 #: Common surnames, folded to plain letters (fixed values).
 SURNAMES = frozenset(
     """acar adiguzel akar akin akman alkan altun arikan arslan aslan atalay atas ates avci ay aydemir aydin aydogan aygun bakir balci baran bas
@@ -75,12 +75,14 @@ BUILT = re.compile(
 )
 #: First names and surnames that are ordinary words too: alone in running small letters they prove little (fixed values).
 WORDS = frozenset(
-    """alev arda ay aydin bahar baris bas bayram bilge can cicek coban dag dal damla deniz derya dilek dogan dogru duman duygu elmas emir engin es genc
+    """alev arda ay aydin bahar baris bas bayram bilge cagri can cicek coban dag dal damla deniz derya dilek dogan dogru duman duygu elmas emir engin es genc
     eylul ezgi gok gonul gul gun gunes guney guzel guven hale halil hilal hikmet inci ince ipek isik kader kar kara kartal kaya kilic kiraz koca koc
     kose kus kuru kurt lale melek mert metin mine mutlu nimet okur onur onder oral oya oz ozel ozgur pinar polat sahin saglam sari savas sen sevgi sevim
     sevinc sultan tan tas temel terzi tok topal toprak turk tutar ufuk ulu umit umut uzun veli yagmur yaman yasar yavuz yesil yildiz yigit
     yuce yuksel yurt zafer zengin uysal simge songul demir bulut celik ates ucar ucan durmaz kaynak bayrak gumus yazici""".split()
 )
+#: First names that are provinces as well: a town may follow them.
+PLACES = frozenset(("aydin",))
 #: Words that introduce a person, and words that follow one, folded (fixed values).
 BEFORE = frozenset(
     """sayin musterimiz merhaba adim ismim kisi kisinin yetkilimiz yetkili yetkilisi danismani temsilcisi sahibi saygilarimla saygilar saygilarimizla sozlesme kayit
@@ -89,6 +91,8 @@ BEFORE = frozenset(
 #: Of these, what may introduce words of which nothing else is known.
 CUES = frozenset("adim ismim adi soyadi soyadim isim soyisim saygilarimla musterimiz sayin kisi".split())
 AFTER = frozenset("tarafindan isimli adli adina adindaki uzerine idi sizi olarak isminde".split())
+#: Words behind somebody who acts or speaks.
+ACTS = frozenset("bizi beni bize bana aradi dedi soyledi".split())
 #: Phrases before the dates that are a person's: a birth date.
 _BIRTH = re.compile(r"dogum\s*(?:tarihi\w*|gunu\w*)?\s*[:=]?\s*((?:0?[1-9]|[12]\d|3[01])([./-])(?:0?[1-9]|1[0-2])\2(?:19|20)\d\d)(?!\d)")
 TITLE = re.compile(r"(?:bey|hanim)(?:in|e|i|a|den|dan|le|la|ler|lar|efendi)?$")
@@ -107,7 +111,7 @@ _CARD = re.compile(r"\s*[-/]\s*[(+]*\d")
 #: Endings of verbs and of inflected nouns: such a word is no surname unless a phrase says so.
 _INFLECTED = re.compile(r".{2,}(?:[dt][iu](?:m|k|ler|lar|n|niz|nuz)?|yor\w*|m[iu]s\w*|[ae]ca[kg]\w*|[ae]ce[kg]\w*|[dt][ae]n?|l[ae]r\w{0,4}|s[iu]|[iu]m[iu]z?\w*|n[iu]n|y[iu]|m[ae]k\w*|ip|up|inca|ince|ken|m[ae]m|[aeiu]r[iu]m)$")
 #: Ordinary words that follow first names in running text, folded (fixed values).
-ORDINARY = frozenset("ve veya ile ama icin gibi kadar cok daha sonra once bir bu su her hic ne ki de da mi mu beni bana bizi bize onu ona var yok degil oldu diye ise bile telefonda hat bugun dun yarin sabah aksam pazartesi sali carsamba persembe cuma cumartesi pazar hemen sadece arkadas kisi adli isimli".split())
+ORDINARY = frozenset("ve veya ile ama icin gibi kadar cok daha sonra once bir bu su her hic ne ki de da mi mu beni bana bizi bize onu ona var yok degil oldu diye ise bile telefonda hat bugun dun yarin sabah aksam pazartesi sali carsamba persembe cuma cumartesi pazar hemen sadece arkadas kisi adli isimli null undefined none nan".split())
 
 _FOLD = tuple(zip("ıçğöşüâîûäéß＠", "icgosuaiuaes@", strict=True))
 _TAGS = re.compile(r"&nbsp;|</?(?:br|p|div|b|i|u|span|li|ul|strong|em)\b[^<>]*>", re.I)
@@ -261,10 +265,17 @@ def _names(text: str, plain: str, spans: list[tuple[int, int, str]], more: froze
         """A word behind word i tells that a person was named."""
         return joined(i) and (found[i + 1] in AFTER or TITLE.match(found[i + 1]) is not None)
 
+    def within(i: int) -> bool:
+        """Word i stands inside a sentence, so its capital means something."""
+        return i > 0 and joined(i - 1) and "\n" not in plain[spots[i - 1][1] : spots[i][0]] and not capital(i - 1)
+
     def closed(i: int) -> bool:
         rest = plain[spots[i][1] : spots[i][1] + 4].strip(" \t\r\xa0")
         return not rest or rest[0] in "\n,;.(<"
 
+    def acting(i: int) -> bool:
+        return joined(i) and found[i + 1] in ACTS
+
     def numbered(i: int) -> bool:
         """A number stands behind word i, as on a card."""
         return _CARD.match(plain, spots[i][1]) is not None
@@ -276,14 +287,17 @@ def _names(text: str, plain: str, spans: list[tuple[int, int, str]], more: froze
         w = found[i]
         if len(w) < 2 or barred(i) and w not in family:
             return False
-        told, common = introduced(first) or followed(i) or numbered(i), all(found[x] in WORDS for x in range(first, i))
+        common = all(found[x] in WORDS for x in range(first, i))
+        told = introduced(first) or followed(i) or numbered(i) or (not common and acting(i))
         if i + 1 < n and (found[i + 1].startswith(NO_PERSON) or found[i + 1] == "tarafinda" or found[i + 1] in ("isimli", "adli") and not (i + 2 < n and found[i + 2].startswith(PERSON))):
             return False
+        if not told and (found[first] in PLACES and w not in family or w in WORDS and i + 1 < n and joined(i) and found[i + 1].startswith((*NO_NAME, "oda"))):
+            return False
         if mixed and capital(i) and len(w) > 2 and not barred(i) and same_line(i - 1) and (capital(first) or told or not common):
             return True
         if w in family:
             # words that all mean something else need a person around them, or their capitals
-            return told or len(w) > 2 and not (w in WORDS and mixed and (common or capital(first)) and not capital(i))
+            return told or (len(w) > 2 or mixed and capital(first) and capital(i)) and not (w in WORDS and mixed and (common or capital(first)) and not capital(i))
         if len(w) < 4 or mixed and capital(first) != capital(i) and not told:
             return False
         return told or (closed(i) and not common and not _INFLECTED.match(w))
@@ -316,8 +330,10 @@ def _names(text: str, plain: str, spans: list[tuple[int, int, str]], more: froze
             if i - 1 > done and mixed and capital(i) and joined(i - 1) and capital(i - 1) and len(found[i - 1]) > 2 and not barred(i - 1):
                 a, last = spots[i - 1][0], i
         elif w in family:  # a first name that is in no list
-            if i - 1 > done and joined(i - 1) and mixed and capital(i) and capital(i - 1) and len(found[i - 1]) > 2 and not barred(i - 1) and (FAMILY.match(w) or introduced(i - 1) or followed(i)):
-                a, last = spots[i - 1][0], i
+            if i - 1 > done and joined(i - 1) and mixed and capital(i) and capital(i - 1) and len(found[i - 1]) > 2 and not barred(i - 1):
+                alone = w not in WORDS and within(i - 1) and not (i + 1 < n and joined(i) and (capital(i + 1) or found[i + 1].startswith((*NO_NAME, *NO_PERSON, "oda"))))
+                if FAMILY.match(w) or introduced(i - 1) or followed(i) or acting(i) or alone:
+                    a, last = spots[i - 1][0], i
         elif w in CUES and i + 2 < n and introduced(i + 1):
             # two or three words that only a phrase makes a name
             j = i + 1
