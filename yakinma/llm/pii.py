@@ -334,10 +334,10 @@ def _names(text: str, plain: str, spans: list[tuple[int, int, str]], more: froze
                 alone = w not in WORDS and within(i - 1) and not (i + 1 < n and joined(i) and (capital(i + 1) or found[i + 1].startswith((*NO_NAME, *NO_PERSON, "oda"))))
                 if FAMILY.match(w) or introduced(i - 1) or followed(i) or acting(i) or alone:
                     a, last = spots[i - 1][0], i
-        elif w in CUES and i + 2 < n and introduced(i + 1):
+        elif w in CUES and i + 2 < n and introduced(i + 1) and found[i + 1] not in given:
             # two or three words that only a phrase makes a name
             j = i + 1
-            while j + 1 < n and j < i + 3 and same_line(j) and not barred(j + 1) and len(found[j + 1]) > 2 and (not mixed or capital(j + 1)):
+            while j + 1 < n and j < i + 3 and same_line(j) and not barred(j + 1) and not (j > i + 1 and found[j + 1] in given) and len(found[j + 1]) > 2 and (not mixed or capital(j + 1)):
                 j += 1
             fit = j > i + 1 and len(found[i + 1]) > 2 and not barred(i + 1) and (not mixed or capital(i + 1)) and (closed(j) or followed(j) or mixed and w in ("adim", "ismim"))
             if fit and (mixed or w in ("adim", "ismim", "soyadi", "soyadim", "soyisim", "sayin", "saygilarimla", "musterimiz") and not any(_INFLECTED.match(found[x]) for x in range(i + 1, j + 1))):
