@@ -151,3 +151,16 @@ def test_rarer_names_in_running_text():
 def test_provinces_and_products_beside_first_names():
     for t in ("Aydın İzmir yolunda", "45.750 TL KARŞILIĞINDA SELİN KÖŞE KOLTUK TAKIMI SATIN ALDIM", "Melis genç odası ısmarladık", "sayın null null, yeniden görüşmek", "Bir de çağrı merkzi bizi üç saat bekletti"):
         assert "name" not in kinds(t), t
+
+
+def test_long_runs_take_time_in_proportion():
+    import time
+
+    from yakinma.llm import chunking, residue
+
+    began = time.perf_counter()
+    for t in ("x" * 100_000 + " @ a", "1" * 100_000, "Ali Veli " * 10_000, "kapi " + " " * 100_000, "a at " * 20_000):
+        assert pii.find_items(t) is not None
+    for t in ("{" * 100_000, "!" * 100_000, "sayin " + " " * 100_000 + "."):
+        assert residue.segments_of(t) and chunking.pieces(t)
+    assert time.perf_counter() - began < 30

@@ -25,7 +25,7 @@ from yakinma.llm.tokens import VOCABULARIES, encode_tree, encoding, receive, shi
 
 _BLANK_LINE = re.compile(r"\n[^\S\n]*\n+")
 _LINE = re.compile(r"\n+")
-_SENTENCE = re.compile(r"[.!?…]+[\"'”’)\]]*(?=\s)")
+_SENTENCE = re.compile(r"(?<![.!?…])[.!?…]++[\"'”’)\]]*+(?=\s)")
 #: Radius, as a part of the largest size, in which a better kind of boundary is preferred.
 RADIUS = 6
 _ROLL = 8

@@ -22,6 +22,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
 from datetime import date, timedelta
 
@@ -121,10 +122,11 @@ _UPPER = re.compile(r"[A-ZÇĞİÖŞÜ]")
 _DIGIT = re.compile(r"\d")
 _AT = re.compile(r"@|[(\[{]\s?at\s?[)\]}]|\sat\s")
 
+# a local part starts where its run of characters does and is never given back, so a long run is read once
 EMAIL = re.compile(
-    r"[\w.+%\-]+\s?(?:@|＠)\s?[\w\-]+(?:\.[\w\-]+)+"
-    r"|[\w.+%\-]+\s*[(\[{]\s?at\s?[)\]}]\s*[\w\-]+(?:(?:\.|\s?[(\[{]\s?(?:dot|nokta)\s?[)\]}]\s?)[\w\-]+)+"
-    r"|[\w.+%\-]+(?:\s+nokta\s+[\w.+\-]+)*\s+at\s+[\w\-]+(?:\s+(?:nokta|dot)\s+[\w\-]+)+",
+    r"(?<![\w.+%\-])[\w.+%\-]++\s?(?:@|＠)\s?[\w\-]+(?:\.[\w\-]+)+"
+    r"|(?<![\w.+%\-])[\w.+%\-]++\s{0,5}[(\[{]\s?at\s?[)\]}]\s{0,5}[\w\-]+(?:(?:\.|\s?[(\[{]\s?(?:dot|nokta)\s?[)\]}]\s?)[\w\-]+)+"
+    r"|(?<![\w.+%\-])[\w.+%\-]++(?:\s{1,5}nokta\s{1,5}[\w.+\-]++)*\s{1,5}at\s{1,5}[\w\-]++(?:\s{1,5}(?:nokta|dot)\s{1,5}[\w\-]++)+",
     re.I,
 )
 _S = r"[\s .\-/()]{0,3}"
@@ -138,17 +140,17 @@ NATIONAL = {"1": (10, 10), "7": (10, 10), "20": (9, 10), "30": (10, 10), "31": (
 
 _STREET = r"\b(?:mah(?:alle(?:si)?)?|mh|cad(?:de(?:si)?)?|cd|sok(?:ak|agi)?|sk|bulvari?|blv|sitesi|apartmani|apt|meydani)\b\.*"
 _DOOR = (
-    r"(?:\bkapi\s*(?:no)?\s*[:.]?\s*\d+|\bno\s*[:.]?\s*\d+(?:\s*/\s*\w{1,4})?|(?<!\d)\d{1,4}\s*/\s*\d{1,4}(?!\d)|\d+\s+numara\b"
-    r"|\b[a-z0-9]{1,2}\s+blok\b|\bblok\s*[:.]?\s*[a-z0-9]{1,2}\b|\bdaire\s*[:.]?\s*\d+|\b\d+\.\s*daire\b|\bkat\s*[:.]?\s*\d+)"
+    r"(?:\bkapi\s{0,20}(?:no)?\s{0,20}[:.]?\s{0,20}\d+|\bno\s{0,20}[:.]?\s{0,20}\d+(?:\s{0,20}/\s{0,20}\w{1,4})?|(?<!\d)\d{1,4}\s{0,20}/\s{0,20}\d{1,4}(?!\d)|\d+\s{1,20}numara\b"
+    r"|\b[a-z0-9]{1,2}\s{1,20}blok\b|\bblok\s{0,20}[:.]?\s{0,20}[a-z0-9]{1,2}\b|\bdaire\s{0,20}[:.]?\s{0,20}\d+|\b\d+\.\s{0,20}daire\b|\bkat\s{0,20}[:.]?\s{0,20}\d+)"
 )
-_MORE = r"(?:[\s,.\-/]{0,4}(?:\b(?:k|d|kat|daire|kapi no|no|blok)\s*[:.]?\s*\d+(?:\s*/\s*\w{1,3})?|\b[a-z0-9]{1,2}\s+blok\b|\b\d+\.\s*(?:kat|daire)\b))*"
+_MORE = r"(?:[\s,.\-/]{0,4}(?:\b(?:k|d|kat|daire|kapi no|no|blok)\s{0,20}[:.]?\s{0,20}\d+(?:\s{0,20}/\s{0,20}\w{1,3})?|\b[a-z0-9]{1,2}\s{1,20}blok\b|\b\d+\.\s{0,20}(?:kat|daire)\b))*"
 ADDRESS = re.compile(
     rf"{_STREET}(?:(?!\b(?:kodlu|numarali|tarafinda|adresi)\b)[^!?;]){{0,60}}?{_DOOR}{_MORE}"
 )
 _ABROAD = ("weg ", "strase ", "strasse ", "str. ", "gasse ", "allee ", "platz ", "street", "road", "avenue", "lane")
 ADDRESS_ABROAD = re.compile(
-    r"\b[a-z]+(?:weg|stras?se|str\.|gasse|allee|platz)\s+\d{1,4}\s?[a-z]?\s*,?\s*\d{4,5}\s+[a-z]+"
-    r"|\b\d{1,5}\s+(?:[a-z]+\s+){1,3}(?:street|road|avenue|lane)\b"
+    r"\b[a-z]+(?:weg|stras?se|str\.|gasse|allee|platz)\s{1,20}\d{1,4}\s?[a-z]?\s{0,20},?\s{0,20}\d{4,5}\s{1,20}[a-z]+"
+    r"|\b\d{1,5}\s{1,20}(?:[a-z]+\s{1,20}){1,3}(?:street|road|avenue|lane)\b"
 )
 _BEFORE = re.compile(r"(?:[A-ZÇĞİÖŞÜ][\w'’]*[\s.]+){1,2}$")
 _PLACE = re.compile(r"[\s,]{1,3}[A-ZÇĞİÖŞÜ][^\W\d_]+(?:\s*/\s*[A-ZÇĞİÖŞÜ][^\W\d_]+|[^\S\n][A-ZÇĞİÖŞÜ][^\W\d_]+)?")
@@ -178,14 +180,21 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if c.isdigit())
 
 
-def _free(spans: list[tuple], a: int, b: int) -> bool:
-    return all(b <= s or a >= e for s, e, *_ in spans)
+class _Spans(list):
+    """Items that do not overlap, in order."""
 
+    def free(self, a: int, b: int) -> bool:
+        i = bisect_left(self, (a,))
+        return (i == 0 or self[i - 1][1] <= a) and (i == len(self) or self[i][0] >= b)
 
-def _numbers(text: str, plain: str, spans: list[tuple[int, int, str]]) -> None:
+    def put(self, a: int, b: int, kind: str) -> None:
+        if self.free(a, b):
+            insort(self, (a, b, kind))
+
+
+def _numbers(text: str, plain: str, spans: _Spans) -> None:
     for m in PHONE_TR.finditer(text):
-        if _free(spans, *m.span()):
-            spans.append((*m.span(), "phone"))
+        spans.put(*m.span(), "phone")
     for m in PHONE_ABROAD.finditer(text):
         d = _digits(m.group())
         d = d[2:] if m.group().lstrip("(").startswith("00") else d
@@ -193,16 +202,15 @@ def _numbers(text: str, plain: str, spans: list[tuple[int, int, str]]) -> None:
             if d[:n] in NATIONAL and len(d) - n >= NATIONAL[d[:n]][0]:
                 keep = len(_digits(m.group())) - max(0, len(d) - n - NATIONAL[d[:n]][1])
                 at = [i for i, c in enumerate(m.group()) if c.isdigit()][keep - 1]
-                if _free(spans, m.start(), m.start() + at + 1):
-                    spans.append((m.start(), m.start() + at + 1, "phone"))
+                spans.put(m.start(), m.start() + at + 1, "phone")
                 break
     for m in IDENTITY.finditer(text):
         a, b = m.span(1)
-        if _free(spans, a, b) and valid_identity(_digits(m.group(1))):
-            spans.append((a, b, "identity"))
+        if spans.free(a, b) and valid_identity(_digits(m.group(1))):
+            spans.put(a, b, "identity")
     for m in PHONE_BARE.finditer(text):
-        if _free(spans, *m.span()) and not _LABEL.search(plain[max(0, m.start() - 30) : m.start()]):
-            spans.append((*m.span(), "phone"))
+        if spans.free(*m.span()) and not _LABEL.search(plain[max(0, m.start() - 30) : m.start()]):
+            spans.put(*m.span(), "phone")
 
 
 def _given(w: str) -> bool:
@@ -224,7 +232,7 @@ def _kind(w: str) -> int:
     return k
 
 
-def _names(text: str, plain: str, spans: list[tuple[int, int, str]], more: frozenset[str] = frozenset()) -> None:
+def _names(text: str, plain: str, spans: _Spans, more: frozenset[str] = frozenset()) -> None:
     found = _WORD.findall(plain)
     kinds = {w: _seen[w] if w in _seen else _kind(w) for w in set(found)}
     if not (any(kinds.values()) or not more.isdisjoint(kinds) or _INITIAL.search(plain)):
@@ -346,24 +354,27 @@ def _names(text: str, plain: str, spans: list[tuple[int, int, str]], more: froze
             continue
         if joined(last) and TITLE.match(found[last + 1]):
             last += 1
-        if _free(spans, a, spots[last][1]):
-            spans.append((a, spots[last][1], "name"))
+        spans.put(a, spots[last][1], "name")
         done = last
 
 
 def find_items(text: str, more_names: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
     """(start, end, kind) of each item of an NFC text, in order. ``more_names`` are first names beyond the lists, folded."""
     plain = fold(text)
-    spans: list[tuple[int, int, str]] = []
+    spans = _Spans()
     if _AT.search(plain):
-        spans += [(*m.span(), "email") for m in EMAIL.finditer(text) if any(c.isalnum() for c in m.group().split("@")[0])]
+        for m in EMAIL.finditer(text):
+            if any(c.isalnum() for c in m.group().split("@")[0]):
+                spans.put(*m.span(), "email")
     if _DIGIT.search(plain):
-        spans += [(*m.span(), "address") for m in ADDRESS.finditer(plain) if _free(spans, *m.span())]
+        for m in ADDRESS.finditer(plain):
+            spans.put(*m.span(), "address")
         if any(x in plain for x in _ABROAD):
-            spans += [(*m.span(), "address") for m in ADDRESS_ABROAD.finditer(plain) if _free(spans, *m.span())]
+            for m in ADDRESS_ABROAD.finditer(plain):
+                spans.put(*m.span(), "address")
         _numbers(text, plain, spans)
     _names(text, plain, spans, more_names)
-    return sorted(spans)
+    return list(spans)
 
 
 def _round(key: bytes, tweak: str, r: int, value: int, mod: int) -> int:
@@ -471,7 +482,10 @@ def redact_text(text: str, key: bytes, more_names: frozenset[str] = frozenset())
         edits.append((a, b, shown))
         at = b
     if "dogum" in plain:
-        edits = sorted(edits + [e for e in _births(text, plain, key) if _free(edits, e[0], e[1])])
+        spans = _Spans(edits)
+        for e in _births(text, plain, key):
+            spans.put(*e)
+        edits = spans
     out, at = [], 0
     for a, b, shown in edits:
         out += [text[at:a], shown]

@@ -56,14 +56,14 @@ _TAGS = re.compile(r"&nbsp;|</?(?:br|p|div|b|i|u|span|li|ul|strong|em)\b[^<>]*>"
 _MAIL = re.compile(r"<[^<>\s]+@[^<>\s]+>|[(\[]\s?at\s?[)\]]")
 #: Shapes of unfilled slots, tried on folded text.
 SLOTS = re.compile(
-    r"\{\{+\s*[\w.|' ]{1,40}\s*\}+\}|\$!?\{[\w.]{1,40}\}|<%=?[^%<>]{1,40}%>|@@\w{1,30}@@|%%\w{1,30}%%|%[a-z]+_\w{1,30}%|__[a-z]\w{0,30}[a-z]__|\[\[\s?\w{1,30}\s?\]\]"
+    r"(?<!\{)\{\{+\s{0,5}[\w.|' ]{1,40}\s*\}+\}|\$!?\{[\w.]{1,40}\}|<%=?[^%<>]{1,40}%>|@@\w{1,30}@@|%%\w{1,30}%%|%[a-z]+_\w{1,30}%|__[a-z]\w{0,30}[a-z]__|\[\[\s?\w{1,30}\s?\]\]"
     r"|\{[a-z]+[_.]\w{1,30}\}|\{\d{1,2}\}|«\s?\w{1,20}(?: \w{1,20})?\s?»"
     r"|\[(?:[\w ]{0,20}\b)?(?:ad|adi|isim|soyad|soyadi|tarih|tarihi|no|numarasi|unvan|unvani|urun|musteri|firma|marka|tutar|adres|telefon|name|date|giriniz|yaziniz)(?:\b[\w ]{0,20})?\]"
     r"|<(?:[\w ]{0,20}[_ ])?(?:ad|adi|isim|soyad|soyadi|tarih|no|numara|urun|musteri|unvan|gelecek|yazilacak|giriniz)(?:[_ ][\w ]{0,20})?>"
     r"|&lt;[\w ]{1,30}&gt;|(?<![\w/:]):(?:(?:first|last|full|user|customer)_?)?(?:name|surname|email|date|ad|adi|soyad|isim|musteri\w*|siparis\w*)\b"
     r"|\[?\b(?:buraya|insert)\b [\w ]{1,30}\b(?:gelecek|yazin|yaziniz|here)\b\]?"
     r"|#[a-z][a-z_]{2,30}#|(?<![\w$])\$[a-z]+(?:_\w{1,30})+|(?<![\w$])\$(?:first|last|full|user|customer|musteri|urun|siparis|ad|isim|soyad|tarih)\w*\b"
-    r"|\b(?:sayin|merhaba|degerli|adi|soyadi|sahibi|no|numarasi|numarali|tarihi|tutari)\s*[:.]?\s*(?:_{3,}|\.{5,}|…{2,})"
+    r"|\b(?:sayin|merhaba|degerli|adi|soyadi|sahibi|no|numarasi|numarali|tarihi|tutari)\s{0,5}[:.]?\s{0,5}(?:_{3,}|\.{5,}|…{2,})"
 )
 #: An undefined value standing where a name or number should.
 HOLES = re.compile(r"\bnull null\b|(?:^|\b(?:sayin|merhaba|degerli|sahibi|no|numarasi|tarihi))[:\s]+(?:null|undefined|nan|none)\b|\b(?:null|undefined)\s+(?:tarihinde|numarali|durum)\b")
